@@ -6,8 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from . import line_dedup, mixing
 from .common import table
+from .line_dedup import remove_boilerplate
+from .mixing import mix_sources
 from .near_dup import near_duplicates
+from .quality import quality_rules
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, base counts, base_failed, score, kept."""
+    return quality_rules(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, size, source_size, target, taken."""
+    return mix_sources(spark, table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, n_lines, n_removed, and length and digest of the text that is left."""
+    cleaned = remove_boilerplate(spark, table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("left_chars"), F.md5("text").alias("left_md5"))
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,7 +38,13 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_mix_sources": op2_mix_sources,
+    "op3_line_dedup": op3_line_dedup,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_mix_sources": mixing.SQL,
+    "op3_line_dedup": line_dedup.SQL,
+}
