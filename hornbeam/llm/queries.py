@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing
+from . import chat, line_dedup, mixing, warc
 from .common import table
 from .line_dedup import remove_boilerplate
 from .mixing import mix_sources
@@ -37,14 +37,31 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per conversation, read back from the formatted turns: counts and digests."""
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = "\\### Assistant: </turn> ok"
+    added = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], given.schema)
+    return chat.read_back(chat.format_turns(given.union(added)))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page, from the archives read back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mix_sources": op2_mix_sources,
     "op3_line_dedup": op3_line_dedup,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op8_chat_format": op8_chat_format,
+    "op9_warc": op9_warc,
 }
 
 ORACLES: dict[str, str] = {
     "op2_mix_sources": mixing.SQL,
     "op3_line_dedup": line_dedup.SQL,
+    "op8_chat_format": chat.SQL,
+    "op9_warc": warc.SQL,
 }
