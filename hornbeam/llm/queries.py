@@ -13,7 +13,9 @@ from .common import table
 from .line_dedup import remove_boilerplate
 from .mixing import mix_sources
 from .near_dup import near_duplicates
+from .pii import personal_spans
 from .quality import quality_rules
+from .secret_scan import secret_spans
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +39,16 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_decoded."""
+    return secret_spans(table(spark, sf_dir, "documents"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added."""
+    return personal_spans(spark, table(spark, sf_dir, "documents"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per conversation, read back from the formatted turns: counts and digests."""
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -55,6 +67,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_line_dedup": op3_line_dedup,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op6_secret_scan": op6_secret_scan,
+    "op7_pii": op7_pii,
     "op8_chat_format": op8_chat_format,
     "op9_warc": op9_warc,
 }
