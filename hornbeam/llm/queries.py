@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import chat, line_dedup, mixing, warc
 from .common import table
+from .kneser_ney import score_documents
 from .line_dedup import remove_boilerplate
 from .mixing import mix_sources
 from .near_dup import near_duplicates
@@ -39,6 +40,11 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
+def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    return score_documents(spark, table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_decoded."""
     return secret_spans(table(spark, sf_dir, "documents"))
@@ -67,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_line_dedup": op3_line_dedup,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_kneser_ney": op5_kneser_ney,
     "op6_secret_scan": op6_secret_scan,
     "op7_pii": op7_pii,
     "op8_chat_format": op8_chat_format,
