@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import chat, line_dedup, mixing, warc
 from .common import table
+from .decontaminate import contaminated
 from .kneser_ney import score_documents
 from .line_dedup import remove_boilerplate
 from .mixing import mix_sources
@@ -68,6 +69,11 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contaminated documents and the benchmark items found in them: doc_id, item_id, matched_tokens, item_tokens."""
+    return contaminated(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mix_sources": op2_mix_sources,
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_pii": op7_pii,
     "op8_chat_format": op8_chat_format,
     "op9_warc": op9_warc,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLES: dict[str, str] = {
