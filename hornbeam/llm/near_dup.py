@@ -24,6 +24,11 @@ from .textops import U, Words, bytes_of, inside_one, mix, segmented_unique, slic
 DRIVER_EDGES = 500_000
 #: Largest number of list members in one block of comparisons.
 LIST_BLOCK = 512
+#: Largest number of documents in one block of verifications.
+VERIFY_BLOCK = 1024
+#: Up to this number ids (16 bytes each) are broadcast to pick documents; beyond it the join shuffles.
+BROADCAST_IDS = 1_000_000
+_TOP = U(2**64 - 1)
 
 
 def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
@@ -59,10 +64,15 @@ def run_keys(sketch: np.ndarray, n: int) -> np.ndarray:
     return np.unique(np.concatenate(keys))
 
 
-def union_share(a: np.ndarray, b: np.ndarray, k: int) -> float:
-    """Share of the union's bottom k that both sketches hold: the estimate of the Jaccard index."""
-    union = np.union1d(a, b)[:k]
-    return np.isin(union, np.intersect1d(a, b, assume_unique=True), assume_unique=True).sum() / max(1, len(union))
+def union_share(a: np.ndarray, na: int, b: np.ndarray, nb: int) -> float:
+    """The estimate of the Jaccard index from two sketches, of sets of na and nb values.
+
+    Up to the smaller of the largest retained values both sketches are complete,
+    so the union's values up to there are known: at least its bottom k.
+    """
+    top = min(a[-1] if na > len(a) else _TOP, b[-1] if nb > len(b) else _TOP)
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / max(1, np.searchsorted(a, top, "right") + np.searchsorted(b, top, "right") - common)
 
 
 def sketches(docs: DataFrame, size: int, k: int) -> DataFrame:
@@ -95,23 +105,57 @@ def _keys(reps: DataFrame) -> DataFrame:
     return reps.filter("n >= 4").select("c", "n", "sk").mapInArrow(work, "key long, c long")
 
 
-def _estimated(pairs: DataFrame, reps: DataFrame, k: int, least: float, jaccard: float) -> DataFrame:
+def _estimated(pairs: DataFrame, reps: DataFrame, least: float, jaccard: float) -> DataFrame:
     """Of the pairs (a, b), those whose sizes allow the index and whose estimate is near it."""
     side = lambda x: reps.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("sk").alias(f"s{x}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.least("na", "nb") >= F.greatest("na", "nb") * jaccard - 1e-6)
 
     def work(batches):
         for batch in batches:
-            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            keep = [union_share(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), k) >= least for p, q in zip(x, y)]
+            rows = zip(*(batch.column(i).to_pylist() for i in range(2, 6)))
+            keep = [union_share(np.frombuffer(x, np.uint64), n, np.frombuffer(y, np.uint64), m) >= least for x, n, y, m in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.select("a", "b", "sa", "sb").mapInArrow(work, "a long, b long")
-
-
-def _verified(spark: SparkSession, pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those with 100 * intersection >= percent * union of the full sets."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    return joined.select("a", "b", "sa", "na", "sb", "nb").mapInArrow(work, "a long, b long")
+
+
+def _by_group(batches, keys: list[str]):
+    """Tables of the consecutive rows that agree on ``keys``."""
+    held: list = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        g = np.stack([batch.column(x).to_numpy(zero_copy_only=False) for x in keys], 1)
+        bounds = [0, *(np.flatnonzero((g[1:] != g[:-1]).any(1)) + 1).tolist(), len(g)]
+        for lo, hi in zip(bounds, bounds[1:]):
+            now = tuple(g[lo].tolist())
+            if held and now != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = now
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def picked(docs: DataFrame, ids: DataFrame, how: str, most: int = BROADCAST_IDS) -> DataFrame:
+    """``docs`` joined left_semi or left_anti to ids (doc_id): without a shuffle of the texts while the ids, counted first, are few."""
+    small = ids.limit(most + 1).count() <= most
+    right = ids.withColumnRenamed("doc_id", "__id")
+    return docs.join(F.broadcast(right) if small else right, docs["doc_id"].eqNullSafe(F.col("__id")) if how == "left_anti" else docs["doc_id"] == F.col("__id"), how)
+
+
+def _verified(spark: SparkSession, pairs: DataFrame, docs: DataFrame, size: int, percent: int, driver_edges: int, block: int = VERIFY_BLOCK) -> DataFrame:
+    """Of the pairs (a, b), those with 100 * intersection >= percent * union of the full sets.
+
+    Pairs are verified by family, the components of the candidate pairs, so that
+    a set travels once to its family and not once a pair; families of more than
+    ``block`` members are split into pairs of blocks.
+    """
+    family = components(spark, pairs, driver_edges)
+    sizes = family.groupBy("component").agg(F.ceil(F.count("*") / F.lit(float(block))).cast("int").alias("nb"))
+    place = stage_table(spark, family.join(sizes, "component").select("c", "component", "nb", F.pmod(F.xxhash64("c"), "nb").cast("int").alias("mine")), "places")
 
     def sets(batches):
         for batch in batches:
@@ -119,20 +163,32 @@ def _verified(spark: SparkSession, pairs: DataFrame, docs: DataFrame, size: int,
             for i, j in slices([len(x) for x in texts]):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([x.tobytes() for x in shingle_sets(texts[i:j], size)], pa.binary())], ["c", "s"])
 
-    full = docs.join(ids, "doc_id", "left_semi").select("doc_id", as_binary("text").alias("text")).mapInArrow(sets, "c long, s binary")
-    full = stage_table(spark, full.dropDuplicates(["c"]), "sets")
+    full = picked(docs, place.select(F.col("c").alias("doc_id")), "left_semi").select("doc_id", as_binary("text").alias("text")).mapInArrow(sets, "c long, s binary")
+    other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
+    spread = place.withColumn("other", other).select("c", "component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    null = F.lit(None)
+    rows = full.join(spread, "c").select(F.col("component").alias("f"), "i", "j", F.lit(0).alias("kind"), F.col("c").alias("a"), null.cast("long").alias("b"), "s")
+    at = lambda x: place.select(F.col("c").alias(x), F.col("component").alias(f"f{x}"), F.col("mine").alias(f"m{x}"))
+    asked = pairs.join(at("a"), "a").join(at("b"), "b").select(F.col("fa").alias("f"), F.least("ma", "mb").alias("i"), F.greatest("ma", "mb").alias("j"), F.lit(1).alias("kind"), "a", "b", null.cast("binary").alias("s"))
 
     def work(batches):
-        for batch in batches:
-            keep = []
-            for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    side = lambda x: full.select(F.col("c").alias(x), F.col("s").alias(f"s{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(work, "a long, b long")
+        for t in _by_group(batches, ["f", "i", "j"]):
+            kind, a, b = (t.column(x).to_numpy() for x in ("kind", "a", "b"))
+            held = {c: np.frombuffer(x, np.uint64) for c, k, x in zip(a.tolist(), kind, t.column("s").to_pylist()) if k == 0}
+            xs, ys = [], []
+            for p, q in zip(a[kind == 1].tolist(), b[kind == 1].astype(np.int64).tolist()):
+                x, y = held[p], held[q]
+                if len(y) < len(x):
+                    x, y = y, x
+                common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                if 100 * common >= percent * (len(x) + len(y) - common):
+                    xs.append(p)
+                    ys.append(q)
+            if xs:
+                yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], ["a", "b"])
+
+    both = rows.unionByName(asked).repartition("f", "i", "j").sortWithinPartitions("f", "i", "j", "kind")
+    return both.mapInArrow(work, "a long, b long")
 
 
 def components(spark: SparkSession, edges: DataFrame, driver_edges: int = DRIVER_EDGES) -> DataFrame:
@@ -179,64 +235,53 @@ def components(spark: SparkSession, edges: DataFrame, driver_edges: int = DRIVER
     return ends.select(F.col("a").alias("c"), F.col("b").alias("component")).union(ends.select("b", "b").distinct())
 
 
-def _open_pairs(members: DataFrame, k: int, least: float, jaccard: float) -> DataFrame:
-    """Pairs (a, b) of members of one list block (key, i, j) that lie in different components and pass the estimate; rows come sorted by block."""
+def _open_pairs(members: DataFrame, least: float, jaccard: float) -> DataFrame:
+    """Pairs (a, b) of members of one list block (key, i, j) that lie in different components and pass the estimate."""
 
-    def compare(rows: dict) -> tuple[list[int], list[int]]:
-        ids, n, label, side, raw = rows["c"], rows["n"], rows["label"], rows["side"], rows["sk"]
+    def compare(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        ids, n, label, side = (t.column(x).to_numpy() for x in ("c", "n", "label", "side"))
         order = np.argsort(n, kind="stable")
+        raw = t.column("sk").to_pylist()
         ids, n, label, side = ids[order], n[order], label[order], side[order]
         sk = [np.frombuffer(raw[i], np.uint64) for i in order]
-        flat, cut = np.concatenate(sk), np.concatenate(([0], np.cumsum([len(x) for x in sk])))
+        size = np.array([len(x) for x in sk])
+        top = np.array([x[-1] if m > len(x) else _TOP for x, m in zip(sk, n)], np.uint64)
+        flat, cut = np.concatenate(sk), np.concatenate(([0], np.cumsum(size)))
         a, b = [], []
         for i in range(len(ids) - 1):
             end = int(np.searchsorted(n, n[i] / jaccard + 1e-6, "right"))
-            if end <= i + 1:
+            j = np.arange(i + 1, end)
+            j = j[(label[j] != label[i]) & ((side[j] != side[i]) | (side[i] == 0))]
+            if not len(j):
                 continue
-            seg = flat[cut[i + 1] : cut[end]]
-            at = np.minimum(np.searchsorted(sk[i], seg), len(sk[i]) - 1)
-            shared = np.add.reduceat((sk[i][at] == seg).astype(np.int32), cut[i + 1 : end] - cut[i + 1])
-            near = np.flatnonzero((shared >= least * len(sk[i])) & (label[i + 1 : end] != label[i]) & ((side[i + 1 : end] != side[i]) | (side[i] == 0))) + i + 1
-            for j in near.tolist():
-                if union_share(sk[i], sk[j], k) >= least:
-                    a.append(min(ids[i], ids[j]))
-                    b.append(max(ids[i], ids[j]))
-        return a, b
+            if len(j) == end - i - 1:
+                seg, at = flat[cut[i + 1] : cut[end]], cut[i + 1 : end] - cut[i + 1]
+            else:
+                seg, at = np.concatenate([sk[x] for x in j]), np.concatenate(([0], np.cumsum(size[j])[:-1]))
+            mine = sk[i]
+            place = np.searchsorted(mine, seg)
+            np.minimum(place, len(mine) - 1, out=place)
+            common = np.add.reduceat((mine[place] == seg).astype(np.int32), at)
+            theirs = np.add.reduceat((seg <= top[i]).astype(np.int32), at)
+            own = np.searchsorted(mine, top[j], "right")
+            j = j[common >= least * (theirs + own - common)]
+            a.append(np.minimum(ids[i], ids[j]))
+            b.append(np.maximum(ids[i], ids[j]))
+        return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def work(batches):
-        held: list = []
-
-        def flush(parts):
-            t = pa.Table.from_batches(parts)
-            rows = {x: t.column(x).to_numpy() for x in ("c", "n", "label", "side")} | {"sk": t.column("sk").to_pylist()}
-            return compare(rows)
-
-        last = None
-        for batch in batches:
-            g = np.stack([batch.column(x).to_numpy(zero_copy_only=False) for x in ("key", "i", "j")], 1)
-            if not len(g):
-                continue
-            edge = np.flatnonzero((g[1:] != g[:-1]).any(1)) + 1
-            bounds = [0, *edge.tolist(), len(g)]
-            a, b = [], []
-            for lo, hi in zip(bounds, bounds[1:]):
-                if last is not None and tuple(g[lo]) != last:
-                    x, y = flush(held)
-                    a, b, held = a + x, b + y, []
-                last = tuple(g[lo])
-                held.append(batch.slice(lo, hi - lo))
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-        if held:
-            a, b = flush(held)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        for t in _by_group(batches, ["key", "i", "j"]):
+            a, b = compare(t)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     cols = ["key", "i", "j", "side", "c", "n", "label", "sk"]
     return members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select(*cols).mapInArrow(work, "a long, b long")
 
 
 def near_duplicates(
-    spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 2, k: int = 64, percent: int = 80, slack: float = 0.35, driver_edges: int = DRIVER_EDGES, list_block: int = LIST_BLOCK
+    spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 2, k: int = 64, percent: int = 80, slack: float = 0.25,
+    driver_edges: int = DRIVER_EDGES, list_block: int = LIST_BLOCK, verify_block: int = VERIFY_BLOCK,
 ) -> DataFrame:
     """doc_id, n_shingles, class_id, component_id, kept: components of documents linked at ``percent`` Jaccard.
 
@@ -247,7 +292,8 @@ def near_duplicates(
     each row is returned, all with the component of any of their sets. Other
     columns are ignored. An empty table gives an empty result. Candidates are
     lost only if their estimate falls ``slack`` below the threshold or they
-    share no run of retained values, each with a probability of about 1e-9.
+    share no run of retained values, at the threshold itself with a probability
+    of about 1e-7 and 1e-10, and far less above it.
     """
     jaccard, least = percent / 100, percent / 100 - slack
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -260,7 +306,7 @@ def near_duplicates(
     heads = keys.groupBy("key").agg(F.min("c").alias("head"), F.count("*").alias("size")).filter("size > 1")
     lists = stage_table(spark, keys.join(heads, "key"), "lists")
     star = lists.filter("c <> head").select(F.col("head").alias("a"), F.col("c").alias("b")).distinct()
-    first = stage_table(spark, _verified(spark, stage_table(spark, _estimated(star, reps, k, least, jaccard), "near"), docs, shingle, percent), "links")
+    first = stage_table(spark, _verified(spark, stage_table(spark, _estimated(star, reps, least, jaccard), "near"), docs, shingle, percent, driver_edges, verify_block), "links")
     labels = stage_table(spark, components(spark, first, driver_edges), "labels")
 
     # Lists whose members are in one component need no more; pairs with the head are done.
@@ -272,8 +318,8 @@ def near_duplicates(
     rest = rest.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select("key", "c", "label", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"))
     rest = rest.join(reps, "c")
-    second = stage_table(spark, _open_pairs(rest, k, least, jaccard).distinct(), "open")
-    second = _verified(spark, second, docs, shingle, percent)
+    second = stage_table(spark, _open_pairs(rest, least, jaccard).distinct(), "open")
+    second = _verified(spark, second, docs, shingle, percent, driver_edges, verify_block)
     final = stage_table(spark, components(spark, stage_table(spark, first.union(second), "edges"), driver_edges), "components")
 
     member = all_.filter("n > 0").select("doc_id", "n", "f1", "f2").join(classes, ["n", "f1", "f2"]).filter("doc_id is not null").select("doc_id", "n", "c")
