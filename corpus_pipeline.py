@@ -6,16 +6,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hornbeam.llm.common import stage_table, table
-from hornbeam.llm.near_dup import near_duplicates
+from hornbeam.llm.decontaminate import contaminated
+from hornbeam.llm.line_dedup import remove_boilerplate
+from hornbeam.llm.mixing import mix_sources
+from hornbeam.llm.near_dup import near_duplicates, picked
+from hornbeam.llm.quality import quality_rules
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go; rows with a null id stay."""
+    verdicts = quality_rules(spark, docs, table(spark, sf_dir, "labels"))
+    gone = stage_table(spark, verdicts.filter("not kept and doc_id is not null").select("doc_id").distinct(), "rejected")
+    return picked(docs, gone, "left_anti").select(docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cross-site boilerplate lines go, but for their first occurrence; no document goes."""
+    return remove_boilerplate(spark, docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    kept = near_duplicates(spark, docs).filter("kept").select("doc_id")
-    return docs.join(kept.distinct(), "doc_id", "left_semi").select(docs.columns)
+    """One document of each group of near duplicates stays, the one with the smallest id."""
+    gone = stage_table(spark, near_duplicates(spark, docs).filter("not kept").select("doc_id").distinct(), "duplicates")
+    return picked(docs, gone, "left_anti").select(docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    found = contaminated(spark, docs, table(spark, sf_dir, "benchmark"))
+    gone = stage_table(spark, found.filter("doc_id is not null").select("doc_id").distinct(), "contaminated")
+    return picked(docs, gone, "left_anti").select(docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Per remaining document, the words that the mix takes of it."""
+    return mix_sources(spark, docs).select("doc_id", "source", "size", "source_size", "target", "taken")
+
 
+STAGES = [("quality_rules", quality), ("line_dedup", line_dedup), ("minhash_near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix_sources", mix)]
 
-STAGES = [("minhash_near_dedup", near_dedup)]
+#: Trees, sketches and template windows aren't SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
