@@ -10,6 +10,7 @@ import hashlib
 import re
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -157,8 +158,6 @@ _CHUNK_TYPE = T.ArrayType(T.StructType([T.StructField("chunk_id", T.StringType()
 
 def chunked(docs: DataFrame, how: str = "paragraph", id_col: str = "doc_id", text_col: str = "text", size: int = 200, overlap: int = 0) -> DataFrame:
     """doc_id, chunk_id, ordinal, start, end, content, fingerprint; an Arrow function, since chunks are cut by a small state machine."""
-    import pandas as pd
-
     @F.pandas_udf(_CHUNK_TYPE)
     def cut(s: pd.Series) -> pd.Series:
         f = (lambda t: token_windows(t, size, overlap)) if how == "window" else CHUNKERS[how]

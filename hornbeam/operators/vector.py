@@ -22,11 +22,11 @@ def norm(a: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (norm(a) * norm(b))
+    return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
 def normalised(a: Column) -> Column:
-    return F.transform(a, lambda x: x.cast("double") / norm(a))
+    return F.transform(a, lambda x: F.try_divide(x.cast("double"), norm(a)))
 
 
 def problems(vectors: DataFrame, dimension: int, normalized: bool = False, vector_col: str = "embedding") -> DataFrame:
@@ -52,7 +52,7 @@ def search(vectors: DataFrame, query: list[float], top_k: int | None = None, met
     v = F.col(vector_col)
     rows = vectors if where is None else vectors.filter(where)
     rows = rows.filter(F.size(v) == len(query))
-    score = dot(v, q) / (norm(v) * size) if metric == "cosine" else dot(v, q)
+    score = F.try_divide(dot(v, q), norm(v) * size) if metric == "cosine" else dot(v, q)
     scored = rows.select(F.col(id_col).alias("doc_id"), score.alias("score")).filter(F.col("score").isNotNull() & ~F.isnan("score"))
     if threshold is not None:
         scored = scored.filter(F.col("score") >= threshold)

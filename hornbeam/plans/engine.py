@@ -431,8 +431,9 @@ class Engine:
             values.append(row)
         own = [v for v in own if any(not isinstance(row[v], Var) for row in values)]
         for v in own:
-            ks = {column(row[v])[1] for row in values if not variables(row[v])}
-            kinds[v] = ks.pop() if len(ks) == 1 else "term"
+            ks = {column(row[v])[1] for row in values if not variables(row[v]) and row[v] != ListTerm(())} or {"list:term"}
+            empty = any(row[v] == ListTerm(()) for row in values)
+            kinds[v] = ks.pop() if len(ks) == 1 and (not empty or next(iter(ks)).startswith("list:")) else "term"
         cols = {v: self.fresh() for v in own}
         types = {"int": "long", "float": "double"}
         dfs = []
@@ -444,6 +445,8 @@ class Engine:
                 if variables(row[v]):
                     t = types.get(kinds[v], "string") if not kinds[v].startswith("list:") else f"array<{types.get(kinds[v][5:], 'string')}>"
                     out.append(F.lit(None).cast(t).alias(cols[v]))
+                elif row[v] == ListTerm(()) and kinds[v].startswith("list:"):
+                    out.append(F.array().cast(f"array<{types.get(kinds[v][5:], 'string')}>").alias(cols[v]))
                 else:
                     c, k = column(row[v])
                     out.append((c if k == kinds[v] else as_term(c, k)).alias(cols[v]))

@@ -6,6 +6,7 @@ import json
 import re
 from pathlib import PurePosixPath
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,8 +51,6 @@ def markdown_chunks(text: str, most: int = MOST_CHUNK) -> list[str]:
 
 def read_markdown(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """``document`` nodes (title, path, content), ``chunk`` nodes and ``contains`` edges of all .md files below a path."""
-    import pandas as pd
-
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
     @F.pandas_udf("array<string>")
