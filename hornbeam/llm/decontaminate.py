@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import as_binary
-from .textops import U, Words, bytes_of, inside_one, mix, slices, windows
+from .textops import U, Words, inside_one, mix, text_slices, windows
 
 WINDOW = 10
 #: Fewer literal tokens than this in a window, or tokens in an item, tell nothing.
@@ -26,6 +26,8 @@ LEAST_LITERAL = 5
 RUN_TOKENS, SHARE = 13, 0.5
 #: Benchmark text is looked up in blocks of at most so many bytes, each one scan of the documents.
 BLOCK_BYTES = 32 << 20
+#: Texts are matched in slices of so many bytes; about 60 bytes of arrays stand for each.
+SLICE_BYTES = 1 << 20
 
 _NUMBER_WORDS = b"zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
 _UNITS = b"mm cm m km inch inches foot feet ft yard yards mile miles mg g kg gram grams kilogram kilograms lb lbs pound pounds ounce ounces ton tons ml l liter liters litre litres gallon gallons second seconds sec minute minutes min hour hours hr day days week weeks month months year years dollar dollars usd cent cents euro euros eur percent degree degrees celsius fahrenheit mph kmh watt watts volt volts joule joules meter meters metre metres".split()
@@ -39,6 +41,8 @@ _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 _LOWER = np.zeros(256, bool)
 _LOWER[97:123] = True
+_MARK = np.zeros(256, bool)
+_MARK[list(b".!?:\n\"'(")] = True
 NUM, UNIT, NAME = (mix(np.array([x], np.uint64))[0] for x in (11, 12, 13))
 LITERAL, IS_NUM, IS_UNIT, IS_NAME = 0, 1, 2, 3
 
@@ -64,7 +68,7 @@ class Templates:
         w.start, w.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         first = np.searchsorted(w.start, base)
         literal = w._hashes()
-        digits = np.concatenate(([0], np.cumsum(_DIGIT[raw], dtype=np.int64)))
+        digits = np.concatenate(([0], np.cumsum(_DIGIT[raw], dtype=np.int32)))
         number = (digits[w.end] - digits[w.start] == w.end - w.start) | np.isin(literal, _known()[0])
         # 3.14, 1,000 and twenty five are one number.
         opens = np.zeros(len(literal) + 1, bool)
@@ -89,7 +93,7 @@ class Templates:
         # A capital at the start of a text, line or sentence says nothing.
         gap = np.zeros(len(literal), bool)
         gap[0:1] = True
-        marks = np.concatenate(([0], np.cumsum(np.isin(raw, list(b".!?:\n\"'(")), dtype=np.int64)))
+        marks = np.concatenate(([0], np.cumsum(_MARK[raw], dtype=np.int32)))
         gap[1:] = marks[w.start[1:]] > marks[w.end[:-1]]
         named = (title & ~gap) | (title & np.isin(literal, _known()[2]))
         self.value, self.kind = value, kind
@@ -122,7 +126,7 @@ class Benchmark:
         self.t = Templates([x for _, x in items])
         self.size = np.diff(self.t.first)
         #: For each variant and window length: sorted hashes, and the (item, position) of each.
-        self.tables: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]] = []
+        self.tables: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         for variant in (0, 1):
             for n in sorted({min(WINDOW, int(s)) for s in self.size if s >= LEAST_LITERAL}):
                 at = inside_one(self.t.first, n)
@@ -132,7 +136,9 @@ class Benchmark:
                 at, owner = at[fit], owner[fit]
                 h = windows(self.t.template[variant], n)[at]
                 order = np.argsort(h, kind="stable")
-                self.tables.append((variant, n, h[order], owner[order], (at - self.t.first[owner])[order]))
+                bits = np.zeros(1 << 20, bool)
+                bits[(h & U((1 << 20) - 1)).astype(np.int64)] = True
+                self.tables.append((variant, n, bits, h[order], owner[order], (at - self.t.first[owner])[order]))
 
     def matches(self, texts: list[bytes]) -> list[tuple[int, int, int, int]]:
         """(text, item, matched tokens, tokens of the item) of every item found in a text."""
@@ -140,13 +146,11 @@ class Benchmark:
             return []
         t = Templates(texts)
         hits: dict[tuple[int, int, int], list[tuple[int, int]]] = defaultdict(list)
-        for variant, n, known, owner, place in self.tables:
+        for variant, n, bits, known, owner, place in self.tables:
             at = inside_one(t.first, n)
             if not len(at) or not len(known):
                 continue
             h = windows(t.template[variant], n)[at]
-            bits = np.zeros(1 << 20, bool)
-            bits[(known & U((1 << 20) - 1)).astype(np.int64)] = True
             some = np.flatnonzero(bits[(h & U((1 << 20) - 1)).astype(np.int64)])
             lo, hi = np.searchsorted(known, h[some], "left"), np.searchsorted(known, h[some], "right")
             for k, a, b in zip(some[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
@@ -207,9 +211,9 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_
         def work(batches, bench=bench):
             known = Benchmark(bench.value)
             for batch in batches:
-                ids, texts = batch.column(0).to_pylist(), bytes_of(batch.column(1))
-                for i, j in slices([len(t) for t in texts]):
-                    found = known.matches(texts[i:j])
+                ids = batch.column(0).to_pylist()
+                for i, j, texts in text_slices(batch.column(1), SLICE_BYTES):
+                    found = known.matches(texts)
                     if found:
                         yield pa.RecordBatch.from_arrays([pa.array([ids[i + f[0]] for f in found], pa.int64()), *(pa.array([f[k] for f in found], pa.int64()) for k in (1, 2, 3))], ["doc_id", "item_id", "matched_tokens", "item_tokens"])
 

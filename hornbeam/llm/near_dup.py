@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import as_binary, stage_table
-from .textops import U, Words, bytes_of, inside_one, mix, segmented_unique, slices, windows
+from .textops import U, Words, inside_one, mix, segmented_unique, text_slices, windows
 
 #: Edges up to this number (16 bytes each) may be merged in the driver; beyond it the iterative join does it.
 DRIVER_EDGES = 500_000
@@ -80,9 +80,9 @@ def sketches(docs: DataFrame, size: int, k: int) -> DataFrame:
 
     def work(batches):
         for batch in batches:
-            ids, texts = batch.column(0), bytes_of(batch.column(1))
-            for i, j in slices([len(x) for x in texts]):
-                sets = shingle_sets(texts[i:j], size)
+            ids = batch.column(0)
+            for i, j, texts in text_slices(batch.column(1)):
+                sets = shingle_sets(texts, size)
                 with np.errstate(over="ignore"):
                     f1 = np.array([x.sum(dtype=np.uint64) for x in sets], np.uint64).view(np.int64)
                     f2 = np.array([mix(x ^ U(0xA0761D6478BD642F)).sum(dtype=np.uint64) for x in sets], np.uint64).view(np.int64)
@@ -159,9 +159,8 @@ def _verified(spark: SparkSession, pairs: DataFrame, docs: DataFrame, size: int,
 
     def sets(batches):
         for batch in batches:
-            texts = bytes_of(batch.column(1))
-            for i, j in slices([len(x) for x in texts]):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([x.tobytes() for x in shingle_sets(texts[i:j], size)], pa.binary())], ["c", "s"])
+            for i, j, texts in text_slices(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([x.tobytes() for x in shingle_sets(texts, size)], pa.binary())], ["c", "s"])
 
     full = picked(docs, place.select(F.col("c").alias("doc_id")), "left_semi").select("doc_id", as_binary("text").alias("text")).mapInArrow(sets, "c long, s binary")
     other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))

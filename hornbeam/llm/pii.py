@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import as_binary, stage_table
 from .spans import Span, digest, in_code_points, joined
-from .textops import bytes_of, slices
+from .textops import text_slices
 
 KINDS = ("email", "ip", "card", "phone")
 MORE_KINDS = ("masked_email", "national_phone", "ssn", "iban", "name")
@@ -201,10 +201,9 @@ def personal_spans(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
 
     def work(batches):
         for batch in batches:
-            texts = bytes_of(batch.column(1))
-            for i, j in slices([len(t) for t in texts]):
+            for i, j, texts in text_slices(batch.column(1)):
                 out = []
-                for t in texts[i:j]:
+                for t in texts:
                     good, voted = candidates(t)
                     spans = in_code_points(t, good + [s for s, _ in voted])
                     first = joined(spans[: len(good)], KINDS)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import as_binary
-from .textops import U, Words, bytes_of, inside_one, mix, slices, windows
+from .textops import U, Words, inside_one, mix, text_slices, windows
 
 WINDOW = 8
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -196,9 +196,8 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_train: in
 
     def work(batches):
         for batch in batches:
-            texts = bytes_of(batch.column(2))
-            for i, j in slices([len(t) for t in texts]):
-                x = statistics(texts[i:j])[1]
+            for i, j, texts in text_slices(batch.column(2)):
+                x = statistics(texts)[1]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
 
     joined = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "quality", as_binary("text").alias("text"))
@@ -225,9 +224,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_co
 
     def work(batches):
         for batch in batches:
-            texts = bytes_of(batch.column(1))
-            for i, j in slices([len(t) for t in texts]):
-                base, x = statistics(texts[i:j])
+            for i, j, texts in text_slices(batch.column(1)):
+                base, x = statistics(texts)
                 p = forest.probability(x)
                 failed = (base["n_words"] < 20) | (100 * base["n_repeat_words"] > 30 * base["n_words"])
                 cols = [batch.column(0).slice(i, j - i), *(pa.array(base[k], pa.int64()) for k in BASE), pa.array(failed), pa.array(p), pa.array(~failed & (p >= threshold))]

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import as_binary
 from .spans import Span, digest, find_rows, in_code_points, joined
-from .textops import bytes_of, slices
+from .textops import text_slices
 
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I)
@@ -229,10 +229,9 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def work(batches):
         for batch in batches:
-            texts = bytes_of(batch.column(1))
-            for i, j in slices([len(t) for t in texts]):
+            for i, j, texts in text_slices(batch.column(1)):
                 rows = []
-                for t, hit in zip(texts[i:j], suspects(texts[i:j]).tolist()):
+                for t, hit in zip(texts, suspects(texts).tolist()):
                     base, more = find(t) if hit else ([], [])
                     both = in_code_points(t, base + more)
                     first = joined(both[: len(base)], KINDS)

@@ -12,6 +12,8 @@ import numpy as np
 
 U = np.uint64
 BLOCK = 1 << 20
+#: Bytes of text that a worker turns into arrays at a time; up to 60 bytes of arrays stand for each.
+SLICE = 1 << 21
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 _P = 0x9E3779B97F4A7C15 | 1
@@ -110,7 +112,7 @@ def inside_one(first: np.ndarray, n: int) -> np.ndarray:
     return at[at + n <= owner_end]
 
 
-def slices(sizes: list[int], most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def slices(sizes: list[int], most: int = SLICE) -> Iterator[tuple[int, int]]:
     """Runs of rows of at most ``most`` bytes together, a longer row on its own."""
     begin, total = 0, 0
     for i, n in enumerate(sizes):
@@ -131,6 +133,14 @@ def bytes_of(column) -> list[bytes]:
     return [x or b"" for x in column.to_pylist()]
 
 
+def text_slices(column, most: int = SLICE) -> Iterator[tuple[int, int, list[bytes]]]:
+    """First row, row after the last, and texts of runs of rows; only one run is held as Python objects."""
+    import pyarrow.compute as pc
+
+    for i, j in slices(pc.fill_null(pc.binary_length(column), 0).to_pylist(), most):
+        yield i, j, bytes_of(column.slice(i, j - i))
+
+
 def segmented_unique(owner: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (owner, value) pairs, sorted by owner, then value."""
     order = np.lexsort((values, owner))
