@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..shared import local_path, new_folder, remove, shared_dir, ship, stage_table
 
-__all__ = ["WORD", "as_binary", "local_path", "new_folder", "remove", "row_bytes", "shared_dir", "ship", "stage_table", "table"]
+__all__ = ["WORD", "as_binary", "local_path", "new_folder", "remove", "shared_dir", "ship", "stage_table", "table"]
 
 #: Words are maximal runs of characters other than ASCII white space; bytes.split() cuts UTF-8 the same way.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,10 +18,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def row_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of a relation's size, for choosing between a broadcast and a shuffle."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def as_binary(col: str):
     return F.coalesce(F.col(col).cast("binary"), F.lit(b""))

@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_binary, local_path, new_folder, row_bytes, stage_table
+from .common import as_binary, local_path, new_folder, stage_table
 from .near_dup import _by_group
-from .textops import U, Words, bytes_of, mix, slices
+from .textops import U, Words, mix, text_slices
 
 END = U(0xE7037ED1A0B428DB)
-#: Bytes of input a bucket stands for, and the bounds of the number of buckets.
-BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 8 << 20, 8, 1 << 16
+#: Bytes of text a bucket stands for, and the bounds of the number of buckets.
+BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 12 << 20, 8, 1 << 16
 #: Distinct keys a task holds before it sends them on.
 HELD = 3_000_000
 _PACKED = "kind int, bucket int, keys binary, counts binary"
@@ -149,14 +149,14 @@ def train(spark: SparkSession, docs: DataFrame, folder: str) -> dict:
     begin mark, whose id is the vocabulary size, and followed by END.
     """
     path = local_path(folder)
-    bits = int(np.ceil(np.log2(min(max(row_bytes(docs) / BUCKET_BYTES, LEAST_BUCKETS), MOST_BUCKETS))))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = int(np.ceil(np.log2(min(max(size / BUCKET_BYTES, LEAST_BUCKETS), MOST_BUCKETS))))
 
     def words(batches):
         held = _Counter(bits, True)
         for batch in batches:
-            texts = bytes_of(batch.column(0))
-            for i, j in slices([len(t) for t in texts]):
-                yield from held.add(tokens(texts[i:j])[0])
+            for i, j, texts in text_slices(batch.column(0)):
+                yield from held.add(tokens(texts)[0])
         yield from held.flush()
 
     def merge_words(batches):
@@ -182,9 +182,8 @@ def train(spark: SparkSession, docs: DataFrame, folder: str) -> dict:
     def bigrams(batches):
         held = _Counter(bits, False)
         for batch in batches:
-            texts = bytes_of(batch.column(0))
-            for i, j in slices([len(t) for t in texts]):
-                keys = bigram_keys(path, meta, texts[i:j])[0]
+            for i, j, texts in text_slices(batch.column(0)):
+                keys = bigram_keys(path, meta, texts)[0]
                 yield from held.add(keys)
         yield from held.flush()
 
@@ -321,9 +320,8 @@ def score_documents(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
 
     def work(batches):
         for batch in batches:
-            texts = bytes_of(batch.column(2))
-            for i, j in slices([len(t) for t in texts]):
-                n, known, base, full = score(path, meta, texts[i:j])
+            for i, j, texts in text_slices(batch.column(2)):
+                n, known, base, full = score(path, meta, texts)
                 cols = [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(n), pa.array(known), pa.array(np.full(j - i, meta["tokens"])), pa.array(base), pa.array(full)]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
