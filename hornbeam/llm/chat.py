@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A turn is "### role\\ntext\\n</turn>\\n"; # and < in roles and texts follow a backslash, as does a backslash itself.
+#: A turn is "### role\\ntext\\n</turn>\\n"; roles and texts are escaped, so that they hold no # and no <.
 OPEN, CLOSE = "### ", "\n</turn>\n"
 LOSS_ROLE = "assistant"
 
@@ -59,7 +59,10 @@ def fold(events: DataFrame) -> DataFrame:
 
 
 def escaped(text: Column) -> Column:
-    return F.regexp_replace(text, r"([\\#<])", r"\\$1")
+    """The text without # or <: a backslash is doubled, # is backslash-h and < is backslash-l."""
+    for plain, code in (("\\", "\\\\"), ("#", "\\h"), ("<", "\\l")):
+        text = F.replace(text, F.lit(plain), F.lit(code))
+    return text
 
 
 def render(messages: DataFrame) -> DataFrame:
@@ -79,10 +82,11 @@ def render(messages: DataFrame) -> DataFrame:
 
 
 _ESCAPE = re.compile(r"\\(.)", re.S)
+_CODES = {"n": "\n", "h": "#", "l": "<"}
 
 
 def unescape(text: str) -> str:
-    return _ESCAPE.sub(lambda m: "\n" if m[1] == "n" else m[1], text)
+    return _ESCAPE.sub(lambda m: _CODES.get(m[1], m[1]), text)
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:

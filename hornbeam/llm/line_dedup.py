@@ -7,6 +7,8 @@ exact distinct count.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,15 +55,16 @@ def remove_boilerplate(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     occ = occurrences(given)
     spread = spread_lines(spark, occ, min_sites)
     gone = occ.join(spread, "h").filter(~(F.col("doc_id").eqNullSafe(F.col("keep_doc")) & (F.col("line_no") == F.col("keep_line"))))
-    gone = gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("__gone")).withColumnRenamed("doc_id", "__id")
-    lines = F.split(text_col, "\n")
-    joined = docs.join(gone, docs[id_col].eqNullSafe(F.col("__id")), "left")
-    left = F.array_join(F.filter(lines, lambda _, i: ~F.coalesce(F.array_contains("__gone", i), F.lit(False))), "\n")
-    joined = joined.withColumn("__text", F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(left))
-    worded = F.coalesce(F.size(F.filter(lines, lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))), F.lit(0))
-    joined = joined.withColumn("__n", F.when(F.col(text_col).isNull(), 0).otherwise(worded).cast("long")).withColumn("__removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
-    keep = [F.col("__text").alias(text_col) if c == text_col else docs[c] for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return joined.withColumn("__removed", F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.col("__removed")).cast("long")).select(*keep, F.col("__n").alias("n_lines"), F.col("__removed").alias("n_removed"))
+    # Names no table of the caller's can have.
+    own = {k: f"{k}_{uuid.uuid4().hex}" for k in ("id", "gone", "text", "lines", "removed")}
+    gone = gone.groupBy(F.col("doc_id").alias(own["id"])).agg(F.collect_set("line_no").alias(own["gone"]))
+    joined = docs.join(gone, docs[id_col].eqNullSafe(gone[own["id"]]), "left")
+    lines, hit = F.split(docs[text_col], "\n"), F.col(own["gone"])
+    left = F.array_join(F.filter(lines, lambda _, i: ~F.coalesce(F.array_contains(hit, i), F.lit(False))), "\n")
+    worded = F.size(F.filter(lines, lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]"))))
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    keep = [F.when(hit.isNull(), docs[text_col]).otherwise(left).alias(text_col) if c == text_col else docs[c] for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return joined.select(*keep, count(F.when(docs[text_col].isNotNull(), worded)).alias("n_lines"), count(F.when(hit.isNotNull(), F.size(hit))).alias("n_removed"))
 
 
 SQL = r"""

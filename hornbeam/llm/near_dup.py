@@ -142,8 +142,8 @@ def _by_group(batches, keys: list[str]):
 def picked(docs: DataFrame, ids: DataFrame, how: str, most: int = BROADCAST_IDS) -> DataFrame:
     """``docs`` joined left_semi or left_anti to ids (doc_id): without a shuffle of the texts while the ids, counted first, are few."""
     small = ids.limit(most + 1).count() <= most
-    right = ids.withColumnRenamed("doc_id", "__id")
-    return docs.join(F.broadcast(right) if small else right, docs["doc_id"].eqNullSafe(F.col("__id")) if how == "left_anti" else docs["doc_id"] == F.col("__id"), how)
+    right = ids.select(F.col("doc_id").alias("picked_id"))
+    return docs.join(F.broadcast(right) if small else right, docs["doc_id"] == right["picked_id"], how)
 
 
 def _verified(spark: SparkSession, pairs: DataFrame, docs: DataFrame, size: int, percent: int, driver_edges: int, block: int = VERIFY_BLOCK) -> DataFrame:
