@@ -13,6 +13,7 @@ from .operators import graph as graphs
 from .operators import lifecycle, mutate, retrieval, temporal, text, vector
 from .plans.catalog import Catalog
 from .plans.engine import Engine
+from .plans.indexes import attach
 from .shared import ship, stage_table
 from .streaming.coordinator import windowed_counts
 
@@ -362,6 +363,35 @@ def retrieval_quality(spark, sf):
     return retrieval.quality(ranked, judged).select("queries", F.round("mrr", 6).alias("mrr"), F.round("ndcg_10", 6).alias("ndcg_10"))
 
 
+def _indexed(spark, sf) -> Engine:
+    """Documents, vectors, events and sessions as goals; document and vector ids are the same atoms."""
+    name = lambda c: F.col(c).cast("string")
+    docs = table(spark, sf, "documents").select(name("doc_id").alias("id"), "text")
+    vecs = table(spark, sf, "embeddings").select(name("vec_id").alias("id"), "embedding")
+    ev = events(spark, sf).select(name("id").alias("id"), "user_id", "at")
+    return attach(Engine(spark, Catalog(spark).property("lang", table(spark, sf, "documents").select(name("doc_id"), "lang"), "str")), docs, vecs, ev, sessions(spark, sf).withColumn("id", name("id")))
+
+
+@query("goal_bm25", _BM25 + """ SELECT CAST(doc_id AS VARCHAR) AS "D", round(sum(score), 6) AS "S" FROM x WHERE lang = 'fr' GROUP BY doc_id""")
+def goal_bm25(spark, sf):
+    return _indexed(spark, sf).query('? prop_lang(D, "fr"), bm25("the hash pathetic", D, S).').select("D", F.round("S", 6).alias("S"))
+
+
+@query("goal_vector_similar", """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT v AS q FROM e WHERE vec_id = 7), s AS (SELECT vec_id, list_dot_product(v, q) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(q, q))) AS s FROM e, q WHERE vec_id <> 7) SELECT CAST(vec_id AS VARCHAR) AS "D", round(s, 6) AS "S" FROM s WHERE s > 0.1""")
+def goal_vector_similar(spark, sf):
+    return _indexed(spark, sf).query("? vector_similar('7', D, S), S > 0.1.").select("D", F.round("S", 6).alias("S"))
+
+
+@query("goal_times", f"""SELECT CAST(id AS VARCHAR) AS "E" FROM ({_SE}) WHERE valid_from >= TIMESTAMP '2024-01-04' AND valid_from < TIMESTAMP '2024-01-06' AND valid_from <= TIMESTAMP '{_DAY}' AND (valid_to IS NULL OR valid_to > TIMESTAMP '{_DAY}')""")
+def goal_times(spark, sf):
+    return _indexed(spark, sf).query(f'? temporal_between("2024-01-04", "2024-01-06", E), valid_at("{_DAY}", E).')
+
+
+@query("goal_retrieve", _RRF + """ SELECT CAST(doc_id AS VARCHAR) AS "D" FROM (SELECT doc_id, row_number() OVER (ORDER BY round(sum(score), 9) DESC, CAST(doc_id AS VARCHAR)) AS r FROM x GROUP BY doc_id) WHERE r <= 10""")
+def goal_retrieve(spark, sf):
+    return _indexed(spark, sf).query('? retrieve("the hash pathetic", {top_k: 10}, D, Details).').select("D")
+
+
 # -- mutations and lifecycle ------------------------------------------------------------
 def _graph(spark, sf) -> mutate.Graph:
     t = lambda n: table(spark, sf, n)
