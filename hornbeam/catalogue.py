@@ -30,7 +30,13 @@ def _id(label: str, col: str):
 
 
 def star_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
-    """The star schema as a graph; every label, edge type and property is a projection of one table."""
+    """The star schema as a graph, planned once an application and folder."""
+    return _star_catalog(spark.sparkContext.applicationId, spark, sf_dir)
+
+
+@functools.lru_cache(maxsize=4)
+def _star_catalog(application: str, spark: SparkSession, sf_dir: str) -> Catalog:
+    """Every label, edge type and property is a projection of one table."""
     t = functools.cache(lambda n: table(spark, sf_dir, n))
     keys = {"region": ("region", "r_regionkey"), "nation": ("nation", "n_nationkey"), "customer": ("customer", "c_custkey"), "supplier": ("supplier", "s_suppkey"), "part": ("part", "p_partkey"), "order": ("orders", "o_orderkey")}
     c = Catalog(spark)

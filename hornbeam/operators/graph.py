@@ -57,7 +57,7 @@ def reachable_from(spark: SparkSession, edges: DataFrame, starts: DataFrame, dep
     Breadth first: each round joins the last frontier to the edges and drops,
     by an anti join, what was reached before; rounds are written tables.
     """
-    pairs = edges.select("source", "target").distinct()
+    pairs = stage_table(spark, edges.select("source", "target").distinct(), "pairs")
     frontier = starts.select(F.col("id").alias("source"), F.col("id").alias("target"))
     seen: list[DataFrame] = []
     for d in range(1, depth + 1):
@@ -79,7 +79,7 @@ def shortest_paths(spark: SparkSession, edges: DataFrame, starts: DataFrame, dep
     Of several shortest paths that one is kept which a queue would find first:
     nodes are visited in the order of discovery, their edges by type, then target.
     """
-    order = edges.groupBy("source", "target").agg(F.min("edge_type").alias("edge_type"))
+    order = stage_table(spark, edges.groupBy("source", "target").agg(F.min("edge_type").alias("edge_type")), "pairs")
     frontier = starts.select(F.col("id").alias("source"), F.col("id").alias("target"), F.array("id").alias("path"), F.array().cast("array<string>").alias("rank"))
     seen: list[DataFrame] = []
     for _ in range(depth):
