@@ -14,7 +14,7 @@ from .operators import lifecycle, mutate, retrieval, temporal, text, vector
 from .plans.catalog import Catalog
 from .plans.engine import Engine
 from .plans.indexes import attach
-from .shared import ship, stage_table
+from .shared import stage_table
 from .streaming.coordinator import windowed_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -222,19 +222,16 @@ def page_2(spark, sf):
 
 @query("chunk_paragraph", None)
 def chunk_paragraph(spark, sf):
-    ship(spark)
     return text.chunked(table(spark, sf, "documents"), "paragraph").select("doc_id", "ordinal", "start", "end", "fingerprint")
 
 
 @query("chunk_window", None)
 def chunk_window(spark, sf):
-    ship(spark)
     return text.chunked(table(spark, sf, "documents"), "window", size=100, overlap=20).select("doc_id", "ordinal", "start", "end", "fingerprint")
 
 
 @query("chunk_whole", "SELECT doc_id, 0 AS ordinal, 0 AS start, CAST(octet_length(encode(text)) AS INTEGER) AS \"end\", sha256(text) AS fingerprint FROM documents WHERE trim(text, ' ' || chr(9) || chr(10)) <> ''")
 def chunk_whole(spark, sf):
-    ship(spark)
     return text.chunked(table(spark, sf, "documents"), "whole").select("doc_id", "ordinal", "start", "end", "fingerprint")
 
 
@@ -334,10 +331,16 @@ def as_of_join(spark, sf):
     return temporal.as_of(versions, e.filter("event_type = 'purchase'").select("user_id", "at", "id"), "user_id").select("id", F.coalesce("version", F.lit(-1)).alias("version"))
 
 
-@query("overlap_join", f"WITH s AS (SELECT * FROM ({_SE}) WHERE valid_to IS NULL OR valid_to > valid_from) SELECT a.id AS a, b.id AS b FROM s a JOIN s b ON a.user_id % 10 = b.user_id % 10 AND a.user_id < b.user_id AND a.valid_from < coalesce(b.valid_to, TIMESTAMP '9999-12-31') AND b.valid_from < coalesce(a.valid_to, TIMESTAMP '9999-12-31') WHERE a.user_id < 40 AND b.user_id < 40")
+_BY_TYPE = "SELECT event_id, user_id, event_type, ts, lead(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS te FROM events"
+
+
+@query("overlap_join", f"WITH s AS (SELECT * FROM ({_BY_TYPE}) WHERE te IS NULL OR te > ts) SELECT a.event_id AS a, b.event_id AS b FROM s a JOIN s b ON a.user_id = b.user_id AND a.ts < coalesce(b.te, TIMESTAMP '9999-12-31') AND b.ts < coalesce(a.te, TIMESTAMP '9999-12-31') WHERE a.event_type = 'purchase' AND b.event_type = 'view'")
 def overlap_join(spark, sf):
-    s = sessions(spark, sf).filter("valid_to is null or valid_to > valid_from").filter("user_id < 40").withColumn("g", F.pmod("user_id", F.lit(10))).select("g", "user_id", "id", "valid_from", "valid_to")
-    return temporal.overlap_join(s, s, ["g"]).filter("left_user_id < right_user_id").select(F.col("left_id").alias("a"), F.col("right_id").alias("b"))
+    """Purchases and views of a user whose intervals, each up to the next of its kind, overlap."""
+    w = W.partitionBy("user_id", "event_type").orderBy("at", "id")
+    s = events(spark, sf).withColumn("valid_to", F.lead("at").over(w)).withColumnRenamed("at", "valid_from").filter("valid_to is null or valid_to > valid_from")
+    side = lambda kind: s.filter(F.col("event_type") == kind).select("user_id", "id", "valid_from", "valid_to")
+    return temporal.overlap_join(side("purchase"), side("view"), ["user_id"]).select(F.col("left_id").alias("a"), F.col("right_id").alias("b"))
 
 
 # -- hybrid retrieval -----------------------------------------------------------------
@@ -452,11 +455,12 @@ def outbox_compaction(spark, sf):
     return mutate.compacted(box, spark.createDataFrame([("bm25", 900), ("vector", 300)], "target string, published long"))
 
 
-@query("manifest_diff", "SELECT CAST(p_partkey AS VARCHAR) AS entity, CASE WHEN p_partkey % 3 = 0 AND p_partkey % 2 = 0 THEN CASE WHEN p_size > 25 THEN 'update' ELSE 'keep' END WHEN p_partkey % 3 = 0 THEN 'delete' ELSE 'insert' END AS action FROM part WHERE p_partkey % 3 = 0 OR p_partkey % 2 = 0")
+@query("manifest_diff", "SELECT CAST(p_partkey AS VARCHAR) AS entity, CASE WHEN p_size < 20 THEN 'delete' WHEN p_size > 30 THEN 'insert' WHEN p_retailprice > 1500 THEN 'update' ELSE 'keep' END AS action FROM part")
 def manifest_diff(spark, sf):
-    rows = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("entity"), F.lit("body").alias("field"), F.lit("0").alias("chunk_id"), F.sha2("p_name", 256).alias("fingerprint"), "p_partkey", "p_size")
-    new = rows.filter("p_partkey % 2 = 0").withColumn("fingerprint", F.when(F.col("p_size") > 25, F.lit("changed")).otherwise(F.col("fingerprint")))
-    return lifecycle.manifest_diff(rows.filter("p_partkey % 3 = 0"), new).select("entity", "action")
+    """Documents of parts up to size 30 were indexed, those from size 20 are wanted, the dear ones with new content."""
+    rows = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("entity"), F.lit("body").alias("field"), F.lit("0").alias("chunk_id"), F.sha2("p_name", 256).alias("fingerprint"), "p_size", "p_retailprice")
+    new = rows.filter("p_size >= 20").withColumn("fingerprint", F.when(F.col("p_retailprice") > 1500, F.lit("changed")).otherwise(F.col("fingerprint")))
+    return lifecycle.manifest_diff(rows.filter("p_size <= 30"), new).select("entity", "action")
 
 
 @query("job_metrics", "SELECT * FROM (VALUES ('completed', 1::BIGINT), ('retry', 1::BIGINT), ('leased', 1::BIGINT), ('pending', (SELECT count(*) - 3 FROM part))) t(state, jobs)")

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from ..shared import ship
+
 K1, B = 1.2, 0.75
 #: Words of letters and digits; a CJK character is a token of its own, in place of a dictionary.
 TOKEN = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]|[\p{L}\p{N}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}]]+"
@@ -158,6 +160,8 @@ _CHUNK_TYPE = T.ArrayType(T.StructType([T.StructField("chunk_id", T.StringType()
 
 def chunked(docs: DataFrame, how: str = "paragraph", id_col: str = "doc_id", text_col: str = "text", size: int = 200, overlap: int = 0) -> DataFrame:
     """doc_id, chunk_id, ordinal, start, end, content, fingerprint; an Arrow function, since chunks are cut by a small state machine."""
+    ship(docs.sparkSession)
+
     @F.pandas_udf(_CHUNK_TYPE)
     def cut(s: pd.Series) -> pd.Series:
         f = (lambda t: token_windows(t, size, overlap)) if how == "window" else CHUNKERS[how]

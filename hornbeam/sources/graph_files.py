@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import ship
+
 _GRAPH = "nodes array<struct<id:string,labels:array<string>,properties:string>>, edges array<struct<id:string,edge_type:string,type:string,source:string,target:string,properties:string>>"
 
 
@@ -51,6 +53,7 @@ def markdown_chunks(text: str, most: int = MOST_CHUNK) -> list[str]:
 
 def read_markdown(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """``document`` nodes (title, path, content), ``chunk`` nodes and ``contains`` edges of all .md files below a path."""
+    ship(spark)
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
     @F.pandas_udf("array<string>")
@@ -108,6 +111,7 @@ def read_facts(spark: SparkSession, path: str) -> DataFrame:
 
     from ..plans.parser import statements
 
+    ship(spark)
     files = spark.read.text(path, wholetext=True)
 
     def work(batches):
