@@ -1,10 +1,14 @@
-"""An interpolated modified Kneser-Ney bigram model counted by Spark.
+"""An interpolated modified Kneser-Ney model of any order from 2, counted by Spark.
 
 Words are 64-bit hashes; their rank among all training hashes is their id.
 Tasks count locally and exchange packed, sorted arrays by hash bucket, so a
 frequent word or bigram is one entry a task and no bucket is hot. Reducers
 write each bucket as sorted arrays into the shared folder, where scoring
 workers map them into memory and look up sorted batches.
+
+N-grams of three words and more are exchanged as ids by the hash of their
+context, so that a reducer sees all that follows a context; what it emits is
+the number of words that each shorter n-gram follows, the count one order down.
 """
 
 from __future__ import annotations
@@ -113,6 +117,168 @@ class _Counter:
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["kind", "bucket", "keys", "counts"])
 
 
+def gram_columns(ids: list[np.ndarray]) -> list[np.ndarray]:
+    """The ids of n-grams, two to a 64-bit column."""
+    ids = [x.astype(np.uint64) for x in ids]
+    return [(ids[j] << U(32)) | ids[j + 1] if j + 1 < len(ids) else ids[j] for j in range(0, len(ids), 2)]
+
+
+def gram_ids(columns: list[np.ndarray], k: int) -> list[np.ndarray]:
+    halves = [h for x in columns for h in (x >> U(32), x & U(0xFFFFFFFF))]
+    return halves[:k] if k % 2 == 0 else [*halves[: k - 1], columns[-1]]
+
+
+def gram_hash(ids: list[np.ndarray]) -> np.ndarray:
+    h = np.zeros(len(ids[0]), np.uint64)
+    for x in ids:
+        h = mix(h * U(0xD6E8FEB86659FD93) + x.astype(np.uint64) + U(1))
+    return h
+
+
+def summed_grams(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct n-grams in order with the sums of their counts."""
+    if not len(counts):
+        return columns, counts
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    at = np.flatnonzero(new)
+    return [c[at] for c in columns], np.add.reduceat(counts[order], at)
+
+
+def gram_rows(columns: list[np.ndarray], counts: np.ndarray, k: int, bits: int):
+    """Batches of sorted distinct n-grams by bucket: pairs by their own hash, longer ones by that of their context."""
+    if not len(counts):
+        return
+    h = mix(columns[0]) if k == 2 else gram_hash(gram_ids(columns, k)[:-1])
+    bucket = (h >> U(64 - bits)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    at = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
+    rows = []
+    for b in np.flatnonzero(np.diff(at)).tolist():
+        i = order[at[b] : at[b + 1]]
+        keys = pack(np.concatenate([np.diff(columns[0][i], prepend=U(0)), *(c[i] for c in columns[1:])]))
+        rows.append((k, b, keys, pack(counts[i].astype(np.uint32))))
+    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["kind", "bucket", "keys", "counts"])
+
+
+def gathered_grams(t: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
+    parts, counts = [], []
+    for keys, c in zip(t.column("keys").to_pylist(), t.column("counts").to_pylist()):
+        counts.append(unpack(c, np.uint32).astype(np.int64))
+        columns = unpack(keys, np.uint64).reshape(-1, len(counts[-1]))
+        parts.append([np.cumsum(columns[0], dtype=np.uint64), *columns[1:]])
+    return summed_grams([np.concatenate(x) for x in zip(*parts)], np.concatenate(counts))
+
+
+class _GramCounter:
+    """Counts of n-grams in a task, sent on by bucket when many are held."""
+
+    def __init__(self, bits: int, k: int):
+        self.bits, self.k, self.parts, self.size = bits, k, [], 0
+
+    def add(self, ids: list[np.ndarray]):
+        columns, counts = summed_grams(gram_columns(ids), np.ones(len(ids[0]), np.int64))
+        self.parts.append((columns, counts))
+        self.size += len(counts) * len(columns)
+        if self.size >= HELD:
+            yield from self.flush()
+
+    def flush(self):
+        if self.parts:
+            columns, counts = summed_grams([np.concatenate(x) for x in zip(*(p for p, _ in self.parts))], np.concatenate([c for _, c in self.parts]))
+            self.parts, self.size = [], 0
+            yield from gram_rows(columns, counts, self.k, self.bits)
+
+
+def grams_before(ids: np.ndarray, first: np.ndarray, begin: int, n: int) -> list[np.ndarray]:
+    """Of every token the ids of the ``n`` tokens before it, the farthest first; -2 beyond the begin mark."""
+    place = np.arange(len(ids)) - np.repeat(first[:-1], np.diff(first))
+    out = []
+    for j in range(n, 0, -1):
+        x = np.full(len(ids), -2, np.int64)
+        x[j:] = ids[:-j]
+        x[place < j] = -2
+        x[place == j - 1] = begin
+        out.append(x)
+    return out
+
+
+def _save_followers(path: str, context: np.ndarray, word: np.ndarray, count: np.ndarray) -> None:
+    """One file of all that follows the contexts of a bucket, given in order of (context, word).
+
+    A context that came once is its hash and word. Of the others, counts are
+    single bytes, 255 standing for a value in a list of larger ones.
+    """
+    at = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
+    size = np.diff(at, append=len(context))
+    total, one, two = (np.add.reduceat(x.astype(np.int64), at) for x in (count, count == 1, count == 2))
+    single = total == 1
+    many = np.repeat(~single, size)
+    numbers = np.concatenate([total[~single], one[~single], two[~single], count[many]])
+    large = np.flatnonzero(numbers >= 255)
+    start = np.concatenate(([0], np.cumsum(size[~single])))
+    arrays = [context[at[single]], context[at[~single]], numbers[large].astype(np.uint64), word[at[single]].astype(np.uint32), start.astype(np.uint32), word[many].astype(np.uint32), large.astype(np.uint32), np.minimum(numbers, 255).astype(np.uint8)]
+    _save(path, np.concatenate([np.array([len(x) for x in arrays], np.uint64).view(np.uint8), *(np.ascontiguousarray(x).view(np.uint8) for x in arrays)]))
+
+
+@functools.lru_cache(maxsize=4096)
+def _followers(path: str) -> tuple[np.ndarray, ...]:
+    raw = np.load(path, mmap_mode="r")
+    at, out = 64, []
+    for n, kind in zip(raw[:64].view(np.uint64).tolist(), (np.uint64,) * 3 + (np.uint32,) * 4 + (np.uint8,)):
+        end = at + n * np.dtype(kind).itemsize
+        out.append(raw[at:end].view(kind))
+        at = end
+    return tuple(out)
+
+
+def _numbers(held: tuple[np.ndarray, ...], at: np.ndarray) -> np.ndarray:
+    value, place, small = held[2], held[6], held[7]
+    out = small[at].astype(np.int64)
+    large = np.flatnonzero(out == 255)
+    out[large] = value[np.searchsorted(place, at[large])]
+    return out
+
+
+def _at(held: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of sorted keys in a sorted array, and whether they are there."""
+    if not len(held):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(held, keys), len(held) - 1)
+    return at, held[at] == keys
+
+
+def _looked_up(path: str, meta: dict, k: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Columns total, followers once, twice and more of each context, and the count of the word after it; word is -1 if unknown."""
+    out = np.zeros((5, len(context)), np.int64)
+    order = np.argsort(context, kind="stable")
+    cut = np.searchsorted((context[order] >> U(64 - meta["bits"])).astype(np.int64), np.arange((1 << meta["bits"]) + 1))
+    for b, (lo, hi) in enumerate(zip(cut, cut[1:])):
+        name = f"{path}/u{k}-{b:05d}.npy"
+        if lo == hi or not _exists(name):
+            continue
+        held, rows = _followers(name), order[lo:hi]
+        at, there = _at(held[0], context[rows])
+        i = rows[there]
+        out[0, i] = out[1, i] = 1
+        out[4, i] = held[3][at[there]] == word[i]
+        at, there = _at(held[1], context[rows])
+        i, at, n = rows[there], at[there], len(held[1])
+        total, one, two = (_numbers(held, at + x * n) for x in range(3))
+        start, end = held[4][at].astype(np.int64), held[4][at + 1].astype(np.int64)
+        out[:4, i] = total, one, two, end - start - one - two
+        low, high = start, end - 1
+        while (low < high).any():
+            middle = (low + high) // 2
+            less = held[5][middle] < word[i]
+            low, high = np.where(less & (low < high), middle + 1, low), np.where(less, high, middle)
+        found = held[5][low] == word[i] if len(i) else np.zeros(0, bool)
+        out[4, i[found]] = _numbers(held, 3 * n + low[found])
+    return out
+
+
 @functools.lru_cache(maxsize=4096)
 def _mapped(path: str) -> np.ndarray:
     return np.load(path, mmap_mode="r")
@@ -142,12 +308,16 @@ def _discount(d: list[float], c: np.ndarray) -> np.ndarray:
     return np.array([0.0, *d])[np.minimum(c, 3).astype(np.int64)]
 
 
-def train(spark: SparkSession, docs: DataFrame, folder: str) -> dict:
+def train(spark: SparkSession, docs: DataFrame, folder: str, order: int = 2) -> dict:
     """Counts (doc_id, text binary) and writes the model's arrays into ``folder``; returns what scoring needs besides them.
 
     Only totals by bucket come to the driver. Words of a text are preceded by a
-    begin mark, whose id is the vocabulary size, and followed by END.
+    begin mark, whose id is the vocabulary size, and followed by END. Below the
+    highest order an n-gram's count is the number of words it follows, but its
+    occurrences if it starts with the begin mark, which follows nothing.
     """
+    if order < 2:
+        raise ValueError("order is 2 at least")
     path = local_path(folder)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = int(np.ceil(np.log2(min(max(size / BUCKET_BYTES, LEAST_BUCKETS), MOST_BUCKETS))))
@@ -176,7 +346,7 @@ def train(spark: SparkSession, docs: DataFrame, folder: str) -> dict:
         offset.append(offset[-1] + (sizes[b]["n"] if b in sizes else 0))
     v = offset[-1]
     if v >= (1 << 32) - 1:
-        raise ValueError("bigram keys hold vocabularies below 2**32 words")
+        raise ValueError("n-gram keys hold vocabularies below 2**32 words")
     meta = {"bits": bits, "offset": offset, "words": v, "tokens": sum(r["total"] for r in sizes.values()), "slices": 1 << bits, "width": max(1, -(-(v + 1) // (1 << bits)))}
 
     def bigrams(batches):
@@ -187,6 +357,41 @@ def train(spark: SparkSession, docs: DataFrame, folder: str) -> dict:
                 yield from held.add(keys)
         yield from held.flush()
 
+    def longest(batches):
+        held = _GramCounter(bits, order)
+        for batch in batches:
+            for i, j, texts in text_slices(batch.column(0)):
+                _, ids, _, first = bigram_keys(path, meta, texts)
+                grams = [*grams_before(ids, first, v, order - 1), ids]
+                whole = grams[0] >= 0
+                yield from held.add([x[whole] for x in grams])
+        yield from held.flush()
+
+    def beginnings(batches):
+        held = {k: _GramCounter(bits, k) for k in range(2, order)}
+        for batch in batches:
+            for i, j, texts in text_slices(batch.column(0)):
+                _, ids, _, first = bigram_keys(path, meta, [b" ".join(x.split(None, order)[:order]) for x in texts])
+                for k, counter in held.items():
+                    grams = [*grams_before(ids, first, v, k - 1), ids]
+                    opening = grams[0] == v
+                    yield from counter.add([x[opening] for x in grams])
+        for counter in held.values():
+            yield from counter.flush()
+
+    def merged(k: int):
+        def work(batches):
+            for t in _by_group(batches, ["bucket"]):
+                columns, counts = gathered_grams(t)
+                b, ids = t.column("bucket")[0].as_py(), gram_ids(columns, k)
+                context = gram_hash(ids[:-1])
+                by_context = np.lexsort((ids[-1], context))
+                _save_followers(f"{path}/u{k}-{b:05d}.npy", context[by_context], ids[-1][by_context], counts[by_context])
+                _save(f"{path}/s{k}-{b:05d}.npy", np.array([(counts == x).sum() for x in (1, 2, 3, 4)]))
+                yield from gram_rows(*summed_grams(gram_columns(ids[1:]), np.ones(len(counts), np.int64)), k - 1, bits)
+
+        return work
+
     width, kinds = meta["width"], (pa.int32(), pa.int32(), pa.binary(), pa.binary())
 
     def by_slice(kind: int, ids: np.ndarray, sums: np.ndarray):
@@ -210,7 +415,13 @@ def train(spark: SparkSession, docs: DataFrame, folder: str) -> dict:
             rows += by_slice(5, *summed(keys & U(0xFFFFFFFF), np.ones(len(keys), np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["kind", "bucket", "keys", "counts"])
 
-    grouped = texts.mapInArrow(bigrams, _PACKED).repartition("bucket").sortWithinPartitions("bucket")
+    if order == 2:
+        counted = texts.mapInArrow(bigrams, _PACKED)
+    else:
+        counted, opening = texts.mapInArrow(longest, _PACKED), texts.mapInArrow(beginnings, _PACKED)
+        for k in range(order, 2, -1):
+            counted = counted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merged(k), _PACKED).union(opening.filter(F.col("kind") == k - 1))
+    grouped = counted.repartition("bucket").sortWithinPartitions("bucket")
     partial = stage_table(spark, grouped.mapInArrow(merge_bigrams, _PACKED), "contexts")
     n2 = np.zeros(4, np.int64)
     for r in partial.filter("kind = 0").select("counts").collect():
@@ -232,7 +443,11 @@ def train(spark: SparkSession, docs: DataFrame, folder: str) -> dict:
         left += r["stats"] if r["kind"] == 5 else 0
     d1, d2 = discounts(left[1:5].tolist()), discounts(n2.tolist())
     gamma = float((d1[0] * left[1] + d1[1] * left[2] + d1[2] * left[5]) / left[0]) if left[0] else 1.0
-    return meta | {"d1": d1, "d2": d2, "types": int(left[0]), "gamma": gamma}
+    upper = {}
+    for k in range(3, order + 1):
+        files = [f"{path}/s{k}-{b:05d}.npy" for b in range(1 << bits)]
+        upper[k] = discounts(sum((np.load(f) for f in files if os.path.exists(f)), np.zeros(4, np.int64)).tolist())
+    return meta | {"d1": d1, "d2": d2, "types": int(left[0]), "gamma": gamma, "upper": upper}
 
 
 def bigram_keys(path: str, meta: dict, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -283,6 +498,13 @@ def score(path: str, meta: dict, texts: list[bytes]) -> tuple[np.ndarray, ...]:
         full[has] = np.maximum(total, 1)[where]
         c = found[again]
         p[pair] += np.maximum(c - _discount(meta["d2"], c), 0) / full[pair]
+    for k, d in meta["upper"].items():
+        context = grams_before(ids, first, v, k - 1)
+        has = np.flatnonzero(np.all([x >= 0 for x in context], axis=0))
+        total, one, two, more, c = _looked_up(path, meta, k, gram_hash([x[has] for x in context]), ids[has])
+        seen = total > 0
+        has, total, one, two, more, c = has[seen], total[seen], one[seen], two[seen], more[seen], c[seen]
+        p[has] = (np.maximum(c - _discount(d, c), 0) + (d[0] * one + d[1] * two + d[2] * more) * p[has]) / total
     n = np.diff(first)
     add = lambda x: np.add.reduceat(x, first[:-1])
     return n, add(known.astype(np.int64)), add(base), add(np.log10(p))
@@ -303,19 +525,20 @@ def _dense_of(path: str, meta: dict, kind: int, ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def score_documents(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2) -> DataFrame:
+def score_documents(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, order: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row for each row of ``docs``.
 
     Learns from rows whose crc32(doc_id as text) mod ``folds`` isn't
     ``held_fold``; a null id trains. Texts are lower-cased in A-Z; a null text is
     empty and has the end token only. Repeated rows count as often as they come;
     other columns are ignored. Without training rows every word is unknown and
-    has probability 1. ``base_score`` is the add-one unigram model's.
+    has probability 1. ``score`` is of the n-gram model of ``order`` words;
+    ``base_score`` is the add-one unigram model's.
     """
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_binary(text_col).alias("text"))
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) == held_fold, F.lit(False))
     folder = new_folder(spark, "ngrams")
-    meta = train(spark, given.filter(~held), folder)
+    meta = train(spark, given.filter(~held), folder, order)
     path = local_path(folder)
 
     def work(batches):

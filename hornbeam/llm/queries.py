@@ -42,8 +42,8 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    return score_documents(spark, table(spark, sf_dir, "documents"))
+    """Per document, by trigrams: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    return score_documents(spark, table(spark, sf_dir, "documents"), order=3)
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

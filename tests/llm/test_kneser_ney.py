@@ -62,3 +62,53 @@ def test_packing_round_trips():
     x = np.sort(np.random.default_rng(1).integers(0, 2**63, 1000).astype(np.uint64))
     assert (kn._unpack_sorted(kn._pack_sorted(x)) == x).all()
     assert kn.discounts([0, 0, 0, 0]) == [0.5, 1.0, 1.5]
+
+
+def brute_order(rows, order):
+    """doc_id -> score by plain counting of n-grams of any order."""
+    docs = [(i, ["<s>", *(t or "").encode().lower().split(), None]) for i, t in rows]
+    train = [w for i, w in docs if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
+    counts = {order: collections.Counter(tuple(w[j : j + order]) for w in train for j in range(len(w) - order + 1))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = collections.Counter(g[1:] for g in counts[k + 1])
+        counts[k].update(tuple(w[:k]) for w in train if 1 < k <= len(w))
+    words = {x for w in train for x in w[1:]}
+    follow = collections.defaultdict(list)
+    for k in counts:
+        for g, c in counts[k].items():
+            follow[g[:-1]].append(c)
+    d = {k: kn.discounts([sum(c == x for c in counts[k].values()) for x in (1, 2, 3, 4)]) for k in counts}
+    cut = lambda k, c: d[k][min(c, 3) - 1] if c else 0
+    stats = {h: (sum(x), sum(cut(len(h) + 1, c) for c in x)) for h, x in follow.items()}
+
+    def p(h, w):
+        lower = p(h[1:], w) if h else 1 / (len(words) + 1)
+        if h not in stats:
+            return lower
+        c = counts[len(h) + 1].get((*h, w), 0)
+        return (c - cut(len(h) + 1, c) + stats[h][1] * lower) / stats[h][0]
+
+    for h in list(follow)[:: max(1, len(follow) // 20)]:
+        assert math.isclose(sum(p(h, w) for w in words) + p(h, "never seen"), 1)
+    return {i: sum(math.log10(p(tuple(w[max(0, j - order + 1) : j]), w[j])) for j in range(1, len(w))) for i, w in docs}
+
+
+def test_longer_orders_match_plain_counting(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choice("abcdefgh") * (1 + r.randrange(2)) for _ in range(r.randrange(40)))) for i in range(60)] + [(60, "a"), (61, None), (62, "b never c"), (63, "a b c " * 400), (None, "a b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for order in (3, 4):
+        want = brute_order(rows, order)
+        got = kn.score_documents(spark, df, order=order).collect()
+        assert len(got) == len(rows) and all(math.isclose(r["score"], want[r["doc_id"]], rel_tol=1e-9) for r in got)
+
+
+def test_the_query_looks_at_more_than_one_word(spark):
+    from hornbeam.llm.queries import op5_kneser_ney
+
+    sf = "/root/testdata/sf0.001"
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    want = brute_order(rows, 3)
+    assert all(math.isclose(r["score"], want[r["doc_id"]], rel_tol=1e-9) for r in op5_kneser_ney(spark, sf).collect())
