@@ -4,7 +4,8 @@ Numbers, units and names become typed placeholders, so that a question with
 other values has the same template. Hashed windows of benchmark templates are
 looked up in every window of every document; hits are aligned with the item,
 and a hit counts only if each value of the item stands for one value of the
-document throughout.
+document throughout. Windows of the literal tokens, every value kept, find
+verbatim copies also where a template has too few literals to tell anything.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ from .common import as_binary
 from .textops import U, Words, inside_one, mix, text_slices, windows
 
 WINDOW = 10
-#: Fewer literal tokens than this in a window, or tokens in an item, tell nothing.
+#: Fewer literal tokens than this in a template window, or tokens in a template, tell nothing; such text is found verbatim only.
 LEAST_LITERAL = 5
+#: Items of fewer bytes of words than this, like 'a b c d', are no text to look for.
+LEAST_BYTES = 5
 #: An item is found if so many tokens in a row match, or this share of its tokens.
 RUN_TOKENS, SHARE = 13, 0.5
 #: Benchmark text is looked up in blocks of at most so many bytes, each one scan of the documents.
@@ -43,6 +46,9 @@ _LOWER = np.zeros(256, bool)
 _LOWER[97:123] = True
 _MARK = np.zeros(256, bool)
 _MARK[list(b".!?:\n\"'(")] = True
+#: First and last characters of scripts without spaces, one token a character, and of punctuation beyond ASCII.
+_ALONE = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x2FFF), (0x3040, 0x312F), (0x31A0, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF))
+_STOPS = ((0x2000, 0x206F), (0x3000, 0x3004), (0x3008, 0x3020), (0x3030, 0x3030), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65))
 NUM, UNIT, NAME = (mix(np.array([x], np.uint64))[0] for x in (11, 12, 13))
 LITERAL, IS_NUM, IS_UNIT, IS_NAME = 0, 1, 2, 3
 
@@ -55,8 +61,34 @@ def folded(text: bytes) -> bytes:
     return low if len(low) == len(text) else text.lower()
 
 
+def token_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and byte after the last of each token of UTF-8 bytes."""
+    inside = ~_SEP[raw]
+    cut = np.zeros(len(raw) + 1, bool)
+    for least, most, n in ((0xE0, 0xEF, 3), (0xF0, 0xF4, 4)):
+        at = np.flatnonzero((raw >= least) & (raw <= most))
+        at = at[at + n <= len(raw)]
+        code = raw[at].astype(np.int32) & (0x0F if n == 3 else 0x07)
+        whole = np.ones(len(at), bool)
+        for k in range(1, n):
+            whole &= raw[at + k] & 0xC0 == 0x80
+            code = code << 6 | raw[at + k] & 0x3F
+        within = lambda ranges: whole & np.any([(code >= a) & (code <= b) for a, b in ranges], axis=0)
+        alone = at[within(_ALONE)]
+        cut[alone] = cut[alone + n] = True
+        stop = at[within(_STOPS)]
+        for k in range(n):
+            inside[stop + k] = False
+    before, after = np.concatenate(([False], inside)), np.concatenate((inside, [False]))
+    return np.flatnonzero(after & (~before | cut)), np.flatnonzero(before & (~after | cut))
+
+
 class Templates:
-    """Tokens of several texts: literal hash, kind, and the template hash with names kept (0) or replaced (1)."""
+    """Tokens of several texts: literal hash, kind, and the template hash with names kept (0) or replaced (1).
+
+    ``literal``, ``length`` and ``literal_first`` are of the tokens before numbers
+    are joined; ``group`` is the place of each among the joined ones.
+    """
 
     def __init__(self, texts: list[bytes]):
         joined = b"\n".join(texts)
@@ -64,8 +96,7 @@ class Templates:
         w = Words.__new__(Words)
         w.buf = np.frombuffer(b"\n".join(folded(t) for t in texts), np.uint8)
         base = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
-        edge = np.diff(np.concatenate(([0], (~_SEP[raw]).view(np.int8), [0])))
-        w.start, w.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        w.start, w.end = token_bounds(raw)
         first = np.searchsorted(w.start, base)
         literal = w._hashes()
         digits = np.concatenate(([0], np.cumsum(_DIGIT[raw], dtype=np.int32)))
@@ -97,6 +128,7 @@ class Templates:
         gap[1:] = marks[w.start[1:]] > marks[w.end[:-1]]
         named = (title & ~gap) | (title & np.isin(literal, _known()[2]))
         self.value, self.kind = value, kind
+        self.literal, self.length, self.literal_first, self.group = literal, w.end - w.start, first, group
         named = named[keep] & (kind == LITERAL)
         self.first = np.concatenate(([0], np.cumsum(keep)))[first]
         plain = np.where(kind == IS_NUM, NUM, np.where(kind == IS_UNIT, UNIT, value))
@@ -104,6 +136,8 @@ class Templates:
         self.kinds = (kind, np.where(named, IS_NAME, kind))
 
 
+#: The variant of a table of literal windows.
+_VERBATIM = 2
 _cache: list[np.ndarray] = []
 
 
@@ -119,7 +153,7 @@ def _literal_enough(kind: np.ndarray, n: int) -> np.ndarray:
 
 
 class Benchmark:
-    """Hashed template windows of a block of items; items shorter than WINDOW are one window of their own length."""
+    """Hashed template and literal windows of a block of items; items shorter than WINDOW are one window of their own length."""
 
     def __init__(self, items: list[tuple[int, bytes]]):
         self.ids = [i for i, _ in items]
@@ -134,11 +168,21 @@ class Benchmark:
                 owner = np.searchsorted(self.t.first, at, "right") - 1
                 fit = np.minimum(self.size[owner], WINDOW) == n
                 at, owner = at[fit], owner[fit]
-                h = windows(self.t.template[variant], n)[at]
-                order = np.argsort(h, kind="stable")
-                bits = np.zeros(1 << 20, bool)
-                bits[(h & U((1 << 20) - 1)).astype(np.int64)] = True
-                self.tables.append((variant, n, bits, h[order], owner[order], (at - self.t.first[owner])[order]))
+                self._index(variant, n, self.t.template[variant], self.t.first, at, owner)
+        self.literal_size = np.diff(self.t.literal_first)
+        letters = np.diff(np.concatenate(([0], np.cumsum(self.t.length)))[self.t.literal_first])
+        for n in sorted({min(WINDOW, int(s)) for s in self.literal_size[letters >= LEAST_BYTES]}):
+            at = inside_one(self.t.literal_first, n)
+            owner = np.searchsorted(self.t.literal_first, at, "right") - 1
+            fit = (np.minimum(self.literal_size[owner], WINDOW) == n) & (letters[owner] >= LEAST_BYTES)
+            self._index(_VERBATIM, n, self.t.literal, self.t.literal_first, at[fit], owner[fit])
+
+    def _index(self, variant: int, n: int, hashes: np.ndarray, first: np.ndarray, at: np.ndarray, owner: np.ndarray) -> None:
+        h = windows(hashes, n)[at]
+        order = np.argsort(h, kind="stable")
+        bits = np.zeros(1 << 20, bool)
+        bits[(h & U((1 << 20) - 1)).astype(np.int64)] = True
+        self.tables.append((variant, n, bits, h[order], owner[order], (at - first[owner])[order]))
 
     def matches(self, texts: list[bytes]) -> list[tuple[int, int, int, int]]:
         """(text, item, matched tokens, tokens of the item) of every item found in a text."""
@@ -146,18 +190,20 @@ class Benchmark:
             return []
         t = Templates(texts)
         hits: dict[tuple[int, int, int], list[tuple[int, int]]] = defaultdict(list)
+        verbatim: dict[tuple[int, int, int], list[tuple[int, int]]] = defaultdict(list)
         for variant, n, bits, known, owner, place in self.tables:
-            at = inside_one(t.first, n)
+            hashes, first, into = (t.literal, t.literal_first, verbatim) if variant == _VERBATIM else (t.template[variant], t.first, hits)
+            at = inside_one(first, n)
             if not len(at) or not len(known):
                 continue
-            h = windows(t.template[variant], n)[at]
+            h = windows(hashes, n)[at]
             some = np.flatnonzero(bits[(h & U((1 << 20) - 1)).astype(np.int64)])
             lo, hi = np.searchsorted(known, h[some], "left"), np.searchsorted(known, h[some], "right")
             for k, a, b in zip(some[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
                 pos = int(at[k])
-                doc = int(np.searchsorted(t.first, pos, "right")) - 1
+                doc = int(np.searchsorted(first, pos, "right")) - 1
                 for j in range(a, b):
-                    hits[doc, int(owner[j]), pos - int(place[j])].append((int(place[j]), int(place[j]) + n))
+                    into[doc, int(owner[j]), pos - int(place[j])].append((int(place[j]), int(place[j]) + n))
         best: dict[tuple[int, int], int] = {}
         for (doc, item, shift), found in hits.items():
             # Overlapping windows at one shift form runs. If the slots of all of them disagree, only stretches with the item's own values count.
@@ -175,11 +221,22 @@ class Benchmark:
             n = int((edge[1::2] - edge[::2]).max(initial=0))
             if n:
                 best[doc, item] = max(best.get((doc, item), 0), n)
+        enough = lambda n, size: n >= min(size, RUN_TOKENS) or n >= SHARE * size
+        copied: dict[tuple[int, int], int] = {}
+        for (doc, item, _), found in verbatim.items():
+            group = self.t.group[self.t.literal_first[item] : self.t.literal_first[item + 1]]
+            covered = np.zeros(len(group), bool)
+            for a, b in found:
+                covered[a:b] = True
+            edge = np.flatnonzero(np.diff(np.concatenate(([0], covered.view(np.int8), [0]))))
+            for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+                if enough(b - a, len(group)):
+                    copied[doc, item] = max(copied.get((doc, item), 0), int(group[b - 1] - group[a]) + 1)
         out = []
-        for (doc, item), n in sorted(best.items()):
-            size = int(self.size[item])
-            if n >= min(size, RUN_TOKENS) or n >= SHARE * size:
-                out.append((doc, self.ids[item], n, size))
+        for doc, item in sorted(best.keys() | copied.keys()):
+            n, size = best.get((doc, item), 0), int(self.size[item])
+            if (doc, item) in copied or enough(n, size):
+                out.append((doc, self.ids[item], max(n, copied.get((doc, item), 0)), size))
         return out
 
     @staticmethod
@@ -195,7 +252,10 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_
     The benchmark is split by hash into blocks of at most BLOCK_BYTES of text,
     measured first, that are sent to the workers one after the other; each block
     is looked up in all documents. Null or empty texts and items of fewer than
-    LEAST_LITERAL tokens match nothing; null ids are kept as null; repeated rows
+    LEAST_BYTES bytes of words match nothing; items and windows of fewer than
+    LEAST_LITERAL literal tokens are found verbatim only, case and punctuation
+    aside. Characters of scripts without spaces are tokens. Tokens are reported
+    with adjacent numbers as one; null ids are kept as null; repeated rows
     are reported as often as they come; other columns are ignored.
     """
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("binary").alias("text")).filter("text is not null")

@@ -51,3 +51,18 @@ def test_blocks_and_odd_rows(spark, odd, none, odd_rows, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 64)
     assert sorted([r["doc_id"] for r in contaminated(spark, odd, bench).collect()], key=repr) == want
     assert contaminated(spark, none, bench).count() == 0 and contaminated(spark, odd, bench.limit(0)).count() == 0
+
+
+def test_verbatim_copies_with_few_literals():
+    for item in ("What is 15 + 27 - 8?", "What is 12 plus 30 minus 4?", "2 4 8 16 32 64 128 256 512 1024 2048 4096", "Alice, Bob and Tom: 3 kg, 4 kg, 5 kg, 6 kg or 7 kg?", "Paris or Rome"):
+        one = [(3, item.encode())]
+        assert found(f"see 12. {item} 34 is the answer", one) == [3], item
+        assert found(f"so \u201c{item.upper()}\u201d they said", one) == [3], item
+    assert found("What is 16 + 27 - 8?", [(3, b"What is 15 + 27 - 8?")]) == []
+
+
+def test_scripts_without_spaces():
+    for item in ("中国的首都是哪里？", "日本の首都はどこですか", "เมืองหลวงของไทย", "首都"):
+        one = [(4, item.encode())]
+        assert found(f"他问：{item}然后走了。", one) == [4], item
+    assert found("英国的首都是伦敦", [(4, "中国的首都是哪里？".encode())]) == []
