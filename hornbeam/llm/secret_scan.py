@@ -1,8 +1,9 @@
 """Secret scans through nested encodings.
 
 Every text is a layer; a worklist decodes URL escapes, Unicode and HTML
-escapes, base64, hex and compressed runs into further layers until nothing
-new appears. Each layer is scanned and its spans are mapped to the text.
+escapes, base64, also wrapped to lines, hex and compressed runs into further
+layers until nothing new appears. Escapes are replaced in the whole layer and in
+each run without white space. Each layer is scanned and its spans are mapped to the text.
 """
 
 from __future__ import annotations
@@ -10,10 +11,12 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import hashlib
 import html
 import lzma
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +34,15 @@ _HEX = re.compile(rb"[0-9a-f]{16,}")
 _URL = re.compile(rb"%[0-9A-Fa-f]{2}")
 _UNICODE = re.compile(rb"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});|&(amp|lt|gt|quot|apos);")
 _PACKED = re.compile(rb"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Lines of base64; the breaks may be escaped as in JSON.
+_BREAK = re.compile(rb"[ \t]*+(?:\r?\n|(?:\\r)?\\n)[ \t]*+")
+_WRAPPED = re.compile(rb"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:%s[A-Za-z0-9+/_-]++)++={0,2}" % _BREAK.pattern)
 _HEXRUN = re.compile(rb"[0-9A-Fa-f]{32,}")
 _MAGIC = ((b"\x1f\x8b", 31), (b"\x78\x01", 15), (b"\x78\x5e", 15), (b"\x78\x9c", 15), (b"\x78\xda", 15), (b"BZh", "bz2"), (b"\xfd7zXZ\x00", "xz"))
-#: A compressed layer may unfold to this many bytes; the rest of a larger one (a decompression bomb) is not scanned.
-MOST_UNFOLDED = 1 << 26
+#: A compressed layer unfolds in layers of so many bytes, each beginning with so many of the one before.
+MOST_UNFOLDED, OVERLAP = 1 << 26, 1 << 20
+#: Bytes read and unfolded at a time.
+_STEP = 1 << 16
 #: Chains of ever new layers end here.
 MOST_DEPTH = 64
 
@@ -63,18 +71,41 @@ def _plausible(data: bytes) -> bool:
     return sum(c.isprintable() or c in "\r\n\t" for c in text) >= 0.95 * len(text)
 
 
-def _unpack(data: bytes) -> bytes | None:
-    for magic, how in _MAGIC:
-        if data.startswith(magic):
-            try:
-                if how == "bz2":
-                    return bz2.BZ2Decompressor().decompress(data, MOST_UNFOLDED)
-                if how == "xz":
-                    return lzma.LZMADecompressor().decompress(data, MOST_UNFOLDED)
-                return zlib.decompressobj(how).decompress(data, MOST_UNFOLDED)
-            except (OSError, EOFError, ValueError, zlib.error, lzma.LZMAError):
-                return None
-    return None
+def _unpacked(data: bytes) -> Iterator[bytes]:
+    """What all members of compressed data hold, as far as they are sound, in overlapping parts."""
+    held, fresh, pos = bytearray(), False, 0
+    while (how := next((h for m, h in _MAGIC if data.startswith(m, pos)), None)) is not None:
+        deflated = isinstance(how, int)
+        d = zlib.decompressobj(how) if deflated else bz2.BZ2Decompressor() if how == "bz2" else lzma.LZMADecompressor()
+        piece = b""
+        try:
+            while not d.eof:
+                if not piece and (deflated or d.needs_input):
+                    if pos >= len(data):
+                        break
+                    piece = data[pos : pos + _STEP]
+                    pos += len(piece)
+                new = d.decompress(piece, _STEP)
+                piece = d.unconsumed_tail if deflated else b""
+                held += new
+                fresh |= bool(new)
+                if len(held) >= MOST_UNFOLDED:
+                    yield bytes(held)
+                    del held[: len(held) - OVERLAP]
+                    fresh = False
+            if not d.eof:
+                if deflated:
+                    new = d.flush()
+                    held += new
+                    fresh |= bool(new)
+                break
+        except (OSError, EOFError, ValueError, zlib.error, lzma.LZMAError):
+            break
+        pos -= len(d.unused_data)
+        while pos < len(data) and not data[pos]:
+            pos += 1
+    if fresh:
+        yield bytes(held)
 
 
 def _tokens(layer: bytes, mark: re.Pattern) -> list[tuple[int, int]]:
@@ -116,56 +147,86 @@ def _of_unicode(m: re.Match) -> bytes:
     return chr(n).encode("utf-8", "replace") if n < 0x110000 else m[0]
 
 
-def decoded(layer: Layer) -> list[Layer]:
+def _of_base64(layer: Layer, at: np.ndarray, run: bytes) -> Layer | None:
+    """What base64 letters, at the places ``at`` of a layer, encode."""
+    if not _mixed(run):
+        return None
+    run = run.rstrip(b"=").replace(b"-", b"+").replace(b"_", b"/")
+    for skip in range(4):
+        part = run[skip:]
+        part = part[: len(part) - (len(part) % 4 == 1)]
+        try:
+            raw = base64.b64decode(part + b"=" * (-len(part) % 4))
+        except (binascii.Error, ValueError):
+            continue
+        if _plausible(raw):
+            i = skip + np.arange(len(raw)) * 4 // 3
+            return raw, layer[1][at[i]], layer[2][at[np.minimum(i + 1, len(at) - 1)]]
+    return None
+
+
+def _joined_lines(data: bytes) -> Iterator[tuple[np.ndarray, bytes]]:
+    """Places and letters of consecutive base64 lines of one length, with and without a shorter last line and the line before."""
+    for m in _WRAPPED.finditer(data):
+        cut = [m.start(), *(x for b in _BREAK.finditer(data, m.start(), m.end()) for x in b.span()), m.end()]
+        lines = list(zip(cut[::2], cut[1::2]))
+        size = [len(data[a:b].rstrip(b"=")) for a, b in lines]
+        i = 0
+        while i < len(lines):
+            j = i + 1
+            while j < len(lines) and size[j] == size[i]:
+                j += 1
+            tail = j < len(lines) and size[j] < size[i]
+            for first in ((i, i - 1) if i else (i,)):
+                for last in ((j + 1, j) if tail else (j,)):
+                    if last - first > 1 and size[i] >= 16:
+                        part = lines[first:last]
+                        yield np.concatenate([np.arange(a, b) for a, b in part]), b"".join(data[a:b] for a, b in part)
+            i = j
+
+
+def decoded(layer: Layer) -> Iterator[Layer]:
     """All layers one step further in."""
     data, lo, hi = layer
-    out = []
-    whole = _unpack(data)
-    if whole is not None:
-        out.append((whole, np.full(len(whole), lo.min()), np.full(len(whole), hi.max())))
-        return out
-    for a, b in _tokens(data, _URL):
-        out.append(_escaped(layer, a, b, _URL, lambda m: bytes([int(m[0][1:], 16)])))
-    for a, b in _tokens(data, _UNICODE):
-        out.append(_escaped(layer, a, b, _UNICODE, _of_unicode))
+    for part in _unpacked(data):
+        yield part, np.broadcast_to(lo.min(), len(part)), np.broadcast_to(hi.max(), len(part))
+    for mark, value in ((_URL, lambda m: bytes([int(m[0][1:], 16)])), (_UNICODE, _of_unicode)):
+        runs = _tokens(data, mark)
+        if runs:
+            yield _escaped(layer, 0, len(data), mark, value)
+        for a, b in runs:
+            yield _escaped(layer, a, b, mark, value)
     for m in _HEXRUN.finditer(data):
         raw = binascii.unhexlify(m[0][: len(m[0]) // 2 * 2])
         if _plausible(raw):
             at = m.start() + 2 * np.arange(len(raw))
-            out.append((raw, lo[at], hi[at + 1]))
+            yield raw, lo[at], hi[at + 1]
     for m in _PACKED.finditer(data):
-        if not _mixed(m[0]):
-            continue
-        run = m[0].rstrip(b"=").replace(b"-", b"+").replace(b"_", b"/")
-        for skip in range(4):
-            part = run[skip:]
-            part = part[: len(part) - (len(part) % 4 == 1)]
-            try:
-                raw = base64.b64decode(part + b"=" * (-len(part) % 4))
-            except (binascii.Error, ValueError):
-                continue
-            if _plausible(raw):
-                at = m.start() + skip + np.arange(len(raw)) * 4 // 3
-                out.append((raw, lo[at], hi[np.minimum(at + 1, m.end() - 1)]))
-                break
-    return out
+        inner = _of_base64(layer, np.arange(m.start(), m.end()), m[0])
+        if inner:
+            yield inner
+    for at, run in _joined_lines(data):
+        inner = _of_base64(layer, at, run)
+        if inner:
+            yield inner
 
 
 def find(text: bytes) -> tuple[list[Span], list[Span]]:
     """The base spans of a text and those found in its inner layers, in bytes of the text."""
     base, more = scan(text), []
-    seen = {text}
+    mark = lambda data: data if len(data) < 64 else hashlib.blake2b(data).digest()
+    seen = {mark(text)}
     at = np.arange(len(text) + 1)
-    todo: list[tuple[Layer, int]] = [((text, at[:-1], at[1:]), 0)]
+    todo = [decoded((text, at[:-1], at[1:]))] if text else []
     while todo:
-        layer, depth = todo.pop()
-        if not layer[0] or depth >= MOST_DEPTH:
-            continue
-        for inner in decoded(layer):
-            if inner[0] and inner[0] not in seen:
-                seen.add(inner[0])
-                more += [(k, int(inner[1][a]), int(inner[2][b - 1])) for k, a, b in scan(inner[0])]
-                todo.append((inner, depth + 1))
+        inner = next(todo[-1], None)
+        if inner is None:
+            todo.pop()
+        elif inner[0] and (key := mark(inner[0])) not in seen:
+            seen.add(key)
+            more += [(k, int(inner[1][a]), int(inner[2][b - 1])) for k, a, b in scan(inner[0])]
+            if len(todo) < MOST_DEPTH:
+                todo.append(decoded(inner))
     # A span of an inner layer may begin or end inside a character of the text.
     inside = lambda i: i < len(text) and text[i] & 0xC0 == 0x80
     fixed = []

@@ -93,3 +93,38 @@ def test_added_spans(spark, odd, none, odd_rows):
     assert all(f"{k}:{a}:{b}" in rows[i]["spans"].split(",") for i in rows for k, a, b in personal(text[i]))
     assert any(r["n_added"] for r in rows.values()) and all(rows[i]["spans"] == "" for i in rows if i % 5 == 3)
     assert len(pii.personal_spans(spark, odd).collect()) == len(odd_rows) and pii.personal_spans(spark, none).count() == 0
+
+
+def _inner(text, kind="assign"):
+    return [(a, b) for k, a, b in secret_scan.find(text)[1] if k == kind]
+
+
+def test_escapes_keep_the_text_around_them():
+    for t in (b'{"secret": "Ab3\\u002Bxyz0123456789"}', b"password: abc%2Bdefghijklmn"):
+        a, b = t.index(b"secret" if b"secret" in t else b"password"), len(t) - 2 * t.endswith(b'"}')
+        assert (a, b) in _inner(t), t
+
+
+def test_wrapped_base64():
+    filler = bytes(np.random.default_rng(5).integers(97, 123, 3000).astype(np.uint8))
+    plain = b"x" * 30 + b" password=hunter2hunter2xyz " + b"y" * 50
+    for inside in (plain, gzip.compress(filler + plain)):
+        for width in (64, 76):
+            for end in ("\n", "\r\n", "\\n", "\n  "):
+                code = base64.b64encode(inside).decode()
+                lines = end.join(code[i : i + width] for i in range(0, len(code), width))
+                assert _inner(f"see\n{lines}\nbye now".encode()), (width, end)
+
+
+def test_compressed_layers_are_read_to_their_end(monkeypatch):
+    import bz2
+    import lzma
+
+    monkeypatch.setattr(secret_scan, "MOST_UNFOLDED", 1 << 17)
+    monkeypatch.setattr(secret_scan, "OVERLAP", 1 << 12)
+    far = b"word " * 100_000 + b"password=hunter2hunter2xyz"
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress):
+        assert _inner(base64.b64encode(pack(far)))
+        assert _inner(base64.b64encode(pack(b"first member") + pack(b"password=hunter2hunter2xyz")))
+    for cut in range((1 << 17) - 30, (1 << 17) + 5, 7):
+        assert _inner(base64.b64encode(gzip.compress(b" " * cut + b"password=hunter2hunter2xyz" + b" " * 9000)))
