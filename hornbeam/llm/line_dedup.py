@@ -18,19 +18,19 @@ _SPACES = r"[\x20\x09-\x0D]+"
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, h, site of each line with a word; lines are compared without outer white space."""
-    lines = docs.filter("text is not null").select("doc_id", "site", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    """doc_id, row (the text's hash), line_no, h, site of each line with a word; lines are compared without outer white space."""
+    lines = docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("row"), "site", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     line = F.regexp_replace("line", rf"^{_SPACES}|{_SPACES}$", "")
-    return lines.select("doc_id", "line_no", "site", line.alias("line")).filter("line <> ''").select("doc_id", "line_no", F.xxhash64("line").alias("h"), F.xxhash64(F.coalesce("site", F.lit("\0null"))).alias("site"))
+    return lines.select("doc_id", "row", "line_no", "site", line.alias("line")).filter("line <> ''").select("doc_id", "row", "line_no", F.xxhash64("line").alias("h"), F.xxhash64(F.coalesce("site", F.lit("\0null"))).alias("site"))
 
 
 def spread_lines(spark: SparkSession, occ: DataFrame, min_sites: int, lg_k: int = 12, band: float = 0.25) -> DataFrame:
-    """h, keep_doc, keep_line: lines on at least ``min_sites`` sites and their first occurrence.
+    """h, keep_doc, keep_line, keep_row: lines on at least ``min_sites`` sites and their first occurrence.
 
     The sketch's error at lg_k = 12 is 1.6 %, so an estimate outside the band of
     25 % decides, and inside it sites are counted exactly.
     """
-    many = occ.groupBy("h").agg(F.min("site").alias("lo"), F.max("site").alias("hi"), F.min(F.struct("doc_id", "line_no")).alias("first")).filter("lo <> hi").select("h", "first")
+    many = occ.groupBy("h").agg(F.min("site").alias("lo"), F.max("site").alias("hi"), F.min(F.struct("doc_id", "line_no", "row")).alias("first")).filter("lo <> hi").select("h", "first")
     many = stage_table(spark, many, "lines")
     seen = occ.join(many.select("h"), "h", "left_semi").select("h", "site")
     sketched = seen.groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("sites"))
@@ -39,26 +39,26 @@ def spread_lines(spark: SparkSession, occ: DataFrame, min_sites: int, lg_k: int
     near = sketched.filter(F.col("sites") <= min_sites * (1 + band)).select("h")
     exact = seen.join(near, "h", "left_semi").distinct().groupBy("h").count().filter(F.col("count") >= min_sites).select("h")
     spread = many.join(sure.union(exact), "h", "left_semi")
-    return stage_table(spark, spread.select("h", F.col("first.doc_id").alias("keep_doc"), F.col("first.line_no").alias("keep_line")), "boilerplate")
+    return stage_table(spark, spread.select("h", F.col("first.doc_id").alias("keep_doc"), F.col("first.line_no").alias("keep_line"), F.col("first.row").alias("keep_row")), "boilerplate")
 
 
 def remove_boilerplate(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 10) -> DataFrame:
     """All columns of ``docs``, ``text`` without boilerplate lines, and n_lines, n_removed.
 
     A line on at least ``min_sites`` sites stays at its first occurrence only
-    (smallest id, then line number; a null id comes first). Rows are never
+    (smallest id, then line number, then the text's hash; a null id comes first). Rows are never
     dropped: a text may end up empty. A null text stays null, with no lines; a
-    null site is a site of its own. Rows of the same id, repeated, are treated
-    alike. An empty table gives an empty result.
+    null site is a site of its own. Rows of the same id and text are
+    treated alike, those that share an id only are rows of their own. An empty table gives an empty result.
     """
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(site_col).cast("string").alias("site"))
     occ = occurrences(given)
     spread = spread_lines(spark, occ, min_sites)
-    gone = occ.join(spread, "h").filter(~(F.col("doc_id").eqNullSafe(F.col("keep_doc")) & (F.col("line_no") == F.col("keep_line"))))
+    gone = occ.join(spread, "h").filter(~(F.col("doc_id").eqNullSafe(F.col("keep_doc")) & (F.col("line_no") == F.col("keep_line")) & (F.col("row") == F.col("keep_row"))))
     # Names no table of the caller's can have.
-    own = {k: f"{k}_{uuid.uuid4().hex}" for k in ("id", "gone", "text", "lines", "removed")}
-    gone = gone.groupBy(F.col("doc_id").alias(own["id"])).agg(F.collect_set("line_no").alias(own["gone"]))
-    joined = docs.join(gone, docs[id_col].eqNullSafe(gone[own["id"]]), "left")
+    own = {k: f"{k}_{uuid.uuid4().hex}" for k in ("id", "row", "gone", "text", "lines", "removed")}
+    gone = gone.groupBy(F.col("doc_id").alias(own["id"]), F.col("row").alias(own["row"])).agg(F.collect_set("line_no").alias(own["gone"]))
+    joined = docs.join(gone, docs[id_col].eqNullSafe(gone[own["id"]]) & (F.xxhash64(docs[text_col]) == gone[own["row"]]), "left")
     lines, hit = F.split(docs[text_col], "\n"), F.col(own["gone"])
     left = F.array_join(F.filter(lines, lambda _, i: ~F.coalesce(F.array_contains(hit, i), F.lit(False))), "\n")
     worded = F.size(F.filter(lines, lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]"))))

@@ -32,3 +32,15 @@ def test_odd_rows(spark, odd, none, odd_rows):
     assert got.columns == [*odd.columns, "n_lines", "n_removed"]
     assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == brute([(r[0], r[1], r[3]) for r in odd_rows], 2)
     assert remove_boilerplate(spark, none).count() == 0
+
+
+def test_rows_that_share_an_id_lose_their_own_lines_only(spark):
+    for shared in (None, 7):
+        rows = [(100 + i, "menu\nown", f"s{i}") for i in range(5)] + [(1, "menu", "s9"), (shared, "menu\nfirst body", "s1"), (shared, "clean line\nmenu of ours", "s2"), (shared, "clean line\nmenu", "s3")]
+        got = remove_boilerplate(spark, spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), min_sites=3).collect()
+        left = sorted(r["text"] for r in got if r["doc_id"] == shared)
+        first = "menu\nfirst body" if shared is None else "first body"
+        assert left == sorted([first, "clean line\nmenu of ours", "clean line"])
+    rows = [(None, f"menu\nbody {i}", f"s{i}") for i in range(6)]
+    got = remove_boilerplate(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), min_sites=3).collect()
+    assert sum("menu" in r["text"] for r in got) == 1 and {r["text"][-6:] for r in got} == {f"body {i}" for i in range(6)}
