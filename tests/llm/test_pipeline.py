@@ -36,3 +36,25 @@ def test_run_keeps_clean_documents(spark, docs):
     ids = [r["doc_id"] for r in rows]
     assert len(ids) == len(set(ids)) and 0 < len(ids) < docs.count()
     assert all(0 <= r["taken"] <= 3 * r["size"] for r in rows)
+
+
+def test_decisions_apply_to_rows_without_an_id(spark, docs):
+    from pyspark.sql import functions as F
+
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    kept = [r["text"] for r in docs.join(quality_rules(spark, docs, labels).filter("kept").select("doc_id"), "doc_id").orderBy("doc_id").collect()]
+    prose = kept[0]
+    texts = [prose, prose, prose.upper(), "too short", None, None, f"{bench} and more", " "]
+    rows = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string").repartition(3)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+    left = lambda df: sorted((r["text"] for r in df.filter("doc_id is null").collect()), key=repr)
+    assert others and {"too short", None, " "}.isdisjoint(left(corpus_pipeline.quality(spark, docs.union(rows), SF)))
+    near = corpus_pipeline.near_dedup(spark, rows, SF)
+    assert near.columns == docs.columns and near.filter("doc_id is not null").count() == 0
+    assert len([t for t in left(near) if t and t.lower() == prose.lower()]) == 1 and left(near).count(None) == 2 and " " in left(near)
+    with_id = rows.limit(0).union(docs.filter(F.col("text") == prose).limit(1)).union(rows)
+    assert not [t for t in left(corpus_pipeline.near_dedup(spark, with_id, SF)) if t and t.lower() == prose.lower()]
+    clean = corpus_pipeline.decontaminate(spark, rows, SF)
+    assert f"{bench} and more" not in left(clean) and "too short" in left(clean) and left(clean).count(None) == 2
