@@ -292,7 +292,7 @@ def near_duplicates(
     columns are ignored. An empty table gives an empty result. Candidates are
     lost only if their estimate falls ``slack`` below the threshold or they
     share no run of retained values, at the threshold itself with a probability
-    of about 1e-7 and 1e-10, and far less above it.
+    of about 4e-6 and 1e-10, and far less above it.
     """
     jaccard, least = percent / 100, percent / 100 - slack
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
