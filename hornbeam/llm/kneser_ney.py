@@ -2,13 +2,15 @@
 
 Words are 64-bit hashes; their rank among all training hashes is their id.
 Tasks count locally and exchange packed, sorted arrays by hash bucket, so a
-frequent word or bigram is one entry a task and no bucket is hot. Reducers
-write each bucket as sorted arrays into the shared folder, where scoring
-workers map them into memory and look up sorted batches.
-
-N-grams of three words and more are exchanged as ids by the hash of their
-context, so that a reducer sees all that follows a context; what it emits is
-the number of words that each shorter n-gram follows, the count one order down.
+frequent word or n-gram is one entry a task. Reducers write each bucket as
+sorted arrays into the shared folder, where scoring workers map them into
+memory and look up sorted batches.
+
+An n-gram of three words and more goes to the bucket of its middle, all but its
+first and last word: there the reducer sees all that follows each context, and
+all words that the shorter n-gram follows, whose number is the count one order
+down. Middles of frequent words are salted by the first word, so that no bucket
+is hot; their shorter n-grams are summed in one more exchange.
 """
 
 from __future__ import annotations
@@ -17,7 +19,6 @@ import functools
 import json
 import os
 import uuid
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -29,24 +30,32 @@ from .near_dup import _by_group
 from .textops import U, Words, mix, text_slices
 
 END = U(0xE7037ED1A0B428DB)
-#: Bytes of text a bucket stands for, and the bounds of the number of buckets.
-BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 12 << 20, 8, 1 << 16
+#: Bytes of text a bucket stands for, up to so many buckets; beyond, a bucket stands for the larger number, so that tasks don't send ever smaller rows.
+BUCKET_BYTES, LEAST_BUCKETS, MANY_BUCKETS, LARGE_BUCKET_BYTES = 12 << 20, 8, 1 << 16, 96 << 20
+#: A word that came more often than this share of a bucket's tokens is split over several buckets.
+HOT_SHARE = 1 / 8
 #: Distinct keys a task holds before it sends them on.
 HELD = 3_000_000
 _PACKED = "kind int, bucket int, keys binary, counts binary"
 
 
 def pack(x: np.ndarray) -> bytes:
-    """Sorted or small integers as transposed bytes, deflated."""
-    return zlib.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), 1)
+    """Sorted or small integers as transposed bytes, compressed, after their number of bytes."""
+    raw = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+    return len(raw).to_bytes(8, "little") + _codec().compress(raw, asbytes=True)
 
 
 def unpack(data: bytes, dtype) -> np.ndarray:
-    raw = np.frombuffer(zlib.decompress(data), np.uint8)
+    raw = np.frombuffer(_codec().decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True), np.uint8)
     size = np.dtype(dtype).itemsize
     return np.ascontiguousarray(raw.reshape(size, -1).T).reshape(-1).view(dtype)
 
 
+@functools.lru_cache(maxsize=1)
+def _codec() -> pa.Codec:
+    return pa.Codec("zstd", 3)
+
+
 def _pack_sorted(x: np.ndarray) -> bytes:
     return pack(np.diff(x, prepend=U(0)))
 
@@ -65,6 +74,10 @@ def summed(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
     return (keys[at], *(np.add.reduceat(c[order], at) for c in counts))
 
 
+def _small(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint32) if x.max(initial=0) < 1 << 32 else x
+
+
 def _save(path: str, x: np.ndarray) -> None:
     """Whole or not at all; attempts of the same task write the same bytes."""
     part = f"{path}.{uuid.uuid4().hex}"
@@ -88,11 +101,25 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, first, opens
 
 
+def parts(values: np.ndarray):
+    """(value, first place, place after the last) of each run of sorted values."""
+    if len(values):
+        at = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+        yield from zip(values[at].tolist(), at.tolist(), np.append(at[1:], len(values)).tolist())
+
+
+_KINDS = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _KINDS)], ["kind", "bucket", "keys", "counts"])
+
+
 class _Counter:
-    """Counts of keys in a task, sent on by bucket when many are held."""
+    """Counts of word hashes in a task, sent on by bucket when many are held."""
 
-    def __init__(self, bits: int, hashed: bool):
-        self.bits, self.hashed, self.parts, self.size = bits, hashed, [], 0
+    def __init__(self, bits: int):
+        self.bits, self.parts, self.size = bits, [], 0
 
     def add(self, keys: np.ndarray):
         k, c = np.unique(keys, return_counts=True)
@@ -106,26 +133,20 @@ class _Counter:
             return
         keys, counts = summed(np.concatenate([k for k, _ in self.parts]), np.concatenate([c for _, c in self.parts]))
         self.parts, self.size = [], 0
-        bucket = ((keys if self.hashed else mix(keys)) >> U(64 - self.bits)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        at = np.searchsorted(bucket[order], np.arange((1 << self.bits) + 1))
-        rows = []
-        for b in range(1 << self.bits):
-            i = order[at[b] : at[b + 1]]
-            if len(i):
-                rows.append((0, b, _pack_sorted(keys[i]), pack(counts[i].astype(np.uint32))))
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["kind", "bucket", "keys", "counts"])
+        # Sorted hashes are sorted by bucket, too.
+        yield _batch([(1, b, _pack_sorted(keys[i:j]), pack(counts[i:j].astype(np.uint32))) for b, i, j in parts((keys >> U(64 - self.bits)).astype(np.int64))])
 
 
 def gram_columns(ids: list[np.ndarray]) -> list[np.ndarray]:
-    """The ids of n-grams, two to a 64-bit column."""
-    ids = [x.astype(np.uint64) for x in ids]
+    """The ids of n-grams, two to a 64-bit column: the middle, then the first and the last word."""
+    ids = [x.astype(np.uint64) for x in [*ids[1:-1], ids[0], ids[-1]]]
     return [(ids[j] << U(32)) | ids[j + 1] if j + 1 < len(ids) else ids[j] for j in range(0, len(ids), 2)]
 
 
 def gram_ids(columns: list[np.ndarray], k: int) -> list[np.ndarray]:
     halves = [h for x in columns for h in (x >> U(32), x & U(0xFFFFFFFF))]
-    return halves[:k] if k % 2 == 0 else [*halves[: k - 1], columns[-1]]
+    halves = halves[:k] if k % 2 == 0 else [*halves[: k - 1], columns[-1]]
+    return [halves[k - 2], *halves[: k - 2], halves[k - 1]]
 
 
 def gram_hash(ids: list[np.ndarray]) -> np.ndarray:
@@ -147,20 +168,28 @@ def summed_grams(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np
     return [c[at] for c in columns], np.add.reduceat(counts[order], at)
 
 
-def gram_rows(columns: list[np.ndarray], counts: np.ndarray, k: int, bits: int):
-    """Batches of sorted distinct n-grams by bucket: pairs by their own hash, longer ones by that of their context."""
+def gram_buckets(path: str, meta: dict, ids: list[np.ndarray]) -> np.ndarray:
+    """Of each n-gram the bucket of its middle, salted by the first word; of a pair, that of the first word, salted by the second."""
+    core, salt = (ids[:1], ids[1]) if len(ids) == 2 else (ids[1:-1], ids[0])
+    splits = np.minimum.reduce([_splits(path, meta, x) for x in core])
+    h = gram_hash(core)
+    hot = np.flatnonzero(splits > 1)
+    h[hot] = mix(h[hot] + U(1) + gram_hash([salt[hot]]) % splits[hot].astype(np.uint64))
+    return (h >> U(64 - meta["bits"])).astype(np.int64)
+
+
+def gram_rows(path: str, meta: dict, columns: list[np.ndarray], counts: np.ndarray, k: int):
+    """Batches of sorted distinct n-grams by bucket."""
     if not len(counts):
         return
-    h = mix(columns[0]) if k == 2 else gram_hash(gram_ids(columns, k)[:-1])
-    bucket = (h >> U(64 - bits)).astype(np.int64)
+    bucket = gram_buckets(path, meta, gram_ids(columns, k))
     order = np.argsort(bucket, kind="stable")
-    at = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
     rows = []
-    for b in np.flatnonzero(np.diff(at)).tolist():
-        i = order[at[b] : at[b + 1]]
+    for b, lo, hi in parts(bucket[order]):
+        i = order[lo:hi]
         keys = pack(np.concatenate([np.diff(columns[0][i], prepend=U(0)), *(c[i] for c in columns[1:])]))
         rows.append((k, b, keys, pack(counts[i].astype(np.uint32))))
-    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["kind", "bucket", "keys", "counts"])
+    yield _batch(rows)
 
 
 def gathered_grams(t: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
@@ -175,8 +204,8 @@ def gathered_grams(t: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
 class _GramCounter:
     """Counts of n-grams in a task, sent on by bucket when many are held."""
 
-    def __init__(self, bits: int, k: int):
-        self.bits, self.k, self.parts, self.size = bits, k, [], 0
+    def __init__(self, path: str, meta: dict, k: int):
+        self.path, self.meta, self.k, self.parts, self.size = path, meta, k, [], 0
 
     def add(self, ids: list[np.ndarray]):
         columns, counts = summed_grams(gram_columns(ids), np.ones(len(ids[0]), np.int64))
@@ -189,7 +218,7 @@ class _GramCounter:
         if self.parts:
             columns, counts = summed_grams([np.concatenate(x) for x in zip(*(p for p, _ in self.parts))], np.concatenate([c for _, c in self.parts]))
             self.parts, self.size = [], 0
-            yield from gram_rows(columns, counts, self.k, self.bits)
+            yield from gram_rows(self.path, self.meta, columns, counts, self.k)
 
 
 def grams_before(ids: np.ndarray, first: np.ndarray, begin: int, n: int) -> list[np.ndarray]:
@@ -250,14 +279,13 @@ def _at(held: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, held[at] == keys
 
 
-def _looked_up(path: str, meta: dict, k: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+def _looked_up(path: str, tag: str, bucket: np.ndarray, context: np.ndarray, word: np.ndarray) -> np.ndarray:
     """Columns total, followers once, twice and more of each context, and the count of the word after it; word is -1 if unknown."""
     out = np.zeros((5, len(context)), np.int64)
-    order = np.argsort(context, kind="stable")
-    cut = np.searchsorted((context[order] >> U(64 - meta["bits"])).astype(np.int64), np.arange((1 << meta["bits"]) + 1))
-    for b, (lo, hi) in enumerate(zip(cut, cut[1:])):
-        name = f"{path}/u{k}-{b:05d}.npy"
-        if lo == hi or not _exists(name):
+    order = np.lexsort((context, bucket))
+    for b, lo, hi in parts(bucket[order]):
+        name = f"{path}/{tag}-{b:07d}.npy"
+        if not _exists(name):
             continue
         held, rows = _followers(name), order[lo:hi]
         at, there = _at(held[0], context[rows])
@@ -287,16 +315,33 @@ def _mapped(path: str) -> np.ndarray:
 def _ids(folder: str, meta: dict, hashes: np.ndarray) -> np.ndarray:
     """The ids of sorted distinct hashes; -1 for unknown words."""
     out = np.full(len(hashes), -1, np.int64)
-    cut = np.searchsorted((hashes >> U(64 - meta["bits"])).astype(np.int64), np.arange((1 << meta["bits"]) + 1))
-    for b, first in enumerate(meta["offset"][:-1]):
-        lo, hi = cut[b], cut[b + 1]
-        if lo < hi and meta["offset"][b + 1] > first:
-            known = _mapped(f"{folder}/v{b:05d}.npy")
+    for b, lo, hi in parts((hashes >> U(64 - meta["bits"])).astype(np.int64)):
+        first = meta["offset"][b]
+        if meta["offset"][b + 1] > first:
+            known = _mapped(f"{folder}/v{b:07d}.npy")
             at = np.minimum(np.searchsorted(known, hashes[lo:hi]), len(known) - 1)
             out[lo:hi] = np.where(known[at] == hashes[lo:hi], first + at, -1)
     return out
 
 
+def _counts(path: str, meta: dict, ids: np.ndarray) -> np.ndarray:
+    """How often words, given by sorted distinct ids, came in training."""
+    out = np.zeros(len(ids), np.int64)
+    for b, lo, hi in parts(np.searchsorted(meta["offset"], ids, "right") - 1):
+        out[lo:hi] = _mapped(f"{path}/n{b:07d}.npy")[ids[lo:hi] - meta["offset"][b]]
+    return out
+
+
+def _splits(path: str, meta: dict, ids: np.ndarray) -> np.ndarray:
+    """Over how many buckets the n-grams around each word are split: the begin mark's over all, those of words unknown or rare are not."""
+    distinct, back = np.unique(ids.astype(np.int64), return_inverse=True)
+    out = np.ones(len(distinct), np.int64)
+    known = (distinct >= 0) & (distinct < meta["words"])
+    out[known] = -(-_counts(path, meta, distinct[known]) // meta["hot"])
+    out[distinct == meta["words"]] = 1 << meta["bits"]
+    return out[back]
+
+
 def discounts(n: list[int]) -> list[float]:
     """Modified Kneser-Ney discounts from the numbers of keys counted once to four times."""
     y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
@@ -320,10 +365,11 @@ def train(spark: SparkSession, docs: DataFrame, folder: str, order: int = 2) ->
         raise ValueError("order is 2 at least")
     path = local_path(folder)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = int(np.ceil(np.log2(min(max(size / BUCKET_BYTES, LEAST_BUCKETS), MOST_BUCKETS))))
+    buckets = max(min(size / BUCKET_BYTES, max(MANY_BUCKETS, size / LARGE_BUCKET_BYTES)), LEAST_BUCKETS)
+    bits = int(np.ceil(np.log2(buckets)))
 
     def words(batches):
-        held = _Counter(bits, True)
+        held = _Counter(bits)
         for batch in batches:
             for i, j, texts in text_slices(batch.column(0)):
                 yield from held.add(tokens(texts)[0])
@@ -334,44 +380,37 @@ def train(spark: SparkSession, docs: DataFrame, folder: str, order: int = 2) ->
         for t in _by_group(batches, ["bucket"]):
             keys, counts = summed(np.concatenate([_unpack_sorted(x) for x in t.column("keys").to_pylist()]), np.concatenate([unpack(x, np.uint32).astype(np.int64) for x in t.column("counts").to_pylist()]))
             b = t.column("bucket")[0].as_py()
-            _save(f"{path}/v{b:05d}.npy", keys)
-            _save(f"{path}/n{b:05d}.npy", counts)
+            _save(f"{path}/v{b:07d}.npy", keys)
+            _save(f"{path}/n{b:07d}.npy", _small(counts))
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([int(counts.sum())], pa.int64())], ["bucket", "n", "total"])
 
     texts = docs.select("text")
     grouped = texts.mapInArrow(words, _PACKED).repartition("bucket").sortWithinPartitions("bucket")
     sizes = {r["bucket"]: r for r in grouped.mapInArrow(merge_words, "bucket int, n long, total long").collect()}
-    offset = [0]
-    for b in range(1 << bits):
-        offset.append(offset[-1] + (sizes[b]["n"] if b in sizes else 0))
-    v = offset[-1]
+    offset = np.zeros((1 << bits) + 1, np.int64)
+    offset[[b + 1 for b in sizes]] = [r["n"] for r in sizes.values()]
+    offset = np.cumsum(offset)
+    v, total = int(offset[-1]), sum(r["total"] for r in sizes.values())
     if v >= (1 << 32) - 1:
         raise ValueError("n-gram keys hold vocabularies below 2**32 words")
-    meta = {"bits": bits, "offset": offset, "words": v, "tokens": sum(r["total"] for r in sizes.values()), "slices": 1 << bits, "width": max(1, -(-(v + 1) // (1 << bits)))}
-
-    def bigrams(batches):
-        held = _Counter(bits, False)
-        for batch in batches:
-            for i, j, texts in text_slices(batch.column(0)):
-                keys = bigram_keys(path, meta, texts)[0]
-                yield from held.add(keys)
-        yield from held.flush()
+    hot = max(1, int(total * HOT_SHARE / (1 << bits)))
+    meta = {"bits": bits, "offset": offset, "words": v, "tokens": total, "hot": hot, "slices": 1 << bits, "width": max(1, -(-(v + 1) // (1 << bits)))}
 
     def longest(batches):
-        held = _GramCounter(bits, order)
+        held = _GramCounter(path, meta, order)
         for batch in batches:
             for i, j, texts in text_slices(batch.column(0)):
-                _, ids, _, first = bigram_keys(path, meta, texts)
+                ids, first = token_ids(path, meta, texts)
                 grams = [*grams_before(ids, first, v, order - 1), ids]
                 whole = grams[0] >= 0
                 yield from held.add([x[whole] for x in grams])
         yield from held.flush()
 
     def beginnings(batches):
-        held = {k: _GramCounter(bits, k) for k in range(2, order)}
+        held = {k: _GramCounter(path, meta, k) for k in range(2, order)}
         for batch in batches:
             for i, j, texts in text_slices(batch.column(0)):
-                _, ids, _, first = bigram_keys(path, meta, [b" ".join(x.split(None, order)[:order]) for x in texts])
+                ids, first = token_ids(path, meta, [b" ".join(x.split(None, order)[:order]) for x in texts])
                 for k, counter in held.items():
                     grams = [*grams_before(ids, first, v, k - 1), ids]
                     opening = grams[0] == v
@@ -379,131 +418,120 @@ def train(spark: SparkSession, docs: DataFrame, folder: str, order: int = 2) ->
         for counter in held.values():
             yield from counter.flush()
 
+    def stats(b: int, counts: np.ndarray) -> tuple:
+        return 0, b, b"", json.dumps([int((counts == x).sum()) for x in (1, 2, 3, 4)]).encode()
+
+    def by_slice(kind: int, ids: np.ndarray, sums: np.ndarray):
+        for b, lo, hi in parts((ids // U(meta["width"])).astype(np.int64)):
+            yield kind, b, _pack_sorted(ids[lo:hi].astype(np.uint64)), pack(sums[lo:hi].astype(np.uint64))
+
+    def pairs(b: int, ids: list[np.ndarray], counts: np.ndarray):
+        """Writes counted pairs of a bucket, in order; yields numbers of them and of the words they end in. Contexts that are split get their numbers summed later."""
+        if not len(counts):
+            return
+        split = _splits(path, meta, ids[0]) > 1
+        for tag, some in (("p", ~split), ("q", split)):
+            if some.any():
+                _save_followers(f"{path}/{tag}-{b:07d}.npy", ids[0][some], ids[1][some], counts[some])
+        rows = [stats(b, counts)]
+        context, *sums = summed(ids[0][split], counts[split], *((counts[split] == x).astype(np.int64) for x in (1, 2)), (counts[split] > 2).astype(np.int64))
+        for kind, column in enumerate(sums, 11):
+            rows += by_slice(kind, context, column)
+        yield _batch([*rows, *by_slice(15, *summed(ids[1], np.ones(len(counts), np.int64)))])
+
     def merged(k: int):
         def work(batches):
             for t in _by_group(batches, ["bucket"]):
                 columns, counts = gathered_grams(t)
                 b, ids = t.column("bucket")[0].as_py(), gram_ids(columns, k)
+                if k == 2:
+                    yield from pairs(b, ids, counts)
+                    continue
                 context = gram_hash(ids[:-1])
                 by_context = np.lexsort((ids[-1], context))
-                _save_followers(f"{path}/u{k}-{b:05d}.npy", context[by_context], ids[-1][by_context], counts[by_context])
-                _save(f"{path}/s{k}-{b:05d}.npy", np.array([(counts == x).sum() for x in (1, 2, 3, 4)]))
-                yield from gram_rows(*summed_grams(gram_columns(ids[1:]), np.ones(len(counts), np.int64)), k - 1, bits)
+                _save_followers(f"{path}/u{k}-{b:07d}.npy", context[by_context], ids[-1][by_context], counts[by_context])
+                _save(f"{path}/s{k}-{b:07d}.npy", np.array([(counts == x).sum() for x in (1, 2, 3, 4)]))
+                shorter, counts = summed_grams(gram_columns(ids[1:]), np.ones(len(counts), np.int64))
+                if k == 3:
+                    # Pairs of words that aren't split are complete here.
+                    two = gram_ids(shorter, 2)
+                    whole = _splits(path, meta, two[0]) == 1
+                    yield from pairs(b, [x[whole] for x in two], counts[whole])
+                    shorter, counts = [x[~whole] for x in shorter], counts[~whole]
+                yield from gram_rows(path, meta, shorter, counts, k - 1)
 
         return work
 
-    width, kinds = meta["width"], (pa.int32(), pa.int32(), pa.binary(), pa.binary())
-
-    def by_slice(kind: int, ids: np.ndarray, sums: np.ndarray):
-        cut = np.searchsorted(ids, np.arange(meta["slices"] + 1) * width)
-        for b, (lo, hi) in enumerate(zip(cut, cut[1:])):
-            if lo < hi:
-                yield kind, b, _pack_sorted(ids[lo:hi].astype(np.uint64)), pack(sums[lo:hi].astype(np.uint64))
-
-    def merge_bigrams(batches):
-        for t in _by_group(batches, ["bucket"]):
-            keys, counts = summed(np.concatenate([_unpack_sorted(x) for x in t.column("keys").to_pylist()]), np.concatenate([unpack(x, np.uint32).astype(np.int64) for x in t.column("counts").to_pylist()]))
-            b = t.column("bucket")[0].as_py()
-            _save(f"{path}/b{b:05d}.npy", keys)
-            _save(f"{path}/c{b:05d}.npy", counts.astype(np.uint32) if counts.max() < 1 << 32 else counts)
-            rows = [(0, b, b"", json.dumps([int((counts == k).sum()) for k in (1, 2, 3, 4)]).encode())]
-            # Of each context: its count and how many words follow it once, twice and more; of each word: how many contexts it follows.
-            ids, *context = summed(keys >> U(32), counts, *((x).astype(np.int64) for x in (counts == 1, counts == 2, counts > 2)))
-            for kind, column in enumerate(context, 1):
-                some = column > 0
-                rows += by_slice(kind, ids[some], column[some])
-            rows += by_slice(5, *summed(keys & U(0xFFFFFFFF), np.ones(len(keys), np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["kind", "bucket", "keys", "counts"])
-
-    if order == 2:
-        counted = texts.mapInArrow(bigrams, _PACKED)
-    else:
-        counted, opening = texts.mapInArrow(longest, _PACKED), texts.mapInArrow(beginnings, _PACKED)
-        for k in range(order, 2, -1):
-            counted = counted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merged(k), _PACKED).union(opening.filter(F.col("kind") == k - 1))
-    grouped = counted.repartition("bucket").sortWithinPartitions("bucket")
-    partial = stage_table(spark, grouped.mapInArrow(merge_bigrams, _PACKED), "contexts")
+    counted, done = texts.mapInArrow(longest, _PACKED), None
+    for k in range(order, 1, -1):
+        out = counted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merged(k), _PACKED)
+        if k > 2:
+            out = out.union(texts.mapInArrow(beginnings, _PACKED).filter(F.col("kind") == k - 1))
+        if k <= 3:
+            out = stage_table(spark, out, f"merged{k}")
+            sums = out.filter("kind = 0 or kind > 10")
+            done = sums if done is None else done.union(sums)
+        counted = out.filter(F.col("kind") == k - 1)
     n2 = np.zeros(4, np.int64)
-    for r in partial.filter("kind = 0").select("counts").collect():
+    for r in done.filter("kind = 0").select("counts").collect():
         n2 += json.loads(bytes(r["counts"]))
 
-    def merge_dense(batches):
+    def merge_sums(batches):
         for t in _by_group(batches, ["kind", "bucket"]):
             kind, b = t.column("kind")[0].as_py(), t.column("bucket")[0].as_py()
-            out = np.zeros(min(width, v + 1 - b * width), np.int64)
-            for k, c in zip(t.column("keys").to_pylist(), t.column("counts").to_pylist()):
-                out[_unpack_sorted(k).astype(np.int64) - b * width] += unpack(c, np.uint64).astype(np.int64)
-            _save(f"{path}/d{kind}-{b:05d}.npy", out.astype(np.uint32) if out.max() < 1 << 32 else out)
-            stats = [int(out.sum()), *(int((out == k).sum()) for k in (1, 2, 3, 4)), int((out > 2).sum())]
-            yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([b], pa.int32()), pa.array([stats], pa.list_(pa.int64()))], ["kind", "bucket", "stats"])
-
-    dense = partial.filter("kind > 0").repartition("kind", "bucket").sortWithinPartitions("kind", "bucket")
+            ids, sums = summed(np.concatenate([_unpack_sorted(x) for x in t.column("keys").to_pylist()]), np.concatenate([unpack(x, np.uint64).astype(np.int64) for x in t.column("counts").to_pylist()]))
+            _save(f"{path}/i{kind}-{b:07d}.npy", ids.astype(np.uint32))
+            _save(f"{path}/d{kind}-{b:07d}.npy", _small(sums))
+            yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([[int(sums.sum()), *(int((sums == k).sum()) for k in (1, 2, 3, 4)), int((sums > 2).sum())]], pa.list_(pa.int64()))], ["kind", "stats"])
+
+    grouped = done.filter("kind > 10").repartition("kind", "bucket").sortWithinPartitions("kind", "bucket")
     left = np.zeros(6, np.int64)
-    for r in dense.mapInArrow(merge_dense, "kind int, bucket int, stats array<long>").collect():
-        left += r["stats"] if r["kind"] == 5 else 0
+    for r in grouped.mapInArrow(merge_sums, "kind int, stats array<long>").collect():
+        left += r["stats"] if r["kind"] == 15 else 0
     d1, d2 = discounts(left[1:5].tolist()), discounts(n2.tolist())
     gamma = float((d1[0] * left[1] + d1[1] * left[2] + d1[2] * left[5]) / left[0]) if left[0] else 1.0
     upper = {}
     for k in range(3, order + 1):
-        files = [f"{path}/s{k}-{b:05d}.npy" for b in range(1 << bits)]
+        files = [f"{path}/s{k}-{b:07d}.npy" for b in range(1 << bits)]
         upper[k] = discounts(sum((np.load(f) for f in files if os.path.exists(f)), np.zeros(4, np.int64)).tolist())
     return meta | {"d1": d1, "d2": d2, "types": int(left[0]), "gamma": gamma, "upper": upper}
 
 
-def bigram_keys(path: str, meta: dict, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of every token: its bigram key (meaningless next to unknown words), its id and its context's id, -1 if unknown; and the first token of each text."""
-    hashes, first, opens = tokens(texts)
+def token_ids(path: str, meta: dict, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The id of every token, -1 if unknown; and the first token of each text."""
+    hashes, first, _ = tokens(texts)
     distinct, back = np.unique(hashes, return_inverse=True)
-    ids = _ids(path, meta, distinct)[back]
-    before = np.empty(len(ids), np.int64)
-    before[1:] = ids[:-1]
-    before[opens] = meta["words"]
-    return (before.astype(np.uint64) << U(32)) | (ids.astype(np.uint64) & U(0xFFFFFFFF)), ids, before, first
+    return _ids(path, meta, distinct)[back], first
 
 
 def score(path: str, meta: dict, texts: list[bytes]) -> tuple[np.ndarray, ...]:
     """n_tokens, n_known, base_score, score of each text."""
-    keys, ids, before, first = bigram_keys(path, meta, texts)
+    ids, first = token_ids(path, meta, texts)
     v, known = meta["words"], ids >= 0
     word, back = np.unique(ids[known], return_inverse=True)
     count = np.zeros(len(ids))
     p = np.full(len(ids), meta["gamma"] / (v + 1))
     if len(word):
-        cut = np.searchsorted(word, meta["offset"])
-        counts = np.concatenate([_mapped(f"{path}/n{b:05d}.npy")[word[lo:hi] - meta["offset"][b]] for b, (lo, hi) in enumerate(zip(cut, cut[1:])) if lo < hi])
-        count[known] = counts[back]
-        left = _dense_of(path, meta, 5, word)
+        count[known] = _counts(path, meta, word)[back]
+        left = _sum_of(path, meta, 15, word)
         p[known] += ((left - _discount(meta["d1"], left)) / meta["types"])[back]
     base = np.log10((count + 1) / (meta["tokens"] + (v + 1)))
-    context, where = np.unique(before[before >= 0], return_inverse=True)
-    if len(context) and v:
-        total, one, two, more = (_dense_of(path, meta, k, context) for k in (1, 2, 3, 4))
-        seen = total > 0
-        back_off = np.where(seen, (meta["d2"][0] * one + meta["d2"][1] * two + meta["d2"][2] * more) / np.maximum(total, 1), 1.0)
-        has = before >= 0
-        pair = np.flatnonzero(has & known)
-        distinct, again = np.unique(keys[pair], return_inverse=True)
-        bucket = (mix(distinct) >> U(64 - meta["bits"])).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cut = np.searchsorted(bucket[order], np.arange((1 << meta["bits"]) + 1))
-        found = np.zeros(len(distinct))
-        for b, (lo, hi) in enumerate(zip(cut, cut[1:])):
-            name = f"{path}/b{b:05d}.npy"
-            if lo < hi and _exists(name):
-                i, held = order[lo:hi], _mapped(name)
-                at = np.minimum(np.searchsorted(held, distinct[i]), len(held) - 1)
-                found[i] = np.where(held[at] == distinct[i], _mapped(f"{path}/c{b:05d}.npy")[at], 0)
-        p[has] *= back_off[where]
-        full = np.zeros(len(ids))
-        full[has] = np.maximum(total, 1)[where]
-        c = found[again]
-        p[pair] += np.maximum(c - _discount(meta["d2"], c), 0) / full[pair]
-    for k, d in meta["upper"].items():
-        context = grams_before(ids, first, v, k - 1)
-        has = np.flatnonzero(np.all([x >= 0 for x in context], axis=0))
-        total, one, two, more, c = _looked_up(path, meta, k, gram_hash([x[has] for x in context]), ids[has])
-        seen = total > 0
-        has, total, one, two, more, c = has[seen], total[seen], one[seen], two[seen], more[seen], c[seen]
+    for k, d in {2: meta["d2"], **meta["upper"]}.items():
+        before = grams_before(ids, first, v, k - 1)
+        has = np.flatnonzero(np.all([x >= 0 for x in before], axis=0))
+        before, last = [x[has] for x in before], ids[has]
+        bucket = gram_buckets(path, meta, [*before, last])
+        if k == 2:
+            split = _splits(path, meta, before[0]) > 1
+            found = np.zeros((5, len(has)), np.int64)
+            for tag, some in (("p", ~split), ("q", split)):
+                found[:, some] = _looked_up(path, tag, bucket[some], before[0][some].astype(np.uint64), last[some])
+            context, again = np.unique(before[0][split], return_inverse=True)
+            found[:4, split] = np.array([_sum_of(path, meta, kind, context)[again] for kind in (11, 12, 13, 14)])
+        else:
+            found = _looked_up(path, f"u{k}", bucket, gram_hash(before), last)
+        seen = found[0] > 0
+        has, (total, one, two, more, c) = has[seen], found[:, seen]
         p[has] = (np.maximum(c - _discount(d, c), 0) + (d[0] * one + d[1] * two + d[2] * more) * p[has]) / total
     n = np.diff(first)
     add = lambda x: np.add.reduceat(x, first[:-1])
@@ -515,13 +543,13 @@ def _exists(path: str) -> bool:
     return os.path.exists(path)
 
 
-def _dense_of(path: str, meta: dict, kind: int, ids: np.ndarray) -> np.ndarray:
-    cut = np.searchsorted(ids, np.arange(meta["slices"] + 1) * meta["width"])
-    out = np.zeros(len(ids))
-    for b, (lo, hi) in enumerate(zip(cut, cut[1:])):
-        name = f"{path}/d{kind}-{b:05d}.npy"
-        if lo < hi and _exists(name):
-            out[lo:hi] = _mapped(name)[ids[lo:hi] - b * meta["width"]]
+def _sum_of(path: str, meta: dict, kind: int, ids: np.ndarray) -> np.ndarray:
+    """Sums of a kind of sorted distinct ids; 0 where there are none."""
+    out = np.zeros(len(ids), np.int64)
+    for b, lo, hi in parts(ids // meta["width"]):
+        if _exists(f"{path}/i{kind}-{b:07d}.npy"):
+            at, there = _at(_mapped(f"{path}/i{kind}-{b:07d}.npy"), ids[lo:hi])
+            out[lo:hi] = np.where(there, _mapped(f"{path}/d{kind}-{b:07d}.npy")[at], 0)
     return out
 
 
