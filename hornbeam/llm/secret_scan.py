@@ -2,7 +2,7 @@
 
 Every text is a layer; a worklist decodes URL escapes, Unicode and HTML
 escapes, base64, also wrapped to lines, hex and compressed runs into further
-layers until nothing new appears. Escapes are replaced in the whole layer and in
+layers until nothing new appears at the same place. Escapes are replaced in the whole layer and in
 each run without white space. Each layer is scanned and its spans are mapped to the text.
 """
 
@@ -43,8 +43,9 @@ _MAGIC = ((b"\x1f\x8b", 31), (b"\x78\x01", 15), (b"\x78\x5e", 15), (b"\x78\x9c",
 MOST_UNFOLDED, OVERLAP = 1 << 26, 1 << 20
 #: Bytes read and unfolded at a time.
 _STEP = 1 << 16
-#: Chains of ever new layers end here.
+#: Chains of ever new layers end here; rows whose scan was stopped so are flagged.
 MOST_DEPTH = 64
+_TELLING = re.compile(rb"passw|secret|token|api_?key|AKIA[A-Z0-9]{14}", re.I)
 
 
 def scan(layer: bytes) -> list[Span]:
@@ -62,7 +63,7 @@ def _mixed(run: bytes) -> bool:
 def _plausible(data: bytes) -> bool:
     if len(data) < 8:
         return False
-    if any(data.startswith(m) for m, _ in _MAGIC):
+    if any(data.startswith(m) for m, _ in _MAGIC) or _TELLING.search(data):
         return True
     try:
         text = data.decode()
@@ -211,22 +212,28 @@ def decoded(layer: Layer) -> Iterator[Layer]:
             yield inner
 
 
-def find(text: bytes) -> tuple[list[Span], list[Span]]:
-    """The base spans of a text and those found in its inner layers, in bytes of the text."""
-    base, more = scan(text), []
+def find(text: bytes) -> tuple[list[Span], list[Span], bool]:
+    """The base spans of a text, those found in its inner layers, in bytes of the text, and whether a chain of layers was cut.
+
+    A layer is what some range of the text encodes: equal layers of other ranges
+    are scanned as well, those of one range, so also cycles, only once.
+    """
+    base, more, cut = scan(text), [], False
     mark = lambda data: data if len(data) < 64 else hashlib.blake2b(data).digest()
-    seen = {mark(text)}
+    seen = {(mark(text), 0, len(text))}
     at = np.arange(len(text) + 1)
     todo = [decoded((text, at[:-1], at[1:]))] if text else []
     while todo:
         inner = next(todo[-1], None)
         if inner is None:
             todo.pop()
-        elif inner[0] and (key := mark(inner[0])) not in seen:
+        elif inner[0] and (key := (mark(inner[0]), int(inner[1][0]), int(inner[2][-1]))) not in seen:
             seen.add(key)
             more += [(k, int(inner[1][a]), int(inner[2][b - 1])) for k, a, b in scan(inner[0])]
             if len(todo) < MOST_DEPTH:
                 todo.append(decoded(inner))
+            else:
+                cut = cut or next(decoded(inner), None) is not None
     # A span of an inner layer may begin or end inside a character of the text.
     inside = lambda i: i < len(text) and text[i] & 0xC0 == 0x80
     fixed = []
@@ -236,7 +243,7 @@ def find(text: bytes) -> tuple[list[Span], list[Span]]:
         while inside(b):
             b += 1
         fixed.append((k, a, b))
-    return base, fixed
+    return base, fixed, cut
 
 
 _CLASS = np.zeros(256, np.int8)
@@ -280,12 +287,15 @@ def suspects(texts: list[bytes]) -> np.ndarray:
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_decoded: one row for each row of ``docs``.
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_decoded, stopped: one row for each row of ``docs``.
 
     Counts and digest are of the base findings in the text itself; ``spans`` adds
     those of inner layers, under the same kinds, at the range of the text that
-    encodes them. A null text is empty; null ids and repeated rows are kept;
-    other columns are ignored. Texts without any suspicious run skip the scan.
+    encodes them; ``stopped`` tells that a chain of more than MOST_DEPTH layers
+    was cut. A null text is empty; null ids and repeated rows are kept; an empty
+    table gives an empty result; other columns are ignored. Texts without any
+    suspicious run skip the scan. A very long text is scanned whole and needs
+    about 40 bytes a byte in its worker, more only while layers are open.
     """
 
     def work(batches):
@@ -293,12 +303,12 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for i, j, texts in text_slices(batch.column(1)):
                 rows = []
                 for t, hit in zip(texts, suspects(texts).tolist()):
-                    base, more = find(t) if hit else ([], [])
+                    base, more, cut = find(t) if hit else ([], [], False)
                     both = in_code_points(t, base + more)
                     first = joined(both[: len(base)], KINDS)
-                    rows.append((*(sum(s[0] == k for s in base) for k in KINDS), digest(first), joined(both, KINDS), len(set(both) - set(both[: len(base)]))))
-                kinds = [pa.int64()] * 3 + [pa.string(), pa.string(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(x, t) for x, t in zip(zip(*rows), kinds))], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_decoded"])
+                    rows.append((*(sum(s[0] == k for s in base) for k in KINDS), digest(first), joined(both, KINDS), len(set(both) - set(both[: len(base)])), cut))
+                kinds = [pa.int64()] * 3 + [pa.string(), pa.string(), pa.int64(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(x, t) for x, t in zip(zip(*rows), kinds))], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_decoded", "stopped"])
 
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_binary(text_col).alias("text"))
-    return given.mapInArrow(work, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_decoded long")
+    return given.mapInArrow(work, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_decoded long, stopped boolean")
