@@ -186,22 +186,24 @@ def grow(x: np.ndarray, y: np.ndarray, directions: list[int], trees: int = 60, d
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_train: int = 20_000) -> Forest:
-    """Fits the forest on the ``max_train`` labelled ids with the smallest hashes (all, if there are fewer).
+    """Fits the forest on the ``max_train`` distinct (id, quality) labels with the smallest hashes (all, if there are fewer).
 
-    Only this sample, 8 bytes an id, is broadcast, and only its features, about
-    100 bytes a row, come to the driver. Null ids, qualities and texts don't train.
+    Only this sample, 12 bytes a label, is broadcast, and only its features, about
+    100 bytes a label, come to the driver: of the texts of one id, the one with
+    the smallest hash trains. Null ids, qualities and texts don't train.
     """
     sample = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality in (0, 1)")
-    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_train)
+    sample = sample.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_train)
 
     def work(batches):
         for batch in batches:
-            for i, j, texts in text_slices(batch.column(2)):
+            for i, j, texts in text_slices(batch.column(3)):
                 x = statistics(texts)[1]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[:3]), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "quality", "h", "x"])
 
-    joined = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "quality", as_binary("text").alias("text"))
-    rows = joined.mapInArrow(work, "doc_id long, quality int, x array<double>").toArrow()
+    joined = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "quality", F.xxhash64("text").alias("h"), as_binary("text").alias("text"))
+    found = joined.mapInArrow(work, "doc_id long, quality int, h long, x array<double>")
+    rows = found.groupBy("doc_id", "quality").agg(F.min_by("x", "h").alias("x")).toArrow()
     if not rows.num_rows:
         return grow(np.zeros((0, len(FEATURES))), np.zeros(0), [d for _, d in FEATURES])
     order = np.lexsort((rows["quality"].to_numpy(), rows["doc_id"].to_numpy()))
@@ -217,7 +219,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_co
     repeated 8-word windows; of the rest, the forest keeps those of at least
     ``threshold`` probability. A null or empty text has no words and fails.
     Null ids are kept as null, repeated rows are scored alike, other columns are
-    ignored. With empty or one-sided labels the forest decides by the prior.
+    ignored, an empty table gives an empty result. With empty or one-sided labels
+    the forest decides by the prior. A very long text is counted whole, with about
+    60 bytes of arrays a byte in its worker.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     forest = train(spark, docs, labels, max_train)

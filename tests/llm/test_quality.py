@@ -60,3 +60,15 @@ def test_odd_rows(spark, odd, none, odd_rows):
     assert len(rows) == len(odd_rows)
     assert all(r["base_failed"] and not r["kept"] for r in rows if r["n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["n_words"])
     assert quality_rules(spark, none, labels.limit(0)).count() == 0
+
+
+def test_repeated_ids_dont_multiply_the_training_rows(spark, monkeypatch):
+    from hornbeam.llm import quality
+
+    seen = []
+    monkeypatch.setattr(quality, "grow", lambda x, y, d, **k: seen.append((len(x), x.sum())) or grow(x, y, d, **k))
+    rows = [(i % 3, f"text number {i} of id {i % 3}") for i in range(300)]
+    labels = spark.createDataFrame([(0, 1), (0, 1), (1, 0), (2, 1)] * 5, "doc_id long, quality int")
+    for n in (1, 7):
+        train(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(n), labels, max_train=10)
+    assert seen[0][0] == 3 and seen[0] == seen[1]
