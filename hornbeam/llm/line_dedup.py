@@ -14,18 +14,18 @@ from pyspark.sql import functions as F
 
 from .common import stage_table
 
-_SPACES = r"[\x20\x09-\x0D]+"
+_SPACES = " \t\n\x0b\x0c\r"
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
     """doc_id, row (the text's hash), line_no, h, site of each line with a word; lines are compared without outer white space."""
-    lines = docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("row"), "site", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    line = F.regexp_replace("line", rf"^{_SPACES}|{_SPACES}$", "")
-    return lines.select("doc_id", "row", "line_no", "site", line.alias("line")).filter("line <> ''").select("doc_id", "row", "line_no", F.xxhash64("line").alias("h"), F.xxhash64(F.coalesce("site", F.lit("\0null"))).alias("site"))
+    site = F.xxhash64(F.coalesce("site", F.lit("\0null")))
+    lines = docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("row"), site.alias("site"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return lines.withColumn("line", F.trim("line", F.lit(_SPACES))).filter("line <> ''").select("doc_id", "row", "line_no", F.xxhash64("line").alias("h"), "site")
 
 
 def spread_lines(spark: SparkSession, occ: DataFrame, min_sites: int, lg_k: int = 12, band: float = 0.25) -> DataFrame:
-    """h, keep_doc, keep_line, keep_row: lines on at least ``min_sites`` sites and their first occurrence.
+    """h, keep_doc, keep_line, keep_row, of written occurrences ``occ``: lines on at least ``min_sites`` sites and their first occurrence.
 
     The sketch's error at lg_k = 12 is 1.6 %, so an estimate outside the band of
     25 % decides, and inside it sites are counted exactly.
@@ -50,9 +50,10 @@ def remove_boilerplate(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     dropped: a text may end up empty. A null text stays null, with no lines; a
     null site is a site of its own. Rows of the same id and text are
     treated alike, those that share an id only are rows of their own. An empty table gives an empty result.
+    A very long text is one row of an array of its lines. Lines are compared by 64-bit hashes.
     """
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(site_col).cast("string").alias("site"))
-    occ = occurrences(given)
+    occ = stage_table(spark, occurrences(given), "occurrences")
     spread = spread_lines(spark, occ, min_sites)
     gone = occ.join(spread, "h").filter(~(F.col("doc_id").eqNullSafe(F.col("keep_doc")) & (F.col("line_no") == F.col("keep_line")) & (F.col("row") == F.col("keep_row"))))
     # Names no table of the caller's can have.
@@ -68,20 +69,22 @@ def remove_boilerplate(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
 
 
 SQL = r"""
-WITH lines AS (
-  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no
-  FROM documents WHERE text IS NOT NULL
+WITH rows AS (
+  SELECT row_number() OVER () AS rid, doc_id, source, text FROM documents
+), lines AS (
+  SELECT rid, doc_id, source, text, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no
+  FROM rows WHERE text IS NOT NULL
 ), trimmed AS (
-  SELECT doc_id, coalesce(source, chr(1)) AS site, line AS raw, line_no, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS line FROM lines
+  SELECT rid, doc_id, coalesce(source, chr(1)) AS site, md5(text) AS h, raw, line_no, regexp_replace(raw, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS line FROM lines
 ), spread AS (
-  SELECT line, min({'d': doc_id, 'n': line_no}) AS first FROM trimmed WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= 10
+  SELECT line, min({'known': doc_id IS NOT NULL, 'd': coalesce(doc_id, 0), 'n': line_no, 'h': h}) AS first FROM trimmed WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= 10
 ), marked AS (
-  SELECT t.*, s.line IS NOT NULL AND NOT (t.doc_id = s.first.d AND t.line_no = s.first.n) AS gone FROM trimmed t LEFT JOIN spread s ON t.line = s.line
+  SELECT t.*, s.line IS NOT NULL AND {'known': doc_id IS NOT NULL, 'd': coalesce(doc_id, 0), 'n': line_no, 'h': h} <> s.first AS gone FROM trimmed t LEFT JOIN spread s ON t.line = s.line
 ), joined AS (
-  SELECT doc_id, count(*) FILTER (line <> '') AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(raw, chr(10) ORDER BY line_no) FILTER (NOT gone), '') AS text
-  FROM marked GROUP BY doc_id
+  SELECT rid, count(*) FILTER (line <> '') AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(raw, chr(10) ORDER BY line_no) FILTER (NOT gone), '') AS text
+  FROM marked GROUP BY rid
 )
 SELECT d.doc_id, CAST(coalesce(j.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(j.n_removed, 0) AS BIGINT) AS n_removed,
        CAST(length(j.text) AS BIGINT) AS left_chars, md5(j.text) AS left_md5
-FROM documents d LEFT JOIN joined j ON d.doc_id = j.doc_id
+FROM rows d LEFT JOIN joined j ON d.rid = j.rid
 """
