@@ -7,11 +7,19 @@ from pyspark.sql import functions as F
 
 from ..shared import local_path, new_folder, remove, shared_dir, ship, stage_table
 
-__all__ = ["WORD", "as_binary", "local_path", "new_folder", "remove", "shared_dir", "ship", "stage_table", "table"]
+__all__ = ["BROADCAST_ROWS", "WORD", "as_binary", "local_path", "new_folder", "remove", "shared_dir", "ship", "small", "stage_table", "table"]
 
 #: Words are maximal runs of characters other than ASCII white space; bytes.split() cuts UTF-8 the same way.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows of a few numbers up to this count are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table, marked for broadcasting if its rows, counted first, are few."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)

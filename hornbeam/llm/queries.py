@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import chat, line_dedup, mixing, warc
+from . import chat, line_dedup, warc
 from .common import table
 from .decontaminate import contaminated
 from .kneser_ney import score_documents
@@ -88,7 +88,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
-    "op2_mix_sources": mixing.SQL,
     "op3_line_dedup": line_dedup.SQL,
     "op8_chat_format": chat.SQL,
     "op9_warc": warc.SQL,

@@ -1,6 +1,6 @@
-import os
+import re
+from collections import Counter, defaultdict
 
-import duckdb
 import pytest
 
 from hornbeam.llm import mixing
@@ -24,9 +24,9 @@ def test_targets_reshare_the_excess():
 def test_flow_of_overlapping_sources():
     # 10 words only in a, 10 only in b, 10 in both; quotas favour b.
     take = mixing.route([((0,), 10), ((1,), 10), ((0, 1), 10)], [10, 20])
-    assert take == [10, 10, 10]
-    assert mixing.route([((0,), 10), ((0, 1), 10)], [15, 15]) == [10, 20] or sum(mixing.route([((0,), 10), ((0, 1), 10)], [15, 15])) == 30
-    assert mixing.route([((0,), 10)], [100]) == [30]
+    assert take == [{0: 10}, {1: 10}, {0: 0, 1: 10}]
+    assert sum(sum(x.values()) for x in mixing.route([((0,), 10), ((0, 1), 10)], [15, 15])) == 30
+    assert mixing.route([((0,), 10)], [100]) == [{0: 30}]
     assert mixing.route([], []) == []
 
 
@@ -41,7 +41,7 @@ def test_flow_is_optimal_on_small_cases():
                 cost = sum(costs[k] * min(max(v - k * s, 0), s) for v, (_, s) in zip(x, patterns) for k in range(3))
                 key = (-sum(x), cost)
                 best = min(best, key) if best else key
-    got = mixing.route(patterns, quotas, costs)
+    got = [sum(x.values()) for x in mixing.route(patterns, quotas, costs)]
     assert best == (-sum(got), sum(costs[k] * min(max(v - k * s, 0), s) for v, (_, s) in zip(got, patterns) for k in range(3)))
 
 
@@ -56,10 +56,78 @@ def test_mix_meets_targets(spark, odd, none, odd_rows):
     assert mixing.mix_sources(spark, none).count() == 0
 
 
-@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the driver's tables")
-def test_mix_matches_sql(spark):
+def cheapest(texts, quotas, most):
+    """The least cost of repetitions that meets the quotas, over all ways to take whole words of each (text, source) cell."""
+    import itertools
+
+    cells = [(t, s, most * copies * size) for t, (size, by) in enumerate(texts) for s, copies in by.items()]
+    best = None
+    for x in itertools.product(*(range(cap + 1) for _, _, cap in cells)):
+        got = Counter()
+        each = Counter()
+        for (t, s, _), n in zip(cells, x):
+            got[s] += n
+            each[t] += n
+        if all(got[s] == q for s, q in quotas.items()):
+            cost = 0
+            for t, n in each.items():
+                size = texts[t][0]
+                levels = [r * (r + 1) // 2 for r in range(most)]
+                for c in levels:
+                    cost += c * min(n, size)
+                    n -= min(n, size)
+                cost += (2 * levels[-1] + 1) * n
+            best = cost if best is None else min(best, cost)
+    return best
+
+
+def test_shared_texts_are_repeated_least(spark):
+    """The flow's cost of repetitions equals the least of all mixes, texts being shared by sources."""
+    docs = [(1, "p q", "a"), (2, "r", "a"), (3, "p q", "b"), (4, "u v", "b"), (5, "w", "c")]
+    got = mixing.mix_sources(spark, spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
+    quotas = {r["source"]: round(r["target"]) for r in got}
+    texts: dict = defaultdict(lambda: [0, Counter()])
+    for _, t, s in docs:
+        texts[t][0] = len(t.split())
+        texts[t][1][s] += 1
+    taken: Counter = Counter()
+    for r in got:
+        taken[docs[r["doc_id"] - 1][1]] += r["taken"]
+    levels = (0, 1, 3)
+    cost = 0
+    for t, n in taken.items():
+        size = texts[t][0]
+        for c in levels:
+            cost += c * min(n, size)
+            n -= min(n, size)
+        cost += 7 * n
+    assert cost == cheapest([tuple(x) for x in texts.values()], quotas, 3)
+    by = Counter()
+    for r in got:
+        by[r["source"]] += r["taken"]
+    assert by == Counter(quotas)
+
+
+def test_mix_of_the_whole_table(spark):
+    """Targets as stated, met by every source on the driver's documents, with texts that sources share among them."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    con = duckdb.connect()
-    con.execute("create view documents as select * from '/root/testdata/sf0.01/documents.parquet'")
-    want = sorted(con.execute(mixing.SQL).fetchall())
-    assert sorted(tuple(r) for r in mixing.mix_sources(spark, docs).select("doc_id", "size", "source_size", "target", "taken").collect()) == want
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    size = {i: len(re.findall("[^ \t\n\x0b\x0c\r]+", r["text"] or "")) for i, r in rows.items()}
+    sources = sorted({r["source"] for r in rows.values()})
+    total = Counter()
+    for i, r in rows.items():
+        total[r["source"]] += size[i]
+    want = dict(zip(sources, mixing.reshared_targets([total[s] for s in sources], [(5, 2, 1)[k % 3] for k in range(len(sources))])))
+    got = mixing.mix_sources(spark, docs).collect()
+    again = mixing.mix_sources(spark, docs.repartition(5)).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again)) and len(got) == len(rows)
+    by = Counter()
+    for r in got:
+        assert (r["size"], r["source_size"]) == (size[r["doc_id"]], total[r["source"]]) and r["target"] == pytest.approx(want[r["source"]])
+        assert 0 <= r["taken"] <= 3 * r["size"]
+        by[r["source"]] += r["taken"]
+    assert all(by[s] == round(want[s]) for s in sources)
+    holders = defaultdict(set)
+    for r in rows.values():
+        holders[r["text"]].add(r["source"])
+    assert any(len(x) > 1 for x in holders.values())
