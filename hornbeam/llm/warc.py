@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import local_path, new_folder, stage_table
+from .common import local_path, new_folder, small, stage_table
 
 CHUNK = 1 << 18
 #: Payloads of fewer bytes are always written out.
@@ -30,22 +30,31 @@ _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Le
 
 
 def decisions(pages: DataFrame) -> DataFrame:
-    """page_id, payload_digest, refers_to of each revisit among rows of (page_id, payload_digest, payload_bytes).
+    """page_id, payload_digest, refers_to, repeated, refers_to_repeated of the odd ones among rows of (page_id, payload_digest, payload_bytes): revisits, and rows that repeat.
 
     Of equal payloads (length and SHA-1) of at least LEAST_REVISIT bytes, the one
-    with the largest page_id is the response. Equal payloads are aggregated
-    before anything is joined; no payload is shuffled for it.
+    with the largest page_id is the response. Equal rows, then equal payloads are
+    aggregated before anything is joined; no payload is shuffled for it.
     """
-    facts = pages.filter((F.col("payload_bytes") >= LEAST_REVISIT) & F.col("page_id").isNotNull()).select("page_id", "payload_digest", "payload_bytes")
-    first = facts.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("lo")).filter("lo <> refers_to").drop("lo")
-    return facts.join(first, ["payload_digest", "payload_bytes"]).filter("page_id <> refers_to").select("page_id", "payload_digest", "refers_to").distinct()
+    each = pages.groupBy("page_id", "payload_digest", "payload_bytes").agg((F.count("*") > 1).alias("repeated"))
+    top = F.max(F.struct("page_id", "repeated")).alias("top")
+    long = each.filter((F.col("payload_bytes") >= LEAST_REVISIT) & F.col("page_id").isNotNull())
+    first = long.groupBy("payload_digest", "payload_bytes").agg(top, F.min("page_id").alias("lo")).filter("lo <> top.page_id").drop("lo")
+    both = each.join(first, ["payload_digest", "payload_bytes"], "left")
+    refers = F.when(F.col("page_id") < F.col("top.page_id"), F.col("top.page_id"))
+    odd = both.select("page_id", "payload_digest", refers.alias("refers_to"), "repeated", F.coalesce("top.repeated", F.lit(False)).alias("refers_to_repeated"))
+    return odd.filter("refers_to is not null or repeated")
 
 
-def _record(page_id: int | None, url: str | None, payload: memoryview, refers_to: int | None, digest: str) -> Iterator[bytes]:
+def record_id(page_id: int | None, digest: str, place: str = "") -> str:
+    """Of a page with a payload; rows that repeat also have a ``place`` of their own."""
+    return str(uuid.uuid5(uuid.NAMESPACE_URL, f"page:{page_id}:{digest}{place}"))
+
+
+def _record(ident: str, page_id: int | None, url: str | None, payload: memoryview, refers_to: int | None, refers_to_id: str | None, digest: str) -> Iterator[bytes]:
     size = len(payload)
     http = _HTTP.format(size).encode()
     revisit = refers_to is not None
-    ident = uuid.uuid5(uuid.NAMESPACE_URL, f"page:{page_id}")
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
@@ -61,7 +70,9 @@ def _record(page_id: int | None, url: str | None, payload: memoryview, refers_to
     if url is not None:
         head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{refers_to}')}>", f"X-Refers-To-Page-Id: {refers_to}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-Id: {refers_to}"]
+        if refers_to_id:
+            head.append(f"WARC-Refers-To: <urn:uuid:{refers_to_id}>")
     yield ("\r\n".join(head) + "\r\n\r\n").encode() + http
     if not revisit:
         for i in range(0, size, CHUNK):
@@ -73,22 +84,29 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str, level: in
     """Writes (page_id, url, html) rows as gzip members into archives of ``folder``; returns file, records, bytes.
 
     Every task attempt writes files of its own name and only a finished attempt's
-    rows name them, so a lost executor leaves at most an unlisted file.
+    rows name them, so a lost executor leaves at most an unlisted file. Payloads
+    stay in the tasks that read them while what is decided about them, counted
+    first, is small enough to be broadcast. Record ids are unique; a revisit
+    names the response's, unless several rows repeat the response.
     """
     path = local_path(folder)
     html = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", html.alias("html"), F.sha1(html).alias("payload_digest"))
     facts = pages.select("page_id", F.sha1(html).alias("payload_digest"), F.octet_length(html).cast("long").alias("payload_bytes"))
-    joined = rows.join(decisions(facts), ["page_id", "payload_digest"], "left").select("page_id", "url", "html", "refers_to", "payload_digest")
+    odd = small(stage_table(spark, decisions(stage_table(spark, facts, "facts")), "decisions").select(F.col("page_id").alias("odd_id"), F.col("payload_digest").alias("odd_digest"), "refers_to", "repeated", "refers_to_repeated"))
+    joined = rows.join(odd, F.col("page_id").eqNullSafe(F.col("odd_id")) & (F.col("payload_digest") == F.col("odd_digest")), "left")
+    joined = joined.select("page_id", "url", "html", "refers_to", "payload_digest", "repeated", "refers_to_repeated")
 
     def work(batches):
         os.makedirs(path, exist_ok=True)
-        at, out, done = TaskContext.get(), None, []
+        at, out, done, seen = TaskContext.get(), None, [], 0
         stem = f"{at.partitionId():06d}-{at.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
         for batch in batches:
             for i in range(batch.num_rows):
-                page_id, url, refers_to = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(3)[i].as_py()
+                page_id, url, _, refers_to, digest, repeated, vague = (None if k == 2 else batch.column(k)[i].as_py() for k in range(7))
                 payload = memoryview(batch.column(2)[i].as_buffer())
+                ident = record_id(page_id, digest, f":{at.partitionId()}:{seen}" if repeated else "")
+                seen += 1
                 if out is not None and out.tell() >= ARCHIVE_BYTES:
                     out.close()
                     out = None
@@ -96,7 +114,7 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str, level: in
                     done.append([f"{stem}-{len(done):03d}.warc.gz", 0, 0])
                     out = open(os.path.join(path, done[-1][0]), "wb", buffering=1 << 20)
                 member = zlib.compressobj(level, zlib.DEFLATED, 31)
-                for part in _record(page_id, url, payload, refers_to, batch.column(4)[i].as_py()):
+                for part in _record(ident, page_id, url, payload, refers_to, None if vague or refers_to is None else record_id(refers_to, digest), digest):
                     out.write(member.compress(part))
                 out.write(member.flush())
                 done[-1][1:] = [done[-1][1] + 1, out.tell()]
@@ -208,13 +226,14 @@ def round_trip(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", u
     One record for each row. A null html is an empty payload; a row with a null
     page_id is always a response, with a null page_id. Rows that repeat the
     largest page_id of their payload are all responses. Other columns are
-    ignored; an empty table has no archives and an empty result.
+    ignored; an empty table has no archives and an empty result. A very long
+    payload is written and read in chunks of CHUNK bytes.
     """
     given = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     folder = new_folder(spark, "warc")
     files = write_archives(spark, given, folder)
     n = max(1, files.count())
-    chunks = read_archives(files.repartition(n), folder, data=False)
+    chunks = read_archives(files.repartition(n), folder)
     return chunks.filter("last").select("page_id", F.col("full_bytes").alias("payload_bytes"), F.col("full_digest").alias("payload_digest"), "record_type", "refers_to")
 
 

@@ -48,3 +48,16 @@ def test_archives_rotate(spark, monkeypatch):
     folder = new_folder(spark, "warc")
     df = spark.createDataFrame([(i, "u", "z" * i) for i in range(5)], "page_id long, url string, html string").repartition(1)
     assert warc.write_archives(spark, df, folder).count() in (1, 5)
+
+
+def test_record_ids_are_unique(spark):
+    same = "y" * 1500
+    pages = [(1, "u", "a"), (1, "u", "b"), (None, "u", "c"), (None, "v", "c"), (None, "v", same), (3, "u", same), (3, "v", same), (2, "u", same), (4, "u", same + "z"), (5, "u", same + "z"), (1, "u", "a")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    folder = new_folder(spark, "warc")
+    rows = warc.read_archives(warc.write_archives(spark, df, folder), folder).collect()
+    assert len(rows) == len(pages) == len({(r["record_id"], r["chunk_no"]) for r in rows})
+    assert sorted((r["page_id"], r["refers_to"]) for r in rows if r["record_type"] == "revisit") == [(2, 3), (4, 5)]
+    heads = {f["WARC-Record-ID"]: f for r in os.listdir(local_path(folder)) for f, chunks in warc.records(os.path.join(local_path(folder), r)) if list(chunks) is not None}
+    (four,) = [f for f in heads.values() if f.get("X-Page-Id") == "4"]
+    assert heads[four["WARC-Refers-To"]]["X-Page-Id"] == "5"
