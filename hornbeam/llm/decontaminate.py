@@ -2,22 +2,27 @@
 
 Numbers, units and names become typed placeholders, so that a question with
 other values has the same template. Hashed windows of benchmark templates are
-looked up in every window of every document; hits are aligned with the item,
-and a hit counts only if each value of the item stands for one value of the
+hash-joined with those of all documents; matched windows are aligned with their
+item, and they count only if each value of the item stands for one value of the
 document throughout. Windows of the literal tokens, every value kept, find
 verbatim copies also where a template has too few literals to tell anything.
+A bitmap of the benchmark's hashes, of a fixed size, is sent to the tasks that
+read documents: windows that cannot match never become rows.
 """
 
 from __future__ import annotations
 
+import struct
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_binary
+from .common import as_binary, small, stage_table
+from .near_dup import _by_group
 from .textops import U, Words, inside_one, mix, text_slices, windows
 
 WINDOW = 10
@@ -27,8 +32,8 @@ LEAST_LITERAL = 5
 LEAST_BYTES = 5
 #: An item is found if so many tokens in a row match, or this share of its tokens.
 RUN_TOKENS, SHARE = 13, 0.5
-#: Benchmark text is looked up in blocks of at most so many bytes, each one scan of the documents.
-BLOCK_BYTES = 32 << 20
+#: Bounds of the bitmap's bits, 16 for each window: 8 kB to 32 MB; a fuller one only lets more rows into the join.
+LEAST_BITS, MOST_BITS, BITS_A_WINDOW = 1 << 16, 1 << 28, 16
 #: Texts are matched in slices of so many bytes; about 60 bytes of arrays stand for each.
 SLICE_BYTES = 1 << 20
 
@@ -136,7 +141,7 @@ class Templates:
         self.kinds = (kind, np.where(named, IS_NAME, kind))
 
 
-#: The variant of a table of literal windows.
+#: The variant of literal windows; 0 keeps names, 1 replaces them.
 _VERBATIM = 2
 _cache: list[np.ndarray] = []
 
@@ -152,132 +157,217 @@ def _literal_enough(kind: np.ndarray, n: int) -> np.ndarray:
     return sums[n:] - sums[:-n] >= min(n, LEAST_LITERAL)
 
 
-class Benchmark:
-    """Hashed template and literal windows of a block of items; items shorter than WINDOW are one window of their own length."""
-
-    def __init__(self, items: list[tuple[int, bytes]]):
-        self.ids = [i for i, _ in items]
-        self.t = Templates([x for _, x in items])
-        self.size = np.diff(self.t.first)
-        #: For each variant and window length: sorted hashes, and the (item, position) of each.
-        self.tables: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        for variant in (0, 1):
-            for n in sorted({min(WINDOW, int(s)) for s in self.size if s >= LEAST_LITERAL}):
-                at = inside_one(self.t.first, n)
-                at = at[_literal_enough(self.t.kinds[variant], n)[at]]
-                owner = np.searchsorted(self.t.first, at, "right") - 1
-                fit = np.minimum(self.size[owner], WINDOW) == n
-                at, owner = at[fit], owner[fit]
-                self._index(variant, n, self.t.template[variant], self.t.first, at, owner)
-        self.literal_size = np.diff(self.t.literal_first)
-        letters = np.diff(np.concatenate(([0], np.cumsum(self.t.length)))[self.t.literal_first])
-        for n in sorted({min(WINDOW, int(s)) for s in self.literal_size[letters >= LEAST_BYTES]}):
-            at = inside_one(self.t.literal_first, n)
-            owner = np.searchsorted(self.t.literal_first, at, "right") - 1
-            fit = (np.minimum(self.literal_size[owner], WINDOW) == n) & (letters[owner] >= LEAST_BYTES)
-            self._index(_VERBATIM, n, self.t.literal, self.t.literal_first, at[fit], owner[fit])
-
-    def _index(self, variant: int, n: int, hashes: np.ndarray, first: np.ndarray, at: np.ndarray, owner: np.ndarray) -> None:
+#: A window: variant, length, hash, text, position, and for items the number of tokens, of literal tokens, and what the verdict needs of each token.
+Window = tuple[int, int, int, int, int, int, int, bytes]
+#: A matched window of one document and one item: variant, length, place in the document less that in the item, place in the item, the document's values, and the last three of Window.
+Match = tuple[int, int, int, int, bytes, int, int, bytes]
+
+
+def item_windows(texts: list[bytes]) -> list[Window]:
+    """All windows of benchmark items; items shorter than WINDOW are one window of their own length."""
+    t = Templates(texts)
+    size, literal_size = np.diff(t.first), np.diff(t.literal_first)
+    letters = np.diff(np.concatenate(([0], np.cumsum(t.length)))[t.literal_first])
+    kind = np.maximum(*t.kinds)
+    out: list[Window] = []
+
+    def add(variant: int, n: int, hashes: np.ndarray, first: np.ndarray, at: np.ndarray, owner: np.ndarray) -> None:
+        for h, i, o in zip(windows(hashes, n)[at].view(np.int64).tolist(), at.tolist(), owner.tolist()):
+            info = t.group[i : i + n].astype(np.int32).tobytes() if variant == _VERBATIM else kind[i : i + n].tobytes() + t.value[i : i + n].tobytes()
+            out.append((variant, n, h, o, i - int(first[o]), int(size[o]), int(literal_size[o]), info))
+
+    for variant in (0, 1):
+        for n in sorted({min(WINDOW, int(s)) for s in size if s >= LEAST_LITERAL}):
+            at = inside_one(t.first, n)
+            at = at[_literal_enough(t.kinds[variant], n)[at]]
+            owner = np.searchsorted(t.first, at, "right") - 1
+            fit = np.minimum(size[owner], WINDOW) == n
+            add(variant, n, t.template[variant], t.first, at[fit], owner[fit])
+    for n in sorted({min(WINDOW, int(s)) for s in literal_size[letters >= LEAST_BYTES]}):
+        at = inside_one(t.literal_first, n)
+        owner = np.searchsorted(t.literal_first, at, "right") - 1
+        fit = (np.minimum(literal_size[owner], WINDOW) == n) & (letters[owner] >= LEAST_BYTES)
+        add(_VERBATIM, n, t.literal, t.literal_first, at[fit], owner[fit])
+    return out
+
+
+class Bitmap:
+    """Which hashes may occur: no bit is missing, some are set by others."""
+
+    def __init__(self, packed: np.ndarray):
+        self.packed, self.mask = packed, len(packed) * 8 - 1
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        i = (h & U(self.mask)).astype(np.int64)
+        return (self.packed[i >> 3] >> (i & 7).astype(np.uint8)) & 1 > 0
+
+
+def text_windows(texts: list[bytes], lengths: list[tuple[int, int]], maybe: Bitmap) -> list[tuple[int, int, int, int, int, bytes]]:
+    """Of documents the windows (variant, length, hash, text, position, values of its slots) that may be an item's."""
+    t = Templates(texts)
+    out = []
+    names = np.concatenate(([0], np.cumsum(t.kinds[1] == IS_NAME)))
+    for variant, n in lengths:
+        hashes, first = (t.literal, t.literal_first) if variant == _VERBATIM else (t.template[variant], t.first)
+        at = inside_one(first, n)
         h = windows(hashes, n)[at]
-        order = np.argsort(h, kind="stable")
-        bits = np.zeros(1 << 20, bool)
-        bits[(h & U((1 << 20) - 1)).astype(np.int64)] = True
-        self.tables.append((variant, n, bits, h[order], owner[order], (at - first[owner])[order]))
-
-    def matches(self, texts: list[bytes]) -> list[tuple[int, int, int, int]]:
-        """(text, item, matched tokens, tokens of the item) of every item found in a text."""
-        if not self.tables:
-            return []
-        t = Templates(texts)
-        hits: dict[tuple[int, int, int], list[tuple[int, int]]] = defaultdict(list)
-        verbatim: dict[tuple[int, int, int], list[tuple[int, int]]] = defaultdict(list)
-        for variant, n, bits, known, owner, place in self.tables:
-            hashes, first, into = (t.literal, t.literal_first, verbatim) if variant == _VERBATIM else (t.template[variant], t.first, hits)
-            at = inside_one(first, n)
-            if not len(at) or not len(known):
-                continue
-            h = windows(hashes, n)[at]
-            some = np.flatnonzero(bits[(h & U((1 << 20) - 1)).astype(np.int64)])
-            lo, hi = np.searchsorted(known, h[some], "left"), np.searchsorted(known, h[some], "right")
-            for k, a, b in zip(some[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
-                pos = int(at[k])
-                doc = int(np.searchsorted(first, pos, "right")) - 1
-                for j in range(a, b):
-                    into[doc, int(owner[j]), pos - int(place[j])].append((int(place[j]), int(place[j]) + n))
-        best: dict[tuple[int, int], int] = {}
-        for (doc, item, shift), found in hits.items():
-            # Overlapping windows at one shift form runs. If the slots of all of them disagree, only stretches with the item's own values count.
-            kind = np.maximum(*(self.t.kinds[v][self.t.first[item] : self.t.first[item + 1]] for v in (0, 1)))
-            covered = np.zeros(len(kind), bool)
-            for a, b in found:
-                covered[a:b] = True
-            mine = self.t.value[self.t.first[item] : self.t.first[item + 1]]
-            place = np.flatnonzero(covered)
-            theirs = np.zeros(len(kind), np.uint64)
-            theirs[place] = t.value[shift + place]
-            if not self._consistent(kind, mine, theirs, place):
-                covered &= mine == theirs
-            edge = np.flatnonzero(np.diff(np.concatenate(([0], covered.view(np.int8), [0]))))
-            n = int((edge[1::2] - edge[::2]).max(initial=0))
-            if n:
-                best[doc, item] = max(best.get((doc, item), 0), n)
-        enough = lambda n, size: n >= min(size, RUN_TOKENS) or n >= SHARE * size
-        copied: dict[tuple[int, int], int] = {}
-        for (doc, item, _), found in verbatim.items():
-            group = self.t.group[self.t.literal_first[item] : self.t.literal_first[item + 1]]
-            covered = np.zeros(len(group), bool)
-            for a, b in found:
-                covered[a:b] = True
-            edge = np.flatnonzero(np.diff(np.concatenate(([0], covered.view(np.int8), [0]))))
-            for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
-                if enough(b - a, len(group)):
-                    copied[doc, item] = max(copied.get((doc, item), 0), int(group[b - 1] - group[a]) + 1)
-        out = []
-        for doc, item in sorted(best.keys() | copied.keys()):
-            n, size = best.get((doc, item), 0), int(self.size[item])
-            if (doc, item) in copied or enough(n, size):
-                out.append((doc, self.ids[item], max(n, copied.get((doc, item), 0)), size))
-        return out
-
-    @staticmethod
-    def _consistent(kind: np.ndarray, mine: np.ndarray, theirs: np.ndarray, place: np.ndarray) -> bool:
-        """Whether values that are equal in the item's slots are equal in the text."""
+        if variant == 1:
+            # Without names the window is the same as with names kept.
+            named = names[at + n] > names[at]
+            at, h = at[named], h[named]
+        some = maybe.has(h)
+        at, h = at[some], h[some]
+        owner = np.searchsorted(first, at, "right") - 1
+        for x, o, i in zip(h.view(np.int64).tolist(), owner.tolist(), at.tolist()):
+            slots = b""
+            if variant != _VERBATIM:
+                slots = b"".join(struct.pack("<BQ", k, int(t.value[i + k])) for k in np.flatnonzero(t.kinds[variant][i : i + n]).tolist())
+            out.append((variant, n, x, o, i - int(first[o]), slots))
+    return out
+
+
+def _runs(places: list[int]) -> list[tuple[int, int]]:
+    """First and last of each run of consecutive numbers, given in order."""
+    out: list[list[int]] = []
+    for x in places:
+        if out and out[-1][1] == x - 1:
+            out[-1][1] = x
+        else:
+            out.append([x, x])
+    return [(a, b) for a, b in out]
+
+
+def matched_tokens(rows: list[Match]) -> int | None:
+    """How many tokens of an item a document has in a row, if enough to call it found."""
+    enough = lambda n, size: n >= min(size, RUN_TOKENS) or n >= SHARE * size
+    templates: dict[int, dict[int, tuple[int, int, int]]] = defaultdict(dict)
+    literals: dict[int, dict[int, int]] = defaultdict(dict)
+    size = literal_size = 0
+    for variant, n, shift, place, slots, size, literal_size, info in rows:
+        if variant == _VERBATIM:
+            literals[shift].update(zip(range(place, place + n), np.frombuffer(info, np.int32).tolist()))
+            continue
+        kinds, mine = info[:n], np.frombuffer(info[n:], np.uint64).tolist()
+        theirs = dict(struct.iter_unpack("<BQ", slots))
+        for k in range(n):
+            templates[shift][place + k] = (kinds[k], mine[k], theirs.get(k, mine[k]))
+    best = copied = 0
+    for covered in templates.values():
+        # Overlapping windows at one shift form runs. If the slots of all of them disagree, only stretches with the item's own values count.
         slots: dict[tuple[int, int], int] = {}
-        return all(slots.setdefault((int(kind[k]), int(mine[k])), int(theirs[k])) == int(theirs[k]) for k in place[kind[place] != LITERAL].tolist())
+        places = sorted(covered)
+        if not all(slots.setdefault(covered[k][:2], covered[k][2]) == covered[k][2] for k in places if covered[k][0] != LITERAL):
+            places = [k for k in places if covered[k][1] == covered[k][2]]
+        best = max([best, *(b - a + 1 for a, b in _runs(places))])
+    for covered in literals.values():
+        # The groups count numbers that are joined as one token.
+        copied = max([copied, *(covered[b] - covered[a] + 1 for a, b in _runs(sorted(covered)) if enough(b - a + 1, literal_size))])
+    return max(best, copied) if copied or (best and enough(best, size)) else None
+
+
+def found_in(items: list[bytes], texts: list[bytes]) -> list[tuple[int, int, int]]:
+    """(text, item, matched tokens) of every item found in a text, without Spark."""
+    index = defaultdict(list)
+    for w in item_windows(items):
+        index[w[:3]].append(w)
+    packed = np.zeros(LEAST_BITS // 8, np.uint8)
+    for _, _, h in index:
+        i = h & (LEAST_BITS - 1)
+        packed[i >> 3] |= 1 << (i & 7)
+    pairs = defaultdict(list)
+    for variant, n, h, text, pos, slots in text_windows(texts, sorted({k[:2] for k in index}), Bitmap(packed)):
+        for _, _, _, item, place, *rest in index.get((variant, n, h), ()):
+            pairs[text, item].append((variant, n, pos - place, place, slots, *rest))
+    found = ((*key, matched_tokens(rows)) for key, rows in sorted(pairs.items()))
+    return [x for x in found if x[2]]
+
+
+def _bench_windows(items: DataFrame) -> DataFrame:
+    """variant, n, h, item, place, size, literal_size, info of distinct item texts (item, text)."""
+
+    def work(batches):
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            for i, j, texts in text_slices(batch.column(1), SLICE_BYTES):
+                rows = item_windows(texts)
+                if rows:
+                    v, n, h, o, place, size, literal_size, info = zip(*rows)
+                    numbers = (pa.array(x, t) for x, t in ((v, pa.int32()), (n, pa.int32()), (h, pa.int64()), ([keys[i + k] for k in o], pa.int64()), (place, pa.int32()), (size, pa.int32()), (literal_size, pa.int32())))
+                    yield pa.RecordBatch.from_arrays([*numbers, pa.array(info, pa.binary())], ["variant", "n", "h", "item", "place", "size", "literal_size", "info"])
+
+    return items.select("item", "text").mapInArrow(work, "variant int, n int, h long, item long, place int, size int, literal_size int, info binary")
+
+
+def _bitmap(bench: DataFrame) -> np.ndarray:
+    """The bitmap of all hashes, made in slices of 1 kB by tasks; what reaches the driver is at most MOST_BITS."""
+    bits = LEAST_BITS
+    count = bench.count()
+    while bits < min(MOST_BITS, count * BITS_A_WINDOW):
+        bits *= 2
+
+    def work(batches):
+        for t in _by_group(batches, ["slice"]):
+            part = np.zeros(8192, bool)
+            part[t.column("bit").to_numpy()] = True
+            yield pa.RecordBatch.from_arrays([pa.array([t.column("slice")[0].as_py()], pa.int64()), pa.array([np.packbits(part, bitorder="little").tobytes()], pa.binary())], ["slice", "part"])
+
+    at = bench.select(F.col("h").bitwiseAND(F.lit(bits - 1)).alias("i")).distinct()
+    rows = at.select(F.shiftright("i", 13).alias("slice"), F.col("i").bitwiseAND(F.lit(8191)).cast("int").alias("bit")).repartition("slice").sortWithinPartitions("slice").mapInArrow(work, "slice long, part binary").collect()
+    out = np.zeros(bits // 8, np.uint8)
+    for r in rows:
+        out[r["slice"] * 1024 : r["slice"] * 1024 + 1024] = np.frombuffer(r["part"], np.uint8)
+    return out
+
+
+def unchecked_items(spark: SparkSession, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """item_id of the items that no document can match: without text or with fewer than LEAST_BYTES bytes of words."""
+    given = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).cast("binary").alias("text"))
+    texts = stage_table(spark, given.filter("text is not null").select("text").distinct().withColumn("item", F.monotonically_increasing_id()), "items")
+    known = texts.join(_bench_windows(texts).select("item").distinct(), "item", "left_semi").select("text")
+    return given.join(known, "text", "left_anti").select("item_id")
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, matched_tokens, item_tokens: one row for each item found in each row of ``docs``.
 
-    The benchmark is split by hash into blocks of at most BLOCK_BYTES of text,
-    measured first, that are sent to the workers one after the other; each block
-    is looked up in all documents. Null or empty texts and items of fewer than
-    LEAST_BYTES bytes of words match nothing; items and windows of fewer than
-    LEAST_LITERAL literal tokens are found verbatim only, case and punctuation
-    aside. Characters of scripts without spaces are tokens. Tokens are reported
-    with adjacent numbers as one; null ids are kept as null; repeated rows
-    are reported as often as they come; other columns are ignored.
+    Equal item texts are looked up once. Null or empty texts and items of fewer
+    than LEAST_BYTES bytes of words match nothing (``unchecked_items`` lists
+    them); items and windows of fewer than LEAST_LITERAL literal tokens are found
+    verbatim only, case and punctuation aside. Characters of scripts without
+    spaces are tokens. Tokens are reported with adjacent numbers as one; null ids
+    are kept as null; repeated rows are reported as often as they come; other
+    columns, whatever their names, are ignored; an empty table gives an empty
+    result. A very long text is looked up whole, with about 60 bytes of arrays a
+    byte in its worker.
     """
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("binary").alias("text")).filter("text is not null")
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_binary(text_col).alias("text"))
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-int(total) // (BLOCK_BYTES // 2)))
-    schema = "doc_id long, item_id long, matched_tokens long, item_tokens long"
-    out = None
-    for b in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect()
-        bench = spark.sparkContext.broadcast(sorted(((r["item_id"], bytes(r["text"])) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
-
-        def work(batches, bench=bench):
-            known = Benchmark(bench.value)
-            for batch in batches:
-                ids = batch.column(0).to_pylist()
-                for i, j, texts in text_slices(batch.column(1), SLICE_BYTES):
-                    found = known.matches(texts)
-                    if found:
-                        yield pa.RecordBatch.from_arrays([pa.array([ids[i + f[0]] for f in found], pa.int64()), *(pa.array([f[k] for f in found], pa.int64()) for k in (1, 2, 3))], ["doc_id", "item_id", "matched_tokens", "item_tokens"])
-
-        part = given.mapInArrow(work, schema)
-        out = part if out is None else out.union(part)
-    return out
+    texts = stage_table(spark, items.select("text").distinct().withColumn("item", F.monotonically_increasing_id()), "items")
+    named = stage_table(spark, items.join(texts, "text").select("item", "item_id"), "item_ids")
+    bench = stage_table(spark, _bench_windows(texts), "windows")
+    lengths = sorted((r["variant"], r["n"]) for r in bench.select("variant", "n").distinct().collect())
+    bits = spark.sparkContext.broadcast(_bitmap(bench))
+
+    def work(batches):
+        maybe, seen = Bitmap(bits.value), TaskContext.get().partitionId() << 40
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            for i, j, some in text_slices(batch.column(1), SLICE_BYTES):
+                rows = text_windows(some, lengths, maybe)
+                if rows:
+                    v, n, h, o, pos, slots = zip(*rows)
+                    columns = ((v, pa.int32()), (n, pa.int32()), (h, pa.int64()), ([seen + k for k in o], pa.int64()), ([ids[i + k] for k in o], pa.int64()), (pos, pa.int32()), (slots, pa.binary()))
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns], ["variant", "n", "h", "row", "doc_id", "pos", "slots"])
+                seen += j - i
+
+    def judge(batches):
+        for t in _by_group(batches, ["row", "item"]):
+            first = {k: t.column(k)[0].as_py() for k in ("doc_id", "item", "size")}
+            n = matched_tokens(list(zip(*(t.column(k).to_pylist() for k in ("variant", "n", "shift", "place", "slots", "size", "literal_size", "info")))))
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (first["doc_id"], first["item"], n, first["size"])], ["doc_id", "item", "matched_tokens", "item_tokens"])
 
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_binary(text_col).alias("text"))
+    hits = given.mapInArrow(work, "variant int, n int, h long, row long, doc_id long, pos int, slots binary")
+    matches = hits.join(bench, ["variant", "n", "h"]).select("row", "item", "doc_id", "variant", "n", (F.col("pos") - F.col("place")).alias("shift"), "place", "slots", "size", "literal_size", "info")
+    found = matches.repartition("row", "item").sortWithinPartitions("row", "item").mapInArrow(judge, "doc_id long, item long, matched_tokens long, item_tokens long")
+    return found.join(small(named), "item").select("doc_id", "item_id", "matched_tokens", "item_tokens")

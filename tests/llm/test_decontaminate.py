@@ -1,10 +1,12 @@
-from hornbeam.llm.decontaminate import Benchmark, contaminated
+import re
+
+from hornbeam.llm.decontaminate import contaminated, found_in, unchecked_items
 
 ITEM = b"Alice has 12 apples and gives 5 to Bob, who then eats 12 of the 7 kg he bought; how many are left?"
 
 
 def found(text, items=((1, ITEM),)):
-    return [(f[1]) for f in Benchmark(list(items)).matches([text.encode()])]
+    return [items[f[1]][0] for f in found_in([x for _, x in items], [text.encode()])]
 
 
 def test_reparameterised_questions():
@@ -48,8 +50,10 @@ def test_blocks_and_odd_rows(spark, odd, none, odd_rows, monkeypatch):
     bench = spark.createDataFrame([(1, SENTENCE), (2, None), (None, "x"), (3, "so very different words that nobody wrote in any of these rows")], "item_id long, text string")
     want = sorted([r[0] for r in odd_rows if r[1] and SENTENCE in r[1].lower()], key=repr)
     assert sorted([r["doc_id"] for r in contaminated(spark, odd, bench).collect()], key=repr) == want
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 64)
+    monkeypatch.setattr(decontaminate, "LEAST_BITS", 1 << 13)
+    monkeypatch.setattr(decontaminate, "MOST_BITS", 1 << 13)
     assert sorted([r["doc_id"] for r in contaminated(spark, odd, bench).collect()], key=repr) == want
+    assert sorted(r["item_id"] or 0 for r in unchecked_items(spark, bench).collect()) == [0, 2]
     assert contaminated(spark, none, bench).count() == 0 and contaminated(spark, odd, bench.limit(0)).count() == 0
 
 
@@ -66,3 +70,66 @@ def test_scripts_without_spaces():
         one = [(4, item.encode())]
         assert found(f"他问：{item}然后走了。", one) == [4], item
     assert found("英国的首都是伦敦", [(4, "中国的首都是哪里？".encode())]) == []
+
+
+NUMBER, UNIT, PERSON = ("number",), ("unit",), ("person",)
+
+
+def template(text):
+    """Typed tokens of plain English by regular expressions: (template token, value)."""
+    out = []
+    for m in re.finditer(r"[0-9]+(?:[.,][0-9]+)*|[A-Za-z]+", text):
+        w = m[0]
+        start = not re.search(r"[^\W_]", text[: m.start()]) or re.search(r"[.!?:\n\"'(]\W*$", text[: m.start()])
+        if w[0].isdigit():
+            out.append((NUMBER, w))
+        elif w.lower() in ("kg", "lbs", "km", "miles", "hours", "minutes"):
+            out.append((UNIT, w.lower()))
+        elif w[0].isupper() and len(w) > 1 and not start or w in ("Alice", "Bob", "Maria", "Tom", "Anna"):
+            out.append((PERSON, w.lower()))
+        else:
+            out.append((w.lower(), w.lower()))
+    return out
+
+
+def same_question(item, text):
+    """Brute force: the whole item's template at some place of the text, with one value for each of the item's values."""
+    a, b = template(item), template(text)
+    for i in range(len(b) - len(a) + 1):
+        if all(x[0] == y[0] for x, y in zip(a, b[i:])):
+            slots: dict = {}
+            if all(slots.setdefault(x, y[1]) == y[1] for x, y in zip(a, b[i:]) if not isinstance(x[0], str)):
+                return True
+    return False
+
+
+def test_template_matches_against_brute_force(spark):
+    """Documents made of questions with other values, consistent or not, among prose: the operator finds what the brute force finds."""
+    import random
+
+    r = random.Random(4)
+    shapes = [
+        "{p} rode {a} km in {b} hours and {q} rode {a} km in {c} hours so who of the two was faster on the road",
+        "If {p} buys {a} kg of flour and {q} buys {b} kg of sugar what do they carry home after {p} eats {a} grains",
+        "A farmer told {p} that {a} goats eat {b} bales while {c} sheep eat {d} bales every single winter on the hill",
+    ]
+    people = ["Alice", "Bob", "Maria", "Tom", "Anna"]
+
+    def fill(shape, broken=False):
+        p, q = r.sample(people, 2)
+        a, b, c, d = r.sample(range(2, 99), 4)
+        text = shape.format(p=p, q=q, a=a, b=b, c=c, d=d)
+        if broken and f" {a} " in text[text.index(f" {a} ") + 3 :]:
+            cut = text.index(f" {a} ") + 3
+            text = text[:cut] + text[cut:].replace(f" {a} ", f" {a + 1} ", 1)
+        return text
+
+    items = [(k, fill(s)) for k, s in enumerate(shapes)]
+    prose = "over the old stone bridge walked a slow line of carts and dogs while rain fell on the quiet fields below"
+    docs = [(i, f"{prose} {fill(r.choice(shapes), r.random() < 0.4) if i % 3 else prose} {prose}") for i in range(200)]
+    want = {(i, k) for i, t in docs for k, s in items if same_question(s, t)}
+    # An inconsistent copy may still share a long verbatim stretch; such pairs are no matter of templates.
+    got = {(x["doc_id"], x["item_id"]) for x in contaminated(spark, spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert want <= got and len(want) > 40
+    extra = got - want
+    assert all(len(set(dict(docs)[i].split()) & set(dict(items)[k].split())) > 10 for i, k in extra) and len(extra) < 0.4 * len(got)
