@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from ..shared import ship
+from ..shared import ship, stage_table
 
 K1, B = 1.2, 0.75
 #: Words of letters and digits; a CJK character is a token of its own, in place of a dictionary.
@@ -53,20 +54,30 @@ def query_terms(query: str) -> list[str]:
     return list(dict.fromkeys(out))
 
 
-def bm25_explain(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text", weight: float = 1.0, where: Column | None = None) -> DataFrame:
+def bm25_explain(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text", weight: float = 1.0, where: Column | None = None, narrowed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """doc_id, term, tf, df, idf, dl, avgdl, weight, score of each query term in each document.
 
     Statistics are the whole corpus's; ``where`` filters the documents that are
-    scored. Documents are tokenised once; those without a query term fall out
-    before anything is shuffled.
+    scored, ``narrowed`` their hits. Documents are read and tokenised once: each
+    scan task keeps the few query terms of a document as one array beside its
+    length, and only that written table is aggregated. Where searches are many,
+    ``TextIndex`` keeps all postings.
     """
     wanted = query_terms(query)
-    t = docs.select(F.col(id_col).alias("doc_id"), terms(F.col(text_col)).alias("t"), (where if where is not None else F.lit(True)).alias("ok"))
-    stats = t.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl"))
-    hits = t.select("doc_id", "ok", F.size("t").alias("dl"), F.explode(F.filter("t", lambda x: x.isin(wanted))).alias("term")).groupBy("doc_id", "ok", "dl", "term").agg(F.count("*").alias("tf"))
-    df = hits.groupBy("term").agg(F.countDistinct("doc_id").alias("df"))
-    rows = hits.filter("ok").join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))
-    rows = rows.withColumn("idf", idf(F.col("n"), F.col("df"))).withColumn("weight", F.lit(float(weight)))
+    t = terms(F.col(text_col))
+    ok = where if where is not None else F.lit(True)
+    times = lambda w: F.size(F.filter("t", lambda x: x == w))
+    counts = F.array(*(times(w) for w in wanted)) if wanted else F.array().cast("array<int>")
+    scanned = docs.select(F.col(id_col).alias("doc_id"), t.alias("t"), ok.alias("ok")).select("doc_id", "ok", F.size("t").alias("dl"), counts.alias("tfs"))
+    scanned = stage_table(docs.sparkSession, scanned, "hits")
+    held = lambda i: F.count_if(F.get("tfs", F.lit(i)) > 0).alias(f"df{i}")
+    facts = scanned.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(held(i) for i in range(len(wanted)))).first()
+    n, avgdl = facts["n"], facts["avgdl"] or 0.0
+    rows = scanned.filter("ok").filter(F.exists("tfs", lambda x: x > 0))
+    rows = rows if narrowed is None else narrowed(rows)
+    each = F.explode(F.array(*(F.struct(F.lit(w).alias("term"), F.get("tfs", F.lit(i)).cast("long").alias("tf"), F.lit(facts[f"df{i}"]).cast("long").alias("df")) for i, w in enumerate(wanted)))) if wanted else F.explode(F.array().cast("array<struct<term:string,tf:bigint,df:bigint>>"))
+    rows = rows.select("doc_id", "dl", each.alias("x")).select("doc_id", "x.term", "x.tf", "x.df", "dl").filter("tf > 0")
+    rows = rows.withColumn("avgdl", F.lit(float(avgdl))).withColumn("idf", idf(F.lit(n).cast("long"), F.col("df"))).withColumn("weight", F.lit(float(weight)))
     return rows.withColumn("score", F.col("idf") * term_score(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("weight"))).select("doc_id", "term", "tf", "df", "idf", "dl", "avgdl", "weight", "score")
 
 
