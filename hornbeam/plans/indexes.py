@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import TermError
 from ..operators import retrieval, temporal, text, vector
+from ..operators.prepared import Retriever
 from .catalog import Relation
 from .engine import Engine, Frame
 from .terms import Atom, Col, Int, Obj, Str, Term
@@ -19,7 +20,7 @@ def _given(t: Term, what: str) -> str:
 
 
 def _narrowed(e: Engine, f: Frame, df: DataFrame, entity: Term, ident: str) -> DataFrame:
-    """The index rows of a bound entity, or of the frame's entities, before anything is scored or sorted."""
+    """The index rows of a bound entity, or of the frame's entities."""
     if isinstance(entity, Atom):
         return df.filter(F.col(ident) == entity.name)
     if isinstance(entity, Col) and f.df is not None:
@@ -27,12 +28,18 @@ def _narrowed(e: Engine, f: Frame, df: DataFrame, entity: Term, ident: str) -> D
     return df
 
 
-def attach(engine: Engine, documents: DataFrame | None = None, vectors: DataFrame | None = None, events: DataFrame | None = None, validity: DataFrame | None = None) -> Engine:
-    """Adds the goals for documents (id, text), vectors (id, embedding), events (id, at) and validity (id, valid_from, valid_to); ids are atoms."""
+def attach(engine: Engine, documents: DataFrame | None = None, vectors: DataFrame | None = None, events: DataFrame | None = None, validity: DataFrame | None = None, retriever: Retriever | None = None) -> Engine:
+    """Adds the goals for documents (id, text), vectors (id, embedding), events (id, at) and validity (id, valid_from, valid_to); ids are atoms.
+
+    With a ``retriever``, retrieve/4 also takes the handle of a prepared request,
+    whose hits are one table for all goals that ask for it.
+    """
 
     def bm25(e, f, query, entity, score):
-        best = text.bm25_explain(documents, _given(query, "query"), "id", "text").groupBy("doc_id").agg(F.sum("score").alias("score"))
-        return e._join(Relation.of(_narrowed(e, f, best, entity, "doc_id").select("doc_id", "score"), ["atom", "float"]), (entity, score), f, Atom("bm25"))
+        # Statistics are the corpus's; a bound entity's hits are cut out before they are scored.
+        hits = text.bm25_explain(documents, _given(query, "query"), "id", "text", narrowed=lambda df: _narrowed(e, f, df, entity, "doc_id"))
+        best = hits.groupBy("doc_id").agg(F.sum("score").alias("score"))
+        return e._join(Relation.of(best.select("doc_id", "score"), ["atom", "float"]), (entity, score), f, Atom("bm25"))
 
     def similar(e, f, source, target, score):
         found = vector.similar(vectors, _given(source, "source"), "id", "embedding")
@@ -48,6 +55,9 @@ def attach(engine: Engine, documents: DataFrame | None = None, vectors: DataFram
 
     def retrieve(e, f, query, options, entity, details):
         """Reciprocal rank fusion of the indexes a query has: options may give top_k, candidate_k and a vector."""
+        if retriever is not None and isinstance(query, Atom) and query.name in retriever.held:
+            hits = retriever.tabled(query.name, repr(options))
+            return e._join(Relation.of(hits.select("doc_id", F.to_json("details")), ["atom", "str"]), (entity, details), f, Atom("retrieve"))
         opts = dict(options.items) if isinstance(options, Obj) else {}
         number = lambda k, d: opts[k].value if isinstance(opts.get(k), Int) else d
         budget = retrieval.Budget(number("top_k", 10), number("candidate_k", 256))
@@ -66,7 +76,7 @@ def attach(engine: Engine, documents: DataFrame | None = None, vectors: DataFram
         found["bm25", 3] = bm25
     if vectors is not None:
         found["vector_similar", 3] = similar
-    if documents is not None or vectors is not None:
+    if documents is not None or vectors is not None or retriever is not None:
         found["retrieve", 4] = retrieve
     if events is not None:
         found["temporal_on", 2] = of_time(events, temporal.on_day)
