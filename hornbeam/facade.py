@@ -4,17 +4,24 @@ from __future__ import annotations
 
 import json
 import os
+import time
 from dataclasses import dataclass, fields, replace
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .operators import mutate, text, vector
-from .operators.lifecycle import Profile, Profiles, index_documents
+from .operators import history, mutate, retrieval, vector
+from .operators.embedding import HashingProvider, ModelProfile, run_worker
+from .operators.lifecycle import Generations, Profile, Profiles, job_metrics
+from .operators.prepared import Request, Retriever
+from .operators.stored import KeyedTable
 from .plans.catalog import Catalog
 from .plans.engine import Engine
-from .shared import stage_table
+from .plans.indexes import attach
+from .shared import new_folder, stage_table
+from .streaming import coordinator
+from .streaming.targets import Bm25Target, TemporalTarget, VectorTarget
 
 
 @dataclass(frozen=True)
@@ -52,13 +59,17 @@ def _kind(value) -> tuple[str, str | None, float | None]:
 class Database:
     """A graph with rules. Every command returns {"type": "success", "data": ...} or {"type": "error", "code", "message"}."""
 
-    def __init__(self, spark: SparkSession, config: Config | None = None):
+    def __init__(self, spark: SparkSession, config: Config | None = None, provider=None):
         self.spark, self.config = spark, config or Config()
         self.graph = mutate.Graph.empty(spark)
+        self.history = spark.createDataFrame([], history.HISTORY)
         self.rules = ""
-        self.profiles = Profiles(self.config.embedding)
+        self.profiles, self.generations = Profiles(self.config.embedding), Generations()
+        self.provider = provider or (HashingProvider(self.config.dimension) if self.config.embedding else None)
         self._engine: Engine | None = None
-        self.vectors: dict[str, list[float]] = {}
+        self._vectors: KeyedTable | None = None
+        self._retriever: Retriever | None = None
+        self.targets: dict[str, coordinator.Target] = {}
 
     def handle(self, request: dict) -> dict:
         try:
@@ -67,17 +78,35 @@ class Database:
             if run is None:
                 raise ValueError(f"unknown command {name}")
             return {"type": "success", "data": run(**{k: v for k, v in request.items() if k not in ("command", "path") or name in ("import", "export")})}
-        except (ValueError, KeyError, TypeError) as error:
+        except (ValueError, KeyError, TypeError, TimeoutError) as error:
             return {"type": "error", "code": type(error).__name__, "message": str(error)}
 
     # -- graph ------------------------------------------------------------
 
     def _put(self, graph: mutate.Graph) -> int:
-        """Writes the new tables, which ends their lineage, and returns the last sequence number."""
+        """Writes the new tables, which ends their lineage, feeds the indexes and returns the last sequence number."""
+        before = self.graph
         self.graph = mutate.Graph(*(stage_table(self.spark, getattr(graph, t), t) for t in ("nodes", "edges", "outbox")))
+        self.history = stage_table(self.spark, history.recorded(self.history, before, self.graph, F.current_timestamp()), "history")
         self._engine = None
+        self._feed()
+        return self._last()
+
+    def _last(self) -> int:
         return self.graph.outbox.agg(F.max("sequence").alias("m")).first()["m"] or 0
 
+    def _versions(self):
+        row = lambda kind, t: t.select(F.lit(kind).alias("entity_kind"), F.col("id").alias("entity_id"), "version")
+        return row("node", self.graph.nodes).unionByName(row("edge", self.graph.edges))
+
+    def _feed(self) -> None:
+        """Gives every target the events it hasn't published; one that fails stays behind, and ``wait_indexes`` tells so."""
+        for t in self.targets.values():
+            try:
+                coordinator.run_batch(t, mutate.events_after(self.graph.outbox, t.published), t.last_batch + 1)
+            except coordinator.TargetFailed:
+                continue
+
     def _json(self, properties: dict) -> dict[str, str]:
         return {k: json.dumps(v, ensure_ascii=False) for k, v in properties.items()}
 
@@ -113,6 +142,35 @@ class Database:
         rows = self.spark.createDataFrame([(id, self._json(set or {}), remove or [])], "id string, set map<string,string>, remove array<string>")
         return self._put(mutate.patch_nodes(self.graph, rows))
 
+    def do_update_node(self, id: str, properties: dict) -> int:
+        rows = self.spark.createDataFrame([(id, self._json(properties))], "id string, properties map<string,string>")
+        return self._put(mutate.update_nodes(self.graph, rows))
+
+    def do_set_entity_property(self, id: str, key: str, value) -> int:
+        return self._put(mutate.patch_entity(self.graph, id, self._json({key: value}), []))
+
+    def do_remove_entity_property(self, id: str, key: str) -> int:
+        return self._put(mutate.patch_entity(self.graph, id, {}, [key]))
+
+    def do_node_versions(self, id: str) -> list[dict]:
+        return [r.asDict() for r in history.node_versions(self.history, id).collect()]
+
+    def do_node_at(self, id: str, at: str) -> dict | None:
+        rows = history.nodes_at(self.history, F.lit(at).cast("timestamp"), id).collect()
+        return rows[0].asDict() if rows else None
+
+    def do_mutation_events(self, after: int = 0, limit: int | None = None) -> list[dict]:
+        return [r.asDict() for r in mutate.events_after(self.graph.outbox, after, limit).collect()]
+
+    def do_create_memory(self, id: str, memory_type: str, content: str, created_at: str) -> int:
+        return self._put(mutate.create_memories(self.graph, self.spark.createDataFrame([(id, memory_type, content, created_at)], "id string, memory_type string, content string, created_at string")))
+
+    def do_query_memories(self, memory_type: str | None = None) -> list[str]:
+        return sorted(r["id"] for r in mutate.memories(self.graph.nodes, memory_type).select("id").collect())
+
+    def do_expire_memories(self, older_than: str) -> int:
+        return self._put(mutate.expire_memories(self.graph, older_than))
+
     def do_set_node_property(self, id: str, key: str, value) -> int:
         return self.do_patch_node_properties(id, {key: value})
 
@@ -121,10 +179,8 @@ class Database:
 
     def do_patch_edge_properties(self, id: str, set: dict | None = None, remove: list[str] | None = None) -> int:
         self._one(self.graph.edges, id, "edge")
-        hit = F.col("id") == id
-        put = F.create_map(*(F.lit(x) for kv in self._json(set or {}).items() for x in kv)).cast("map<string,string>")
-        new = mutate.patched(F.col("properties"), put, F.array(*(F.lit(k) for k in remove or [])).cast("array<string>"))
-        return self._put(replace(self.graph, edges=self.graph.edges.withColumn("properties", F.when(hit, new).otherwise(F.col("properties")))))
+        rows = self.spark.createDataFrame([(id, self._json(set or {}), remove or [])], "id string, set map<string,string>, remove array<string>")
+        return self._put(mutate.patch_edges(self.graph, rows))
 
     def do_set_edge_property(self, id: str, key: str, value) -> int:
         return self.do_patch_edge_properties(id, {key: value})
@@ -142,6 +198,10 @@ class Database:
             before = self.graph
             self._put(mutate.upsert_facts(self.graph, graph_files.read_facts(self.spark, path)))
             return {"nodes": self.graph.nodes.count() - before.nodes.count(), "edges": self.graph.edges.count() - before.edges.count()}
+        if format == "wiki":
+            nodes = graph_files.read_wiki(self.spark, path)
+            self._put(mutate.create_nodes(self.graph, nodes))
+            return {"nodes": nodes.count(), "edges": 0}
         nodes, edges = graph_files.read_graph_json(self.spark, path) if format == "json" else graph_files.read_markdown(self.spark, path)
         if format == "markdown":
             nodes = nodes.withColumn("properties", F.transform_values("properties", lambda _, v: F.to_json(F.array(v)).substr(F.lit(2), F.length(F.to_json(F.array(v))) - 2)))
@@ -170,6 +230,8 @@ class Database:
             text_ = F.when(is_text, F.get(F.from_json(F.concat(F.lit("["), "json", F.lit("]")), "array<string>"), F.lit(0))).when(F.col("json").startswith("["), "array").when(F.col("json").startswith("{"), "object").otherwise(F.col("json"))
             props = stage_table(self.spark, raw.select("entity", "key", kind.alias("kind"), text_.alias("text"), number.alias("number")), "properties")
             self._engine = Engine(self.spark, Catalog.of_graph(self.spark, self.graph.nodes, self.graph.edges, props)).consult(self.rules)
+            if self._retriever is not None:
+                attach(self._engine, retriever=self._retriever)
         return self._engine
 
     def do_query(self, query: str, limit: int | None = None) -> list[dict]:
@@ -177,58 +239,126 @@ class Database:
         df = self.engine().query(query)
         return [r.asDict(True) for r in (df if limit is None else df.limit(limit)).collect()]
 
+    def stream(self, query: str):
+        """The answers one after the other, a partition of them in the driver at a time."""
+        for r in self.engine().query(query).toLocalIterator():
+            yield r.asDict(True)
+
     def do_explain(self, query: str) -> list[dict]:
         return self.engine().explain(query)
 
     # -- indexes --------------------------------------------------------------
 
-    def do_put_index_profile(self, name: str, version: int, labels: list[str] = (), bm25: dict | None = None, vector: dict | None = None) -> None:
-        self.profiles.put(Profile(name, version, tuple(labels), (), dict(bm25 or {}), dict(vector or {})))
+    def do_put_index_profile(self, name: str, version: int, labels: list[str] = (), bm25: dict | None = None, vector: dict | None = None, temporal: dict | None = None) -> None:
+        self.profiles.put(Profile(name, version, tuple(labels), (), dict(bm25 or {}), dict(vector or {}), dict(temporal or {})))
 
     def do_activate_index_profile(self, name: str, version: int) -> None:
+        """Activates a profile and projects everything anew."""
         self.profiles.activate(name, version)
+        if not self.targets:
+            folder, nodes = new_folder(self.spark, "indexes"), lambda: self.graph.nodes
+            made = {"bm25": Bm25Target(self.spark, f"{folder}/bm25", nodes, self.profiles), "temporal": TemporalTarget(self.spark, f"{folder}/temporal", nodes, self.profiles)}
+            if self.config.embedding:
+                made["vector"] = VectorTarget(self.spark, f"{folder}/vector", nodes, self.profiles, self.config.dimension, self._now)
+            self.targets = {k: coordinator.Target(k, t, versions=self._versions) for k, t in made.items()}
+        for t in self.targets.values():
+            t.apply.rebuild()
+            t.published = self._last()
+
+    @staticmethod
+    def _now() -> int:
+        return int(time.time())
 
     def do_list_index_profiles(self) -> list[dict]:
         return self.profiles.list()
 
+    def do_generation_action(self, action: str, generation: int | None = None):
+        """create, list, prune, or a move (build, validate, activate, fail, rollback) of one generation."""
+        if action == "create":
+            return self.generations.create()
+        if action == "prune":
+            return self.generations.prune()
+        return dict(self.generations.states) if action == "list" else self.generations.act(action, generation)
+
     def do_index_status(self) -> dict:
-        last = self.graph.outbox.agg(F.max("sequence").alias("m")).first()["m"] or 0
-        return {"sequence": last, "profiles": self.profiles.list()}
-
-    def do_wait_indexes(self, timeout_ms: int = 1000) -> list[str]:
-        """Indexes here are computed from the current tables, so none is ever behind."""
-        return []
-
-    def do_search(self, query: str, top_k: int | None = None) -> list[dict]:
-        """BM25 over the fields of the active profiles, with their weights; the best hit of each entity."""
-        hits = []
-        for name, version in sorted(self.profiles.active.items()):
-            p = self.profiles.held[name, version]
-            docs = index_documents(self.graph.nodes, p).withColumn("key", F.struct("entity", "field", "chunk_id")).withColumn("content", F.regexp_replace("content", r'^"|"$', ""))
-            for field_, weight in sorted(p.bm25.items()):
-                hits.append(text.bm25(docs.filter(F.col("field") == field_), query, None, "key", "content", weight).select(F.col("doc_id.entity").alias("entity"), F.col("doc_id.field").alias("field"), "score"))
-        if not hits:
+        return {"sequence": self._last(), "profiles": self.profiles.list(), "targets": {k: {"published": t.published, "stale": t.stale, "dead": t.dead} for k, t in self.targets.items()}}
+
+    def do_wait_indexes(self, timeout_ms: int = 1000, least: int | None = None) -> list[str]:
+        """The targets that haven't published a sequence number, by default the last, when time is up."""
+        return coordinator.wait(list(self.targets.values()), self._last() if least is None else least, timeout_ms)
+
+    def _field_weights(self) -> dict[str, float]:
+        return {f: w for x in sorted(self.profiles.active.items()) for f, w in self.profiles.held[x].bm25.items()}
+
+    def do_search(self, query: str, top_k: int | None = None, fields: list[str] | None = None, entities: list[str] | None = None) -> list[dict]:
+        """BM25 over the stored index of the active profiles' fields, with their weights; the best document of each entity."""
+        if "bm25" not in self.targets:
             return []
-        from functools import reduce
+        found = self.targets["bm25"].apply.index.search(query, top_k or self.config.top_k, "entity", fields=fields, entities=entities, weights=self._field_weights())
+        return [r.asDict() for r in found.orderBy("rank").collect()]
 
-        best = reduce(lambda a, b: a.unionByName(b), hits).groupBy("entity").agg(F.max("score").alias("score"))
-        return [r.asDict() for r in text.ranked(best, top_k or self.config.top_k, "score", "entity").collect()]
+    def _node_vectors(self) -> KeyedTable:
+        if self._vectors is None:
+            self._vectors = KeyedTable(self.spark, new_folder(self.spark, "node_vectors"), "id string, embedding array<double>", ["id"])
+        return self._vectors
 
     def do_embed(self, id: str, vector: list[float]) -> None:
-        """Stores a node's vector; a provider outside computes it."""
+        """Stores a node's vector as given."""
         self._one(self.graph.nodes, id, "node")
-        self.vectors[id] = [float(x) for x in vector]
+        self._node_vectors().commit(self.spark.createDataFrame([(id, [float(x) for x in vector])], "id string, embedding array<double>"))
+
+    def do_run_embedding_worker(self, limit: int = 256, now: int | None = None) -> dict:
+        """Embeds queued documents with the provider; the outcomes by state."""
+        if "vector" not in self.targets:
+            raise ValueError("no vector profile is active")
+        return run_worker(self.targets["vector"].apply, self.provider, ModelProfile(self.config.model, 1, self.config.dimension, batch_size=self.config.batch_size), self._now() if now is None else now, limit)
+
+    def do_embedding_jobs(self) -> dict:
+        return {r["state"]: r["jobs"] for r in job_metrics(self.targets["vector"].apply.jobs.read()).collect()} if "vector" in self.targets else {}
+
+    def all_vectors(self):
+        """id, embedding of nodes: stored ones and those of their documents."""
+        own = self._node_vectors().read()
+        if "vector" in self.targets:
+            own = own.unionByName(self.targets["vector"].apply.vectors.read().select(F.col("entity").alias("id"), F.col("embedding").cast("array<double>").alias("embedding")))
+        return own
 
     def do_vector_search(self, vector_: list[float], top_k: int = 10) -> list[dict]:
-        if not self.vectors:
-            return []
-        df = self.spark.createDataFrame(list(self.vectors.items()), "id string, v array<double>")
-        return [r.asDict() for r in vector.search(df, vector_, top_k, id_col="id", vector_col="v").collect()]
+        best = vector.search(self.all_vectors(), vector_, None, id_col="id").groupBy("doc_id").agg(F.max("score").alias("score"))
+        return [r.asDict() for r in vector.ranked(best, top_k).orderBy("rank").collect()]
+
+    def do_prepare_retrieval(self, **request) -> str:
+        """Prepares a request over the stored indexes; returns its handle, an atom that retrieve/4 takes."""
+        if self._retriever is None:
+            index = self.targets["bm25"].apply.index if "bm25" in self.targets else None
+            self._retriever = Retriever(self.spark, index, None, provider=self.provider, wait=lambda least, ms: coordinator.wait(list(self.targets.values()), least, ms), watermark=self._last)
+        self._retriever.vectors = self.all_vectors()
+        self._engine = None
+        budget = retrieval.Budget(**request.pop("budget", {}))
+        if request.get("vector") is not None:
+            request["vector"] = tuple(request["vector"])
+        return self._retriever.prepare(Request(budget=budget, **request)).handle
 
-    def do_vector_index_status(self) -> dict:
-        return {"strategy": "exact", "vectors": len(self.vectors)}
+    def do_retrieve(self, handle: str) -> list[dict]:
+        if self._retriever is None:
+            raise KeyError(f"no prepared request {handle}")
+        return [r.asDict(True) for r in self._retriever.retrieve(handle).collect()]
 
-    def do_rebuild_vector_index(self) -> dict:
+    def do_vector_index_status(self) -> dict:
+        strategy = self._retriever.strategy if self._retriever is not None else "exact"
+        cells = self._retriever.cells.status(self.all_vectors()) if self._retriever is not None and self._retriever.cells is not None else {"published": False}
+        return {**cells, "strategy": strategy, "vectors": self.all_vectors().count()}
+
+    def do_rebuild_vector_index(self, cells: int = 64) -> dict:
+        """Publishes a cell index of all vectors, which prepared requests use from then on while it isn't stale."""
+        from .operators.ann import CellIndex
+
+        if self._retriever is None:
+            self.do_prepare_retrieval(mode="lexical", text="-")
+        if self._retriever.cells is None:
+            self._retriever.cells = CellIndex(self.spark, new_folder(self.spark, "cells"))
+        self._retriever.cells.publish(self.all_vectors(), cells)
+        self._retriever.strategy = "cells"
         return self.do_vector_index_status()
 
     def do_config(self) -> dict:

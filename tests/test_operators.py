@@ -2,11 +2,13 @@ import json
 import math
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from hornbeam.facade import Database
 from hornbeam.operators import lifecycle, mutate, retrieval, temporal, text, vector
 from hornbeam.sources import graph_files
+from hornbeam.operators.stored import Log
 from hornbeam.streaming import coordinator
 
 
@@ -132,8 +134,10 @@ def test_sources(spark, tmp_path):
     (tmp_path / "f.pl").write_text("person(a). % note\nprop_age(a, 3). knows(a, 'B c').\n")
     facts = graph_files.read_facts(spark, str(tmp_path / "f.pl"))
     assert sorted((r["name"], r["a"], r["b"]) for r in facts.collect()) == sorted([("person", "a", None), ("prop_age", "a", "3"), ("knows", "a", "B c")], key=lambda r: r[0])
-    graph_files.write_pack(facts, str(tmp_path / "pack"))
-    assert graph_files.read_pack(spark, str(tmp_path / "pack")).count() == 3
+    with pytest.raises(ValueError, match="property facts"):
+        graph_files.write_pack(facts, str(tmp_path / "pack"))
+    graph_files.write_pack(facts.filter("name <> 'prop_age'"), str(tmp_path / "pack"))
+    assert graph_files.read_pack(spark, str(tmp_path / "pack")).count() == 2
     tax = tmp_path / "tax"
     tax.mkdir()
     (tax / "nodes.dmp").write_text("1\t|\t1\t|\tno rank\t|\n2\t|\t1\t|\tspecies\t|\n")
@@ -155,9 +159,17 @@ def test_streaming_skips_stale_and_stops_at_poison(spark, tmp_path):
     def fail(df, i):
         raise RuntimeError("no")
 
-    bad = coordinator.Target("bad", fail, attempts=2)
-    coordinator.start(spark, str(tmp_path / "box"), str(tmp_path / "cp2"), bad).awaitTermination()
-    assert bad.dead and coordinator.pending([target, bad], 3) == ["bad"]
+    state = Log(spark, str(tmp_path / "state"))
+    bad = coordinator.Target("bad", fail, attempts=2, state=state)
+    with pytest.raises(StreamingQueryException):
+        coordinator.start(spark, str(tmp_path / "box"), str(tmp_path / "cp2"), bad).awaitTermination()
+    assert bad.dead and coordinator.pending([target, bad], 3) == ["bad"] == coordinator.wait([target, bad], 3, 30)
+    # Started again with a target that is well, the same batch is applied, once.
+    seen.clear()
+    for _ in range(2):
+        well = coordinator.Target("bad", lambda df, i: seen.extend(r["sequence"] for r in df.orderBy("sequence").collect()), state=state)
+        coordinator.start(spark, str(tmp_path / "box"), str(tmp_path / "cp2"), well).awaitTermination()
+        assert seen == [2, 3] and well.published == 3 and not well.dead
 
 
 def test_generations():
