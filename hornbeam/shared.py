@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import io
 import os
 import tempfile
 import uuid
@@ -88,9 +89,16 @@ def ship(spark: SparkSession) -> None:
     if app in _shipped or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
         return
     _shipped.add(app)
-    at = Path(local_path(new_folder(spark, "code")))
-    at.mkdir(parents=True)
-    with zipfile.ZipFile(at / "hornbeam_code.zip", "w") as z:
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
         for p in sorted((root / "hornbeam").rglob("*.py")):
             z.write(p, p.relative_to(root))
-    spark.sparkContext.addPyFile(str(at / "hornbeam_code.zip"))
+    # Through the shared file system's client, which may be an object store's.
+    uri = f"{new_folder(spark, 'code')}/hornbeam_code.zip"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+    try:
+        out.write(bytearray(held.getvalue()))
+    finally:
+        out.close()
+    spark.sparkContext.addPyFile(uri)
