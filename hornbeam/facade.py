@@ -15,10 +15,14 @@ from .operators import history, mutate, retrieval, vector
 from .operators.embedding import HashingProvider, ModelProfile, run_worker
 from .operators.lifecycle import Generations, Profile, Profiles, job_metrics
 from .operators.prepared import Request, Retriever
-from .operators.stored import KeyedTable
+from .operators.graph_store import GraphStore
+from .operators.stored import KeyedTable, Log
 from .plans.catalog import Catalog
+from .functions.scalars import TermError
 from .plans.engine import Engine
 from .plans.indexes import attach
+from .plans.parser import Rule, parse_program
+from .plans.terms import Atom, Col, Compound, ListTerm, Obj, Str, Var
 from .shared import new_folder, stage_table
 from .streaming import coordinator
 from .streaming.targets import Bm25Target, TemporalTarget, VectorTarget
@@ -59,12 +63,15 @@ def _kind(value) -> tuple[str, str | None, float | None]:
 class Database:
     """A graph with rules. Every command returns {"type": "success", "data": ...} or {"type": "error", "code", "message"}."""
 
-    def __init__(self, spark: SparkSession, config: Config | None = None, provider=None):
+    def __init__(self, spark: SparkSession, config: Config | None = None, provider=None, path: str | None = None):
+        """A database in memory, or, with ``path``, in a folder, where it is found again by the next one."""
         self.spark, self.config = spark, config or Config()
-        self.graph = mutate.Graph.empty(spark)
-        self.history = spark.createDataFrame([], history.HISTORY)
-        self.rules = ""
-        self.profiles, self.generations = Profiles(self.config.embedding), Generations()
+        self.store = GraphStore(spark, path) if path else None
+        self.graph = self.store.read() if path else mutate.Graph.empty(spark)
+        self.history = self.store.history.read() if path else spark.createDataFrame([], history.HISTORY)
+        self.rules = (self.store.get_raw("rules", "program") or "") if path else ""
+        log = (lambda name: Log(spark, f"{path}/{name}")) if path else (lambda name: None)
+        self.profiles, self.generations = Profiles(self.config.embedding, log("profiles")), Generations(log("generations"))
         self.provider = provider or (HashingProvider(self.config.dimension) if self.config.embedding else None)
         self._engine: Engine | None = None
         self._vectors: KeyedTable | None = None
@@ -86,6 +93,12 @@ class Database:
     def _put(self, graph: mutate.Graph) -> int:
         """Writes the new tables, which ends their lineage, feeds the indexes and returns the last sequence number."""
         before = self.graph
+        if self.store is not None:
+            self.store.write(graph)
+            self.graph, self.history = self.store.read(), self.store.history.read()
+            self._engine = None
+            self._feed()
+            return self._last()
         self.graph = mutate.Graph(*(stage_table(self.spark, getattr(graph, t), t) for t in ("nodes", "edges", "outbox")))
         self.history = stage_table(self.spark, history.recorded(self.history, before, self.graph, F.current_timestamp()), "history")
         self._engine = None
@@ -217,10 +230,34 @@ class Database:
     # -- rules --------------------------------------------------------------
 
     def do_add_rules(self, text: str) -> None:
-        Engine(self.spark).consult(text)
+        """Adds rules; ``:- index_profile(name, version, {...})`` and ``:- activate_index_profile(name, version)`` act at once."""
+        e = Engine(self.spark)
+        plain = lambda t: {k: plain(v) for k, v in t.items} if isinstance(t, Obj) else [plain(x) for x in t.items] if isinstance(t, ListTerm) else t.name if isinstance(t, Atom) else t.value
+        e.directives = {"index_profile": lambda n, v, o: self.do_put_index_profile(plain(n), plain(v), **plain(o)), "activate_index_profile": lambda n, v: self.do_activate_index_profile(plain(n), plain(v))}
+        e.consult(text)
         self.rules += "\n" + text
+        if self.store is not None:
+            self.store.put_raw("rules", [("program", self.rules)])
         self._engine = None
 
+    def _setter(self, kind: str, remove: bool):
+        """A goal that sets or removes a property of the one node or edge that its bound arguments name."""
+
+        def run(e, f, ident, key, value=None):
+            name = lambda t: t.name if isinstance(t, Atom) else t.value if isinstance(t, Str) else None
+            i, k = name(ident), name(key)
+            if i is None or k is None or (not remove and isinstance(value, (Var, Col))):
+                raise TermError(f"{'remove' if remove else 'set'}_{kind}_property needs bound arguments")
+            new = {} if remove else self._json({k: value.name if isinstance(value, Atom) else value.value})
+            rows = self.spark.createDataFrame([(i, new, [k] if remove else [])], "id string, set map<string,string>, remove array<string>")
+            table = self.graph.nodes if kind == "node" else self.graph.edges
+            if table.filter(F.col("id") == i).isEmpty():
+                return None
+            self._put((mutate.patch_nodes if kind == "node" else mutate.patch_edges)(self.graph, rows))
+            return f
+
+        return run
+
     def engine(self) -> Engine:
         if self._engine is None:
             raw = self.graph.nodes.select(F.col("id").alias("entity"), F.explode("properties").alias("key", "json"))
@@ -229,7 +266,12 @@ class Database:
             kind = F.when(is_text, "str").when(is_num & (number == F.floor(number)), "int").when(is_num, "float").otherwise("atom")
             text_ = F.when(is_text, F.get(F.from_json(F.concat(F.lit("["), "json", F.lit("]")), "array<string>"), F.lit(0))).when(F.col("json").startswith("["), "array").when(F.col("json").startswith("{"), "object").otherwise(F.col("json"))
             props = stage_table(self.spark, raw.select("entity", "key", kind.alias("kind"), text_.alias("text"), number.alias("number")), "properties")
-            self._engine = Engine(self.spark, Catalog.of_graph(self.spark, self.graph.nodes, self.graph.edges, props)).consult(self.rules)
+            rules = [r for r in parse_program(self.rules) if isinstance(r, Rule) or not (isinstance(r.goal, Compound) and r.goal.name.endswith("index_profile"))]
+            self._engine = Engine(self.spark, Catalog.of_graph(self.spark, self.graph.nodes, self.graph.edges, props))
+            self._engine.load(rules)
+            for kind in ("node", "edge"):
+                self._engine.external[f"set_{kind}_property", 3] = self._setter(kind, False)
+                self._engine.external[f"remove_{kind}_property", 2] = self._setter(kind, True)
             if self._retriever is not None:
                 attach(self._engine, retriever=self._retriever)
         return self._engine

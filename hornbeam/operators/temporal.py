@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame
@@ -78,12 +79,13 @@ def overlap_join(left: DataFrame, right: DataFrame, key: list[str], bucket_secon
     def side(df: DataFrame, tag: str) -> DataFrame:
         return df.select(*(F.col(k) for k in key), *(F.col(c).alias(f"{tag}_{c}") for c in df.columns if c not in key))
 
+    b_ = f"b_{uuid.uuid4().hex[:8]}"
     a, b = side(left, "left"), side(right, "right")
     bucket = lambda c: F.floor(F.unix_micros(c) / (bucket_seconds * 1_000_000))
     (as_, ae), (bs, be) = ((F.col(f"{t}_{start}"), F.col(f"{t}_{end}")) for t in ("left", "right"))
     meets = (as_ < F.coalesce(be, F.lit("9999-12-31").cast("timestamp"))) & (bs < F.coalesce(ae, F.lit("9999-12-31").cast("timestamp")))
-    closed = lambda df, s, e: df.filter(e.isNotNull()).withColumn("__b", F.explode(F.sequence(bucket(s), bucket(e - F.expr("interval 1 microsecond")))))
-    one = closed(a, as_, ae).join(closed(b, bs, be), [*key, "__b"]).filter(meets & (F.col("__b") == bucket(F.greatest(as_, bs)))).drop("__b")
+    closed = lambda df, s, e: df.filter(e.isNotNull()).withColumn(b_, F.explode(F.sequence(bucket(s), bucket(e - F.expr("interval 1 microsecond")))))
+    one = closed(a, as_, ae).join(closed(b, bs, be), [*key, b_]).filter(meets & (F.col(b_) == bucket(F.greatest(as_, bs)))).drop(b_)
     two = a.filter(ae.isNull()).join(b, key).filter(meets)
     three = a.filter(ae.isNotNull()).join(b.filter(be.isNull()), key).filter(meets)
     return one.unionByName(two).unionByName(three)
@@ -96,13 +98,14 @@ def as_of(versions: DataFrame, probes: DataFrame, key: str, at: str = "at", star
     one window, so nothing is compared pair by pair.
     """
     cols = [c for c in versions.columns if c != key]
-    v = versions.select(F.col(key), F.col(start).alias("__t"), F.lit(0).alias("__probe"), F.struct(*cols).alias("__v"))
+    t_, probe_, v_, p_, last_ = (f"{c}_{uuid.uuid4().hex[:8]}" for c in "tpvql")
+    v = versions.select(F.col(key), F.col(start).alias(t_), F.lit(0).alias(probe_), F.struct(*cols).alias(v_))
     names = [c for c in probes.columns if c != key]
-    p = probes.select(F.col(key), F.col(at).alias("__t"), F.lit(1).alias("__probe"), F.struct(*names).alias("__p"))
+    p = probes.select(F.col(key), F.col(at).alias(t_), F.lit(1).alias(probe_), F.struct(*names).alias(p_))
     both = v.unionByName(p, allowMissingColumns=True)
-    w = W.partitionBy(key).orderBy("__t", "__probe").rowsBetween(W.unboundedPreceding, W.currentRow)
-    out = both.withColumn("__last", F.last("__v", ignorenulls=True).over(w)).filter("__probe = 1")
-    return out.select(key, *(F.col("__p")[c].alias(c) for c in names), *(F.col("__last")[c].alias(f"version_{c}" if c in names else c) for c in cols))
+    w = W.partitionBy(key).orderBy(t_, probe_).rowsBetween(W.unboundedPreceding, W.currentRow)
+    out = both.withColumn(last_, F.last(v_, ignorenulls=True).over(w)).filter(F.col(probe_) == 1)
+    return out.select(key, *(F.col(p_)[c].alias(c) for c in names), *(F.col(last_)[c].alias(f"version_{c}" if c in names else c) for c in cols))
 
 
 def versions_from_history(history: DataFrame, key: str, start: str = "valid_from") -> DataFrame:
@@ -122,3 +125,49 @@ def projected(entities: DataFrame, profile: str, version: int, kind: str, field:
     rows = ok.select("id", F.posexplode(pairs).alias("ordinal", "p"))
     ident = F.concat_ws(":", F.lit(profile), F.lit(str(version)), F.lit(kind), F.lit(field), F.col("ordinal").cast("string"))
     return rows.select(F.concat_ws("/", "id", ident).alias("record_id"), "id", F.to_timestamp(F.col("p.a")).alias("valid_from"), F.to_timestamp(F.col("p.b")).alias("valid_to"))
+
+
+def for_entity(rows: DataFrame, entity: str, ident: str = "id") -> DataFrame:
+    """The records of one entity (or, by its column, of one document)."""
+    return rows.filter(F.col(ident) == entity)
+
+
+def between_for_entity(events: DataFrame, entity: str, start: str, end: str, at: str = "at", ident: str = "id") -> DataFrame:
+    return between(for_entity(events, entity, ident), start, end, at)
+
+
+def valid_at_for_entity(intervals: DataFrame, entity: str, when: str, ident: str = "id") -> DataFrame:
+    return valid_at(for_entity(intervals, entity, ident), when)
+
+
+def overlaps_for_entity(intervals: DataFrame, entity: str, start_at: str, end_at: str, ident: str = "id") -> DataFrame:
+    return valid_overlaps(for_entity(intervals, entity, ident), start_at, end_at)
+
+
+def access_path(bounds: dict, when: str) -> tuple[str, float]:
+    """Whether a table ordered by start or one ordered by end has less to read for ``valid_at``, and the share of it.
+
+    ``bounds`` is a row of ``stats``; times are taken as spread evenly, and open
+    intervals are read in either order.
+    """
+    t = utc_micros(when)
+    micros = lambda x: x if isinstance(x, int) else ((x if x.tzinfo else x.replace(tzinfo=timezone.utc)) - _EPOCH) // timedelta(microseconds=1)
+
+    def below(lo, hi) -> float:
+        if lo is None or hi is None:
+            return 0.0
+        a, b = micros(lo), micros(hi)
+        return 1.0 if b <= a and t >= a else 0.0 if b <= a else min(max((t - a) / (b - a), 0.0), 1.0)
+
+    total = max(bounds["total"], 1)
+    open_ = bounds["open_ended"] / total
+    by_start = below(bounds["min_start"], bounds["max_start"])
+    by_end = open_ + (1 - open_) * (1 - below(bounds["min_end"], bounds["max_end"]))
+    return ("start", by_start) if by_start <= by_end else ("end", by_end)
+
+
+def ordered_by(intervals: DataFrame, path: str, order: str, start: str = "valid_from", end: str = "valid_to") -> DataFrame:
+    """Writes intervals in files of ranges of their start or end, so that a scan by ``access_path`` skips files by their statistics."""
+    by = {"start": start, "end": end}[order]
+    intervals.repartitionByRange(by).sortWithinPartitions(by).write.mode("overwrite").parquet(path)
+    return intervals.sparkSession.read.schema(intervals.schema).parquet(path)

@@ -29,6 +29,36 @@ def terms(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), F.array().cast("array<string>"))
 
 
+_HAN = re.compile(r"[\u3400-\u9fff]+")
+
+
+def segmented(text: str, words: frozenset[str], longest: int) -> list[str]:
+    """Lower-cased tokens with runs of Han characters cut by a dictionary: the longest word at each place, else one character."""
+    out: list[str] = []
+    for m in re.finditer(r"[\u3400-\u9fff]+|[\u3040-\u30ff]|[^\W_\u3040-\u30ff\u3400-\u9fff]+", text.lower()):
+        run = m[0]
+        if not _HAN.fullmatch(run):
+            out.append(run)
+            continue
+        i = 0
+        while i < len(run):
+            n = next((n for n in range(min(longest, len(run) - i), 1, -1) if run[i : i + n] in words), 1)
+            out.append(run[i : i + n])
+            i += n
+    return out
+
+
+def dictionary_terms(words: list[str]):
+    """A function of a text column like ``terms``, for a dictionary of Han words, which is sent to the tasks (its size is the caller's to bound)."""
+    known, longest = frozenset(w.lower() for w in words), max(map(len, words), default=1)
+
+    @F.pandas_udf("array<string>")
+    def cut(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: [] if t is None else segmented(t, known, longest))
+
+    return cut
+
+
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, dl, term, tf."""
     t = docs.select(F.col(id_col).alias("doc_id"), terms(F.col(text_col)).alias("t"))

@@ -9,7 +9,10 @@ until an answer is read, except those rounds.
 
 from __future__ import annotations
 
+import hashlib
 import itertools
+import uuid
+from collections import OrderedDict
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -18,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.scalars import TermError, as_term, column, compared, literal, number, ordered, plain
+from ..operators.stored import Log
 from ..shared import stage_table
 from .catalog import Catalog, Relation
 from .parser import Directive, Query, Rule, as_clause, conjuncts, parse_program, parse_query
@@ -35,17 +39,54 @@ class Frame:
     binds: dict[str, Term] = field(default_factory=dict)
 
 
+#: Answer tables that an engine keeps; the least recently used go first.
+MOST_TABLES = 10_000
+
+
+class TableStore:
+    """Answer tables in a folder, by call, by the text of the rules behind it and by a version of the stored relations, which the caller names."""
+
+    FORMAT = 1
+
+    def __init__(self, spark: SparkSession, path: str, data_version: str):
+        self.spark, self.path, self.data_version = spark, path.rstrip("/"), data_version
+
+    def name(self, call: tuple, rules: dict[tuple[str, int], list[Rule]]) -> str:
+        text = repr((self.FORMAT, self.data_version, call, sorted((k, [repr(r) for r in rs]) for k, rs in rules.items())))
+        return hashlib.sha256(text.encode()).hexdigest()[:32]
+
+    def get(self, name: str) -> Relation | None:
+        n, held = Log(self.spark, f"{self.path}/{name}/log").last()
+        if not n:
+            return None
+        return Relation(self.spark.read.schema(held["schema"]).parquet(f"{self.path}/{name}/{held['rows']}"), held["kinds"])
+
+    def put(self, name: str, rel: Relation) -> None:
+        """A table is written under a name of its own, then named by a commit; of two writers the later one is dropped."""
+        rows = uuid.uuid4().hex
+        rel.df.write.parquet(f"{self.path}/{name}/{rows}")
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rel.df.schema)
+        try:
+            Log(self.spark, f"{self.path}/{name}/log").append(1, {"rows": rows, "schema": schema, "kinds": list(rel.kinds)})
+        except ValueError:
+            return
+
+
 class Engine:
     """Rules, facts and stored relations, queried with goals."""
 
-    def __init__(self, spark: SparkSession, catalog: Catalog | None = None, max_answers: int | None = None):
+    def __init__(self, spark: SparkSession, catalog: Catalog | None = None, max_answers: int | None = None, tables: TableStore | None = None):
+        """``tables`` keeps the answers of tabled and recursive predicates for other sessions over the same data."""
         self.spark, self.catalog = spark, catalog or Catalog(spark)
         self.rules: dict[tuple[str, int], list[Rule]] = {}
         self.tabled: set[tuple[str, int]] = set()
         self.external: dict[tuple[str, int], object] = {}
         self.max_answers = max_answers
         self._ids = itertools.count()
-        self._tables: dict[tuple, tuple[tuple, Relation]] = {}
+        self._tables: OrderedDict[tuple, tuple[tuple, Relation]] = OrderedDict()
+        self.store = tables
+        self.directives: dict[str, object] = {}
+        self.exhausted: list[str] = []
         self._override: dict[tuple[str, int], Relation] = {}
         self._versions: dict[tuple[str, int], int] = {}
         self._facts: dict[tuple[str, int], tuple[int, Relation | None]] = {}
@@ -57,12 +98,25 @@ class Engine:
     # -- programs ---------------------------------------------------------
 
     def consult(self, text: str) -> Engine:
-        """Adds the rules and facts of a program; ``:- table p/n`` marks predicates as tabled, unknown directives are ignored."""
-        for s in parse_program(text):
+        """Adds the rules and facts of a program.
+
+        ``:- table p/n`` marks predicates as tabled, ``:- dynamic p/n`` changes
+        nothing; others are given to ``directives`` by name, or ignored.
+        """
+        return self.load(parse_program(text))
+
+    def load(self, program: list[Rule | Query | Directive]) -> Engine:
+        """Adds a program that was read before."""
+        for s in program:
             if isinstance(s, Rule):
                 self.add(s)
             elif isinstance(s, Directive):
                 g = s.goal
+                if isinstance(g, Compound) and g.name in self.directives:
+                    self.directives[g.name](*g.args)
+                    continue
+                if isinstance(g, Compound) and g.name == "dynamic":
+                    continue
                 if isinstance(g, Compound) and g.name == "table":
                     g = g.args[0]
                 if isinstance(g, Compound) and g.name == "/" and isinstance(g.args[0], Atom) and isinstance(g.args[1], Int):
@@ -541,7 +595,12 @@ class Engine:
         state = tuple(sorted((k, self._versions.get(k, 0)) for k in self.reaches(key) | scc))
         call = (key, tuple(sorted((i, tagged(c)) for i, c in stable.items())))
         if call in self._tables and self._tables[call][0] == state:
+            self._tables.move_to_end(call)
             return self._tables[call][1]
+        name = self.store.name(call, {k: self.rules.get(k, []) for k in self.reaches(key) | scc}) if self.store is not None else None
+        if name is not None and (held := self.store.get(name)) is not None:
+            self._tables[call] = (state, held)
+            return held
         for r in (r for rs in clauses.values() for r in rs):
             if any(_negates(g, scc) for g in r.body):
                 raise TermError(f"negation of {key[0]}/{key[1]} through itself")
@@ -553,6 +612,10 @@ class Engine:
             where = call if k == key else (k, ())
             if rel is not None and (k == key or not stable):
                 self._tables[where] = (state if k == key else tuple(sorted((x, self._versions.get(x, 0)) for x in self.reaches(k) | scc)), rel)
+                while len(self._tables) > MOST_TABLES:
+                    self._tables.popitem(last=False)
+        if name is not None and found.get(key) is not None:
+            self.store.put(name, found[key])
         return self._tables[call][1] if found.get(key) is not None else Relation(self._empty([f"c{i}" for i in range(key[1])]), ["term"] * key[1])
 
     def _semi_naive(self, scc: set[tuple[str, int]], clauses: dict[tuple[str, int], list[Rule]]) -> dict[tuple[str, int], Relation | None]:

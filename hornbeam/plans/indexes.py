@@ -28,28 +28,39 @@ def _narrowed(e: Engine, f: Frame, df: DataFrame, entity: Term, ident: str) -> D
     return df
 
 
-def attach(engine: Engine, documents: DataFrame | None = None, vectors: DataFrame | None = None, events: DataFrame | None = None, validity: DataFrame | None = None, retriever: Retriever | None = None) -> Engine:
+def attach(engine: Engine, documents: DataFrame | None = None, vectors: DataFrame | None = None, events: DataFrame | None = None, validity: DataFrame | None = None, retriever: Retriever | None = None, answer_limit: int | None = None) -> Engine:
     """Adds the goals for documents (id, text), vectors (id, embedding), events (id, at) and validity (id, valid_from, valid_to); ids are atoms.
 
     With a ``retriever``, retrieve/4 also takes the handle of a prepared request,
-    whose hits are one table for all goals that ask for it.
+    whose hits are one table for all goals that ask for it. ``answer_limit``
+    bounds what one search goal gives, by score or id; a goal that had more is
+    named in ``engine.exhausted``. Without it nothing is bounded.
     """
 
+    def limited(e, name: str, df: DataFrame, *order) -> DataFrame:
+        if answer_limit is None:
+            return df
+        top = df.orderBy(*order).limit(answer_limit + 1)
+        if top.count() > answer_limit:
+            e.exhausted.append(name)
+        return df.orderBy(*order).limit(answer_limit)
+
+
     def bm25(e, f, query, entity, score):
         # Statistics are the corpus's; a bound entity's hits are cut out before they are scored.
         hits = text.bm25_explain(documents, _given(query, "query"), "id", "text", narrowed=lambda df: _narrowed(e, f, df, entity, "doc_id"))
         best = hits.groupBy("doc_id").agg(F.sum("score").alias("score"))
-        return e._join(Relation.of(best.select("doc_id", "score"), ["atom", "float"]), (entity, score), f, Atom("bm25"))
+        return e._join(Relation.of(limited(e, "bm25", best, F.col("score").desc(), "doc_id").select("doc_id", "score"), ["atom", "float"]), (entity, score), f, Atom("bm25"))
 
     def similar(e, f, source, target, score):
         found = vector.similar(vectors, _given(source, "source"), "id", "embedding")
-        return e._join(Relation.of(found.select("entity", "score"), ["atom", "float"]), (target, score), f, Atom("vector_similar"))
+        return e._join(Relation.of(limited(e, "vector_similar", found, F.col("score").desc(), "entity").select("entity", "score"), ["atom", "float"]), (target, score), f, Atom("vector_similar"))
 
     def of_time(rows, select):
         def run(e, f, *args):
             *bounds, entity = args
             found = select(_narrowed(e, f, rows, entity, "id"), *(_given(b, "time") for b in bounds))
-            return e._join(Relation.of(found.select("id").distinct(), ["atom"]), (entity,), f, Atom("time"))
+            return e._join(Relation.of(limited(e, "time", found.select("id").distinct(), "id"), ["atom"]), (entity,), f, Atom("time"))
 
         return run
 
