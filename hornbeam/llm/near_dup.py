@@ -24,8 +24,8 @@ from .textops import U, Words, inside_one, mix, segmented_unique, text_slices, w
 DRIVER_EDGES = 500_000
 #: Largest number of list members in one block of comparisons.
 LIST_BLOCK = 512
-#: Largest number of documents in one block of verifications.
-VERIFY_BLOCK = 1024
+#: Largest number of sets in one block of verifications, and about how many bytes they have; a larger set is a block of its own.
+VERIFY_BLOCK, VERIFY_BYTES = 1024, 32 << 20
 #: Up to this number ids (16 bytes each) are broadcast to pick documents; beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 _TOP = U(2**64 - 1)
@@ -75,6 +75,12 @@ def union_share(a: np.ndarray, na: int, b: np.ndarray, nb: int) -> float:
     return common / max(1, np.searchsorted(a, top, "right") + np.searchsorted(b, top, "right") - common)
 
 
+def fingerprint(values: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set, independent of its order."""
+    with np.errstate(over="ignore"):
+        return tuple(int(x.sum(dtype=np.uint64).astype(np.int64)) for x in (values, mix(values ^ U(0xA0761D6478BD642F))))
+
+
 def sketches(docs: DataFrame, size: int, k: int) -> DataFrame:
     """doc_id, n, f1, f2 (a 128-bit fingerprint of the set), sk (the k smallest hashes)."""
 
@@ -83,11 +89,9 @@ def sketches(docs: DataFrame, size: int, k: int) -> DataFrame:
             ids = batch.column(0)
             for i, j, texts in text_slices(batch.column(1)):
                 sets = shingle_sets(texts, size)
-                with np.errstate(over="ignore"):
-                    f1 = np.array([x.sum(dtype=np.uint64) for x in sets], np.uint64).view(np.int64)
-                    f2 = np.array([mix(x ^ U(0xA0761D6478BD642F)).sum(dtype=np.uint64) for x in sets], np.uint64).view(np.int64)
+                prints = [fingerprint(x) for x in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i), pa.array([len(x) for x in sets], pa.int64()), pa.array(f1), pa.array(f2), pa.array([x[:k].tobytes() for x in sets], pa.binary())],
+                    [ids.slice(i, j - i), pa.array([len(x) for x in sets], pa.int64()), *(pa.array([f[x] for f in prints], pa.int64()) for x in (0, 1)), pa.array([x[:k].tobytes() for x in sets], pa.binary())],
                     ["doc_id", "n", "f1", "f2", "sk"],
                 )
 
@@ -146,23 +150,34 @@ def picked(docs: DataFrame, ids: DataFrame, how: str, most: int = BROADCAST_IDS)
     return docs.join(F.broadcast(right) if small else right, docs["doc_id"] == right["picked_id"], how)
 
 
-def _verified(spark: SparkSession, pairs: DataFrame, docs: DataFrame, size: int, percent: int, driver_edges: int, block: int = VERIFY_BLOCK) -> DataFrame:
-    """Of the pairs (a, b), those with 100 * intersection >= percent * union of the full sets.
+def _verified(spark: SparkSession, pairs: DataFrame, docs: DataFrame, reps: DataFrame, again: DataFrame, size: int, percent: int, driver_edges: int, block: int) -> DataFrame:
+    """Of the pairs (a, b) of classes, those with 100 * intersection >= percent * union of the full sets.
 
     Pairs are verified by family, the components of the candidate pairs, so that
     a set travels once to its family and not once a pair; families of more than
-    ``block`` members are split into pairs of blocks.
+    ``block`` members or VERIFY_BYTES are split into pairs of blocks. The sets are
+    made of the texts of ``reps``; ids in ``again`` have several rows, of which
+    one of each text is taken.
     """
-    family = components(spark, pairs, driver_edges)
-    sizes = family.groupBy("component").agg(F.ceil(F.count("*") / F.lit(float(block))).cast("int").alias("nb"))
+    family = components(spark, pairs, driver_edges).join(reps.select("c", "n"), "c")
+    blocks = F.greatest(F.count("*") / F.lit(float(block)), F.sum("n") * 8 / F.lit(float(VERIFY_BYTES)))
+    sizes = family.groupBy("component").agg(F.ceil(blocks).cast("int").alias("nb"))
     place = stage_table(spark, family.join(sizes, "component").select("c", "component", "nb", F.pmod(F.xxhash64("c"), "nb").cast("int").alias("mine")), "places")
 
     def sets(batches):
         for batch in batches:
             for i, j, texts in text_slices(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([x.tobytes() for x in shingle_sets(texts, size)], pa.binary())], ["c", "s"])
-
-    full = picked(docs, place.select(F.col("c").alias("doc_id")), "left_semi").select("doc_id", as_binary("text").alias("text")).mapInArrow(sets, "c long, s binary")
+                made = shingle_sets(texts, size)
+                prints = [fingerprint(x) for x in made]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array([f[x] for f in prints], pa.int64()) for x in (0, 1)), pa.array([x.tobytes() for x in made], pa.binary())], ["doc_id", "f1", "f2", "s"])
+
+    where = reps.join(place.select("c"), "c", "left_semi").select("c", "doc_id", "f1", "f2")
+    ids = where.select("doc_id").distinct()
+    several = not again.isEmpty()
+    given = picked(docs, ids.join(again, "doc_id", "left_anti") if several else ids, "left_semi").select("doc_id", as_binary("text").alias("text"))
+    if several:
+        given = given.union(picked(docs, ids.join(again, "doc_id", "left_semi"), "left_semi").select("doc_id", as_binary("text").alias("text")).distinct())
+    full = given.mapInArrow(sets, "doc_id long, f1 long, f2 long, s binary").join(where, ["doc_id", "f1", "f2"]).select("c", "s")
     other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
     spread = place.withColumn("other", other).select("c", "component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
     null = F.lit(None)
@@ -199,20 +214,23 @@ def components(spark: SparkSession, edges: DataFrame, driver_edges: int = DRIVER
     """
     edges = edges.filter("a is not null and b is not null and a <> b")
     if edges.limit(driver_edges + 1).count() <= driver_edges:
-        rows = edges.toPandas()
-        parent: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        for a, b in zip(rows["a"].tolist(), rows["b"].tolist()):
-            x, y = find(a), find(b)
-            parent[max(x, y)] = min(x, y)
-        made = pa.table({"c": pa.array(list(parent), pa.int64()), "component": pa.array([find(x) for x in parent], pa.int64())})
-        return spark.createDataFrame(made.to_pandas(), "c long, component long") if made.num_rows else spark.createDataFrame([], "c long, component long")
+        rows = edges.select("a", "b").toArrow()
+        ends = np.stack([rows.column(x).to_numpy() for x in ("a", "b")]).astype(np.int64)
+        ids, at = np.unique(ends, return_inverse=True)
+        at, label = at.reshape(ends.shape), np.arange(len(ids))
+        # Ends take the smaller label of their labels' places, labels that of their label, until none changes.
+        while True:
+            low = label[at].min(0)
+            new = label.copy()
+            for side in at:
+                np.minimum.at(new, label[side], low)
+            while (new[new] != new).any():
+                new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        made = pa.table({"c": ids, "component": ids[label]})
+        return spark.createDataFrame(made) if made.num_rows else spark.createDataFrame([], "c long, component long")
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -287,9 +305,10 @@ def near_duplicates(
     Words are lower-cased in A-Z only. ``class_id`` is the smallest id with the
     same shingle set; classes, not copies, are compared. Null or wordless texts
     have an empty set, are linked with nothing and kept. Rows with a null id are
-    kept with null class and component. Rows of one id count as one document:
-    each row is returned, all with the component of any of their sets. Other
-    columns are ignored. An empty table gives an empty result. Candidates are
+    kept with null class and component. Rows of one id are one document: each is
+    returned, and the sets of all of its texts are linked. Other columns are
+    ignored. An empty table gives an empty result. A very long text is shingled
+    whole, with about 60 bytes of arrays a byte in its worker. Candidates are
     lost only if their estimate falls ``slack`` below the threshold or they
     share no run of retained values, at the threshold itself with a probability
     of about 4e-6 and 1e-10, and far less above it.
@@ -298,14 +317,23 @@ def near_duplicates(
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     all_ = stage_table(spark, sketches(docs, shingle, k), "sketches")
     full = all_.filter("n > 0 and doc_id is not null")
-    classes = stage_table(spark, full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("c")), "classes")
-    reps = full.join(classes.select(F.col("c").alias("doc_id"), "n", "f1", "f2"), ["doc_id", "n", "f1", "f2"], "left_semi")
-    reps = stage_table(spark, reps.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("c"), "n", "sk"), "reps")
-    keys = _keys(reps)
+    # A class is a set; its key is its place in the written table.
+    classes = full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("doc_id"), F.first("sk").alias("sk"))
+    classes = stage_table(spark, classes.withColumn("c", F.monotonically_increasing_id()), "classes")
+    reps = classes.select("c", "doc_id", "n", "f1", "f2")
+    sketched = classes.select("c", "n", "sk")
+    own = F.struct("n", "f1", "f2")
+    again = stage_table(spark, full.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min(own).alias("lo"), F.max(own).alias("hi")).filter("rows > 1"), "again")
+    # The sets of an id with several texts are linked through the first of them.
+    torn = full.join(again.filter("lo <> hi"), "doc_id").select("doc_id", "n", "f1", "f2", "lo").distinct().join(classes.select("c", "n", "f1", "f2"), ["n", "f1", "f2"])
+    first_of = classes.select(F.col("c").alias("a"), F.struct("n", "f1", "f2").alias("lo"))
+    same = torn.join(first_of, "lo").select("a", F.col("c").alias("b"))
+    keys = _keys(sketched)
     heads = keys.groupBy("key").agg(F.min("c").alias("head"), F.count("*").alias("size")).filter("size > 1")
     lists = stage_table(spark, keys.join(heads, "key"), "lists")
     star = lists.filter("c <> head").select(F.col("head").alias("a"), F.col("c").alias("b")).distinct()
-    first = stage_table(spark, _verified(spark, stage_table(spark, _estimated(star, reps, least, jaccard), "near"), docs, shingle, percent, driver_edges, verify_block), "links")
+    verify = lambda pairs: _verified(spark, pairs, docs, reps, again.select("doc_id"), shingle, percent, driver_edges, verify_block)
+    first = stage_table(spark, verify(stage_table(spark, _estimated(star, sketched, least, jaccard), "near")), "links")
     labels = stage_table(spark, components(spark, first, driver_edges), "labels")
 
     # Lists whose members are in one component need no more; pairs with the head are done.
@@ -316,12 +344,12 @@ def near_duplicates(
     mine = F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
     rest = rest.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select("key", "c", "label", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"))
-    rest = rest.join(reps, "c")
-    second = stage_table(spark, _open_pairs(rest, least, jaccard).distinct(), "open")
-    second = _verified(spark, second, docs, shingle, percent, driver_edges, verify_block)
-    final = stage_table(spark, components(spark, stage_table(spark, first.union(second), "edges"), driver_edges), "components")
+    rest = rest.join(sketched, "c")
+    second = verify(stage_table(spark, _open_pairs(rest, least, jaccard).distinct(), "open"))
+    final = stage_table(spark, components(spark, stage_table(spark, first.union(second).union(same), "edges"), driver_edges), "components")
+    least_of = final.join(reps.select("c", "doc_id"), "c").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = reps.join(final.join(least_of, "component"), "c", "left").select("n", "f1", "f2", F.col("doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
-    member = all_.filter("n > 0").select("doc_id", "n", "f1", "f2").join(classes, ["n", "f1", "f2"]).filter("doc_id is not null").select("doc_id", "n", "c")
-    member = member.join(final, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.col("c").alias("class_id"), F.coalesce("component", "c").alias("component_id"))
+    member = full.select("doc_id", "n", "f1", "f2").join(named, ["n", "f1", "f2"]).select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id")
     alone = all_.filter("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
     return member.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

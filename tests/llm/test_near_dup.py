@@ -1,13 +1,19 @@
 import random
+import re
 
 import pytest
 
-from hornbeam.llm.near_dup import components, near_duplicates, run_keys, shingle_sets
+from hornbeam.llm.near_dup import components, near_duplicates, run_keys
+
+
+def shingled(text, size=2):
+    w = re.findall("[^ \t\n\x0b\x0c\r]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text or ""))
+    return frozenset(tuple(w[i : i + size]) for i in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)] if w else [])
 
 
 def brute(rows, size=2, percent=80):
     """Component of each row by comparing all pairs; rows of one id are one vertex, null ids none."""
-    sets = [(i, frozenset(s.tolist())) for (i, _), s in zip(rows, shingle_sets([(t or "").encode() for _, t in rows], size))]
+    sets = [(i, shingled(t, size)) for i, t in rows]
     parent = {i: i for i, _ in sets if i is not None}
 
     def find(x):
@@ -78,3 +84,19 @@ def test_odd_rows(spark, odd, none, odd_rows):
     assert all(r["kept"] for r in got if r["doc_id"] is None)
     assert {r["doc_id"]: r["n_shingles"] for r in got}[3] == 1
     assert near_duplicates(spark, none).count() == 0
+
+
+def test_ids_with_several_texts_link_all_their_neighbours(spark):
+    r = random.Random(3)
+    a, b = ([f"{x}{r.randrange(900)}" for _ in range(60)] for x in "ab")
+    near = lambda w: " ".join([*w[:-2], "other", "end"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (4, "something else"), (1, " ".join(a)), (None, near(a)), (5, near(b).upper())]
+    # One id with many texts, and many rows of one text under one id.
+    rows += [(50, " ".join([*a[:30], str(i), *b[:30]])) for i in range(20)] + [(60, " ".join([*a[:29], "x", "7", *b[:30]]))] * 20
+    r.shuffle(rows)
+    for limits in ({}, {"driver_edges": 0, "list_block": 4, "verify_block": 4}):
+        got = near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(4), **limits).collect()
+        want = brute(rows)
+        assert want[3] == want[2] == want[5] == 1 and len(got) == len(rows)
+        assert all(x["component_id"] == want.get(x["doc_id"]) for x in got)
+        assert {x["doc_id"]: x["kept"] for x in got} == {i: i is None or want[i] == i for i, _ in rows}
