@@ -85,7 +85,7 @@ def query(name: str, sql: str | None):
 _C, _O, _P, _S, _N, _R = ("'customer:' || c_custkey", "'order:' || o_orderkey", "'part:' || p_partkey", "'supplier:' || s_suppkey", "'nation:' || n_nationkey", "'region:' || r_regionkey")
 _TREE = "tree AS (SELECT 'part:' || p_partkey AS s, 'part:' || (p_partkey // 2) AS t FROM part WHERE p_partkey > 1)"
 
-# -- scans --------------------------------------------------------------------
+# -- scans
 rules("scan_label", "? nation(X).", f'SELECT {_N} AS "X" FROM nation')
 rules("scan_node", "? node(X).", f'SELECT {_R} AS "X" FROM region UNION SELECT {_N} FROM nation UNION SELECT {_C} FROM customer UNION SELECT {_S} FROM supplier UNION SELECT {_P} FROM part UNION SELECT {_O} FROM orders')
 rules("scan_edge_type", "? placed(C, O).", f'SELECT DISTINCT \'customer:\' || o_custkey AS "C", {_O} AS "O" FROM orders')
@@ -100,7 +100,7 @@ rules("edge_identity", "? edge_id('nation:3', in_region, R, I).", f"SELECT 'regi
 rules("atom_is_no_string", "? prop_mktsegment(C, building).", f'SELECT {_C} AS "C" FROM customer WHERE false')
 rules("undefined_fails", "? no_such_relation(X).", "SELECT CAST(NULL AS VARCHAR) AS \"X\" WHERE false")
 
-# -- joins --------------------------------------------------------------------
+# -- joins
 rules("conj_join", '? placed(C, O), prop_mktsegment(C, "BUILDING"), prop_totalprice(O, P), P > 200000.', f"SELECT DISTINCT {_C} AS \"C\", {_O} AS \"O\", o_totalprice AS \"P\" FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING' AND o_totalprice > 200000")
 rules("theta_join", "? based_in(X, N), based_in(Y, N), prop_acctbal(X, A), prop_acctbal(Y, B), A < B.", "SELECT DISTINCT 'supplier:' || x.s_suppkey AS \"X\", 'supplier:' || y.s_suppkey AS \"Y\", 'nation:' || x.s_nationkey AS \"N\", x.s_acctbal AS \"A\", y.s_acctbal AS \"B\" FROM supplier x JOIN supplier y ON x.s_nationkey = y.s_nationkey WHERE x.s_acctbal < y.s_acctbal")
 rules("self_join_neq", "? neighbour(X, Y).", "SELECT 'supplier:' || x.s_suppkey AS \"X\", 'supplier:' || y.s_suppkey AS \"Y\" FROM supplier x JOIN supplier y ON x.s_nationkey = y.s_nationkey AND x.s_suppkey <> y.s_suppkey", "neighbour(X, Y) :- based_in(X, N), based_in(Y, N), X \\= Y.")
@@ -110,7 +110,7 @@ rules("anti_join_condition", "? customer(C), \\+ (placed(C, O), prop_totalprice(
 rules("cross_join", "? region(A), region(B).", 'SELECT \'region:\' || a.r_regionkey AS "A", \'region:\' || b.r_regionkey AS "B" FROM region a, region b')
 rules("three_way_join", "? in_region(N, R), in_nation(C, N), prop_name(R, RN), prop_name(N, NN).", f'SELECT {_N} AS "N", {_R} AS "R", {_C} AS "C", r_name AS "RN", n_name AS "NN" FROM region JOIN nation ON r_regionkey = n_regionkey JOIN customer ON c_nationkey = n_nationkey')
 
-# -- unions and control ---------------------------------------------------------
+# -- unions and control
 rules("rule_union", "? located(X, N).", f'SELECT {_C} AS "X", \'nation:\' || c_nationkey AS "N" FROM customer UNION SELECT {_S}, \'nation:\' || s_nationkey FROM supplier', "located(X, N) :- in_nation(X, N). located(X, N) :- based_in(X, N).")
 rules("rule_shadows_relation", "? in_region(N, R).", "SELECT 'a' AS \"N\", 'b' AS \"R\"", "in_region(a, b).")
 rules("disjunction", "? prop_size(P, S), (S < 3 ; S > 48).", f'SELECT DISTINCT {_P} AS "P", CAST(p_size AS BIGINT) AS "S" FROM part WHERE p_size < 3 OR p_size > 48')
@@ -121,7 +121,7 @@ rules("once_first", "? region(R), once(in_region(N, R)).", 'SELECT \'region:\' |
 rules("cut_first", "? region(R), first_nation(R, N).", 'SELECT \'region:\' || n_regionkey AS "R", min(\'nation:\' || n_nationkey) AS "N" FROM nation GROUP BY n_regionkey', "first_nation(R, N) :- in_region(N, R), !. first_nation(_, none).")
 rules("call_closure", "? call(in_region, N, 'region:2').", f'SELECT {_N} AS "N" FROM nation WHERE n_regionkey = 2')
 
-# -- scalars --------------------------------------------------------------------
+# -- scalars
 rules("arith_is", "? prop_size(P, S), X is 2 * S + 1, Y is S / 4.", f'SELECT DISTINCT {_P} AS "P", CAST(p_size AS BIGINT) AS "S", CAST(2 * p_size + 1 AS BIGINT) AS "X", p_size / 4.0::DOUBLE AS "Y" FROM part')
 rules("arith_mod_div", "? prop_size(P, S), X is S - 25, M is X mod 7, R is X rem 7, D is X // 7.", f'SELECT DISTINCT {_P} AS "P", CAST(p_size AS BIGINT) AS "S", CAST(p_size - 25 AS BIGINT) AS "X", CAST((((p_size - 25) % 7) + 7) % 7 AS BIGINT) AS "M", CAST((p_size - 25) % 7 AS BIGINT) AS "R", CAST(floor((p_size - 25) / 7.0) AS BIGINT) AS "D" FROM part')
 rules("arith_compare", "? prop_size(P, S), S =\\= 10, S >= 5, S =< 20.", f'SELECT DISTINCT {_P} AS "P", CAST(p_size AS BIGINT) AS "S" FROM part WHERE p_size <> 10 AND p_size BETWEEN 5 AND 20')
@@ -136,7 +136,7 @@ rules("codes", '? region(R), prop_name(R, T), string_codes(T, L), nth0(0, L, C).
 rules("number_text", "? prop_size(P, S), number_string(S, T).", f'SELECT DISTINCT {_P} AS "P", CAST(p_size AS BIGINT) AS "S", CAST(p_size AS VARCHAR) AS "T" FROM part')
 rules("terms", "? functor(point(1, 2), F, A), point(1, 2) =.. [_ | L], arg(2, point(1, 2), X).", "SELECT 'point' AS \"F\", 2::BIGINT AS \"A\", '1,2' AS \"L\", 2::BIGINT AS \"X\"", L="joined")
 
-# -- graph ------------------------------------------------------------------------
+# -- graph
 rules("out_degree", "? customer(C), out_degree(C, N).", f'SELECT {_C} AS "C", CAST(1 + (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS BIGINT) AS "N" FROM customer')
 rules("in_degree", "? part(P), in_degree(P, N).", f'SELECT {_P} AS "P", CAST((SELECT count(*) FROM lineitem WHERE l_partkey = p.p_partkey) + (SELECT count(*) FROM part q WHERE q.p_partkey > 1 AND q.p_partkey // 2 = p.p_partkey) AS BIGINT) AS "N" FROM part p')
 rules("degree", "? region(R), degree(R, N).", f'SELECT {_R} AS "R", (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) AS "N" FROM region')
@@ -150,7 +150,7 @@ rules("reachable", "? reachable('customer:7', X).", """WITH RECURSIVE e AS (SELE
 rules("reachable_bounded", "? reachable('part:1000', X, 3).", "SELECT 'part:' || unnest([500, 250, 125]) AS \"X\" FROM part WHERE p_partkey = 1000")
 rules("shortest_path", "? shortest_path('part:100', 'part:3', P), length(P, N).", "SELECT 'part:100,part:50,part:25,part:12,part:6,part:3' AS \"P\", 6::BIGINT AS \"N\" FROM part WHERE p_partkey = 100", P="joined")
 _UP = f"WITH RECURSIVE {_TREE}, up(x, y, d) AS (SELECT s, s, 0 FROM tree UNION SELECT up.x, t, d + 1 FROM up JOIN tree ON tree.s = up.y)"
-_UP_RULES = "up(X, X, 0) :- child_of(X, _). up(X, Y, D) :- up(X, Z, D0), child_of(Z, Y), is(D, '+'(D0, 1))."
+_UP_RULES = "up(X, X, 0) :- child_of(X, _). up(From, Top, Steps) :- up(From, Mid, Fewer), child_of(Mid, Top), is(Steps, '+'(1, Fewer))."
 rules("linear_recursion", "? below(X, Y).", f'WITH RECURSIVE {_TREE}, r(x, y) AS (SELECT s, t FROM tree UNION SELECT r.x, t FROM r JOIN tree ON tree.s = r.y) SELECT x AS "X", y AS "Y" FROM r', ":- table below/2. below(X, Y) :- child_of(X, Y). below(X, Y) :- child_of(X, Z), below(Z, Y).")
 rules("bound_recursion", "? below('part:777', Y).", f"WITH RECURSIVE {_TREE}, r(y) AS (SELECT t FROM tree WHERE s = 'part:777' UNION SELECT t FROM r JOIN tree ON tree.s = r.y) SELECT y AS \"Y\" FROM r", "below(X, Y) :- child_of(X, Y). below(X, Y) :- child_of(X, Z), below(Z, Y).")
 rules("nonlinear_recursion", "? below('part:777', Y).", f"WITH RECURSIVE {_TREE}, r(y) AS (SELECT t FROM tree WHERE s = 'part:777' UNION SELECT t FROM r JOIN tree ON tree.s = r.y) SELECT y AS \"Y\" FROM r", "below(X, Y) :- child_of(X, Y). below(X, Y) :- below(X, Z), below(Z, Y).")
@@ -186,7 +186,7 @@ def explain_plan(spark, sf):
     return spark.createDataFrame([(r["predicate"], ",".join(r["arguments"]), r["access"]) for r in rows], "predicate string, arguments string, access string")
 
 
-# -- text ---------------------------------------------------------------------------
+# -- text
 _BM25 = r"""WITH t AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM documents), s AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM t),
   h AS (SELECT doc_id, lang, dl, term, count(*) AS tf FROM (SELECT doc_id, lang, len(t) AS dl, unnest(t) AS term FROM t) WHERE term IN ('the', 'hash', 'pathetic') GROUP BY ALL), d AS (SELECT term, count(*) AS df FROM h GROUP BY term),
   x AS (SELECT doc_id, lang, h.term, tf, df, dl, avgdl, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS score FROM h JOIN d USING (term), s)"""
@@ -235,7 +235,7 @@ def chunk_whole(spark, sf):
     return text.chunked(table(spark, sf, "documents"), "whole").select("doc_id", "ordinal", "start", "end", "fingerprint")
 
 
-# -- vectors ---------------------------------------------------------------------------
+# -- vectors
 _Q = [round(0.1 * ((i * 7) % 11 - 5), 3) for i in range(64)]
 _QS = "[" + ", ".join(map(str, _Q)) + "]::DOUBLE[]"
 _COS = f"list_dot_product(embedding::DOUBLE[], {_QS}) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product({_QS}, {_QS})))"
@@ -266,7 +266,7 @@ def vector_problems(spark, sf):
     return vector.problems(table(spark, sf, "embeddings"), 64, True).select("vec_id", "problem")
 
 
-# -- time ---------------------------------------------------------------------------
+# -- time
 def utc(col: str):
     """A zoneless time as UTC, whatever the session's zone."""
     return F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(col)))
@@ -343,7 +343,7 @@ def overlap_join(spark, sf):
     return temporal.overlap_join(side("purchase"), side("view"), ["user_id"]).select(F.col("left_id").alias("a"), F.col("right_id").alias("b"))
 
 
-# -- hybrid retrieval -----------------------------------------------------------------
+# -- hybrid retrieval
 def _rankings(spark, sf):
     lexical = text.bm25(table(spark, sf, "documents"), "the hash pathetic", 100)
     return {"bm25": lexical, "vector": vector.search(table(spark, sf, "embeddings"), _Q, 100)}
@@ -401,7 +401,7 @@ def goal_retrieve(spark, sf):
     return _indexed(spark, sf).query('? retrieve("the hash pathetic", {top_k: 10}, D, Details).').select("D")
 
 
-# -- mutations and lifecycle ------------------------------------------------------------
+# -- mutations and lifecycle
 def _graph(spark, sf) -> mutate.Graph:
     t = lambda n: table(spark, sf, n)
     props = lambda *kv: F.create_map(*kv).cast("map<string,string>")
@@ -472,7 +472,7 @@ def job_metrics(spark, sf):
     return lifecycle.job_metrics(done)
 
 
-# -- extensions ---------------------------------------------------------------------------
+# -- extensions
 @query("agg_group", "SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(l_quantity) AS DOUBLE) AS qty, round(avg(l_discount), 6) AS disc, max(l_tax) AS tax FROM lineitem GROUP BY ALL")
 def agg_group(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("qty"), F.round(F.avg("l_discount"), 6).alias("disc"), F.max("l_tax").alias("tax"))

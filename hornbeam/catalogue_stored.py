@@ -51,7 +51,7 @@ FROM first f JOIN last l USING (doc_id, w) JOIN documents d ON d.doc_id = f.doc_
 """
 
 
-# -- a stored index ---------------------------------------------------------------------
+# -- a stored index
 _CHANGED = _BM25.replace("FROM documents)", "FROM (SELECT doc_id, lang, CASE WHEN lang = 'de' THEN 'hash the ' || source ELSE text END AS text FROM documents WHERE lang <> 'fr'))")
 
 
@@ -88,7 +88,7 @@ def stored_bm25_filtered(spark, sf):
     return stored_index(spark, sf).search("the hash pathetic", None, "entity", languages=["de", "es"], weights={"text": 3.0}).select("entity", F.round("score", 6).alias("score"))
 
 
-# -- searches with many queries ---------------------------------------------------------
+# -- searches with many queries
 _PAIR = "list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])))"
 
 
@@ -130,7 +130,7 @@ def prepared_hybrid(spark, sf):
     return r.retrieve(p.handle).select("doc_id", rank("bm25"), rank("vector"))
 
 
-# -- versions ---------------------------------------------------------------------------
+# -- versions
 def _history(spark, sf):
     """Each event of a user is a version of it, in the order of time, then id."""
     version = F.row_number().over(W.partitionBy("user_id").orderBy("at", "id")).cast("long")
@@ -151,7 +151,7 @@ def nodes_as_of(spark, sf):
     return history.nodes_at(_history(spark, sf), F.lit("2024-01-05").cast("timestamp")).select("id", "version", F.col("properties")["last"].alias("last"))
 
 
-# -- mutations --------------------------------------------------------------------------
+# -- mutations
 def _stored_graph(spark, sf) -> mutate.Graph:
     g = _graph(spark, sf)
     return mutate.Graph(g.nodes, g.edges.withColumn("version", F.lit(1).cast("long")), g.outbox)
@@ -204,7 +204,7 @@ def memory_expiry(spark, sf):
     return mutate.memories(g.nodes, "signup").select("id")
 
 
-# -- outbox to index --------------------------------------------------------------------
+# -- outbox to index
 @query("outbox_to_index", _CHANGED + " SELECT CAST(doc_id AS VARCHAR) AS entity, round(sum(score), 6) AS score FROM x GROUP BY doc_id")
 def outbox_to_index(spark, sf):
     """Documents become nodes, then change; a text target that is fed from the outbox ends where the changed corpus is."""
@@ -230,7 +230,7 @@ def outbox_to_index(spark, sf):
     return apply.index.search("the hash pathetic", by="entity").select("entity", F.round("score", 6).alias("score"))
 
 
-# -- files ------------------------------------------------------------------------------
+# -- files
 @query("json_round_trip", "SELECT 'node' AS what, 'customer:' || c_custkey AS id, c_mktsegment AS value FROM customer UNION ALL SELECT 'node', 'order:' || o_orderkey, NULL FROM orders UNION ALL SELECT 'edge', 'placed:' || o_orderkey, 'customer:' || o_custkey FROM orders")
 def json_round_trip(spark, sf):
     folder, g = new_folder(spark, "json"), _stored_graph(spark, sf)

@@ -88,7 +88,7 @@ class Database:
         except (ValueError, KeyError, TypeError, TimeoutError) as error:
             return {"type": "error", "code": type(error).__name__, "message": str(error)}
 
-    # -- graph ------------------------------------------------------------
+    # -- graph
 
     def _put(self, graph: mutate.Graph) -> int:
         """Writes the new tables, which ends their lineage, feeds the indexes and returns the last sequence number."""
@@ -227,7 +227,7 @@ class Database:
         write_graph_json(self.graph.nodes, self.graph.edges, path)
         return {"path": path}
 
-    # -- rules --------------------------------------------------------------
+    # -- rules
 
     def do_add_rules(self, text: str) -> None:
         """Adds rules; ``:- index_profile(name, version, {...})`` and ``:- activate_index_profile(name, version)`` act at once."""
@@ -289,7 +289,7 @@ class Database:
     def do_explain(self, query: str) -> list[dict]:
         return self.engine().explain(query)
 
-    # -- indexes --------------------------------------------------------------
+    # -- indexes
 
     def do_put_index_profile(self, name: str, version: int, labels: list[str] = (), bm25: dict | None = None, vector: dict | None = None, temporal: dict | None = None) -> None:
         self.profiles.put(Profile(name, version, tuple(labels), (), dict(bm25 or {}), dict(vector or {}), dict(temporal or {})))

@@ -132,7 +132,7 @@ def univ(e, f, t, parts):
     return e.unify(f, t, Compound(head.name, rest))
 
 
-# -- lists ------------------------------------------------------------------
+# -- lists
 
 
 def _plain_list(t) -> bool:
@@ -244,7 +244,7 @@ def _nth(base):
     return run
 
 
-# -- conversions ------------------------------------------------------------
+# -- conversions
 
 
 def _text_of(t):
@@ -323,7 +323,7 @@ def number_string(e, f, n, s):
     return e.unify(e.keep(f, F.col(v.name).isNotNull()), n, v)
 
 
-# -- stored graph -------------------------------------------------------------
+# -- stored graph
 
 
 def _degree(out: bool, into: bool):
@@ -428,7 +428,7 @@ def shortest_path(e, f, x, y, path):
     return e._join(Relation.of(found.select("source", "target", "path"), ["atom", "atom", "list:atom"]), (x, y, path), f, Atom("shortest_path"))
 
 
-# -- introspection and updates --------------------------------------------------
+# -- introspection and updates
 
 
 def clause(e, f, head, body):

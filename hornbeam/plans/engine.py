@@ -95,7 +95,7 @@ class Engine:
 
         self.builtins = BUILTINS
 
-    # -- programs ---------------------------------------------------------
+    # -- programs
 
     def consult(self, text: str) -> Engine:
         """Adds the rules and facts of a program.
@@ -164,7 +164,7 @@ class Engine:
 
         return parse_term(text.strip().removesuffix("."))
 
-    # -- queries ----------------------------------------------------------
+    # -- queries
 
     def query(self, text: str) -> DataFrame:
         """The distinct answers of a query, one column a variable, by name; ``_`` is left out, a query without variables has one column ``success``."""
@@ -243,7 +243,7 @@ class Engine:
             return F.to_json(F.struct(*(self._shown(v).alias(k) for k, v in t.items)))
         return plain(*column(t))
 
-    # -- unification ------------------------------------------------------
+    # -- unification
 
     def fresh(self) -> str:
         return f"_{next(self._ids)}"
@@ -316,7 +316,7 @@ class Engine:
             out = self.unify(out, b.tail, e)
         return out
 
-    # -- solving ----------------------------------------------------------
+    # -- solving
 
     def solve_all(self, goals: tuple[Term, ...], frame: Frame | None) -> Frame | None:
         for i, g in enumerate(goals):
@@ -543,7 +543,7 @@ class Engine:
         gone = self._rows(out).select(*(F.col(k).alias(f"{k}~") for k in keys)).distinct()
         return Frame(frame.df.join(gone, reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"{k}~")) for k in keys]), "left_anti"), frame.binds)
 
-    # -- recursion --------------------------------------------------------
+    # -- recursion
 
     def calls(self, key: tuple[str, int]) -> set[tuple[str, int]]:
         """Predicates that a predicate's rules call, also inside control goals."""
