@@ -16,13 +16,14 @@ from collections import OrderedDict
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.scalars import TermError, as_term, column, compared, literal, number, ordered, plain
 from ..operators.stored import Log
-from ..shared import stage_table
+from ..shared import ship, stage_table
 from .catalog import Catalog, Relation
 from .parser import Directive, Query, Rule, as_clause, conjuncts, parse_program, parse_query
 from .terms import Atom, Col, Compound, Float, Int, ListTerm, Obj, Str, Term, Var, args_of, goal_key, rename, replace, show, tagged, variables
@@ -43,6 +44,26 @@ class Frame:
 MOST_TABLES = 10_000
 
 
+#: What a rule's step in a proof begins with before its body is solved.
+_BEGIN = "begin "
+
+
+def proof_tree(steps: list[str]) -> list[dict]:
+    """Steps in which each rule is begun, then followed by the steps of its body, then named again, as nodes with parents."""
+    out: list[dict] = []
+    open_: list[int] = []
+    for s in steps:
+        if s.startswith("rule "):
+            open_.pop()
+            continue
+        kind, _, rest = s.partition(" ")
+        what, _, given = rest.partition("(")
+        out.append({"id": len(out), "parent": open_[-1] if open_ else None, "kind": "rule" if s.startswith(_BEGIN) else kind, "what": what, "substitution": given[:-1] if given else None})
+        if s.startswith(_BEGIN):
+            open_.append(len(out) - 1)
+    return out
+
+
 class TableStore:
     """Answer tables in a folder, by call, by the text of the rules behind it and by a version of the stored relations, which the caller names."""
 
@@ -188,19 +209,37 @@ class Engine:
         """Groups a query's distinct answers; an extension of the language."""
         return self.query(text).groupBy(*by).agg(*(c.alias(k) for k, c in aggs.items()))
 
-    def prove(self, text: str) -> DataFrame:
-        """The answers with ``proof``: for each derivation, the facts, rules and builtins it used, in order."""
+    def _proved(self, text: str) -> DataFrame:
         self.proving = True
         try:
             names, frame = self._answers(text)
         finally:
             self.proving = False
         if frame is None:
-            return self._empty([*names, "proof"])
+            return self.spark.createDataFrame([], ", ".join([*(f"`{n}` string" for n in names), "proof array<string>"]))
         df = self._rows(frame)
         proof = F.col("__proof") if "__proof" in df.columns else F.array().cast("array<string>")
         return df.select(*(self._shown(self.resolve(Var(v), frame)).alias(v) for v in names), proof.alias("proof"))
 
+    def prove(self, text: str) -> DataFrame:
+        """The answers with ``proof``: for each derivation, the facts, rules and builtins it used, in order."""
+        return self._proved(text).withColumn("proof", F.filter("proof", lambda x: ~x.startswith(_BEGIN)))
+
+    def prove_tree(self, text: str) -> DataFrame:
+        """The answers with ``proof`` as a tree: (id, parent, kind, what, substitution) of each step, the query's goals having no parent.
+
+        ``kind`` is rule, fact, builtin or index; ``what`` is the clause (its
+        predicate and place) or the predicate, ``substitution`` the arguments of
+        a fact. Steps are numbered from the root.
+        """
+        ship(self.spark)
+
+        @F.pandas_udf("array<struct<id:int,parent:int,kind:string,what:string,substitution:string>>")
+        def tree(steps: pd.Series) -> pd.Series:
+            return steps.map(lambda x: proof_tree(list(x)))
+
+        return self._proved(text).withColumn("proof", tree("proof"))
+
     def explain(self, text: str) -> list[dict]:
         """For each goal: its predicate, what each argument is when it is reached, the access path, and whether a bound argument is pushed into it."""
         seen: set[str] = set()
@@ -435,13 +474,14 @@ class Engine:
             for a, h in zip(args, args_of(rename(r.head, s))):
                 out = self.unify(out, a, h)
             body = tuple(rename(g, s) for g in r.body)
+            out = self._noted(out, f"{_BEGIN}{key[0]}/{key[1]}#{k}")
             if out is not None and Atom("!") in body:
                 i = body.index(Atom("!"))
                 reached = self.solve_all(body[:i], out)
                 if reached is not None:
                     reached = self._first(out, reached)
                     parts.append(self._noted(self.solve_all(body[i + 1 :], reached), f"rule {key[0]}/{key[1]}#{k}"))
-                    rows = out.df.columns if out.df is not None else []
+                    rows = [c for c in out.df.columns if c != "__proof"] if out.df is not None else []
                     left = self._rows(frame)
                     gone = self._rows(reached).select(*(F.col(c).alias(f"{c}~") for c in rows if c in left.columns)).distinct()
                     shared = [c for c in rows if c in left.columns]
