@@ -161,3 +161,16 @@ def ordered(op: str, x: Term, y: Term) -> Column | bool:
     else:
         left, right = a, b
     return {"@<": lambda: left < right, "@>": lambda: left > right, "@=<": lambda: left <= right, "@>=": lambda: left >= right}[op]()
+
+
+def fnv1a(data: bytes) -> int:
+    """The 64-bit FNV-1a hash, unsigned."""
+    h = 0xCBF29CE484222325
+    for b in data:
+        h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
+    return h
+
+
+def fnv1a_hex(texts):
+    """A pandas function of a text column: 16 hexadecimal digits of FNV-1a, null for null."""
+    return texts.map(lambda t: None if t is None else f"{fnv1a(t.encode()):016x}")

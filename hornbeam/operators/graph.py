@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..plans.catalog import Catalog
-from ..shared import stage_table
+from ..shared import stage_some, stage_table
 
 MAX_DEPTH = 32
 
@@ -55,17 +55,19 @@ def reachable_from(spark: SparkSession, edges: DataFrame, starts: DataFrame, dep
     """source, target, depth: nodes reached over outgoing edges in at most ``depth`` steps, without the start itself.
 
     Breadth first: each round joins the last frontier to the edges and drops,
-    by an anti join, what was reached before; rounds are written tables.
+    by an anti join, what was reached before; rounds are written tables. While
+    the frontier is small its file size says so, and it is sent to the edges, of
+    which nothing is shuffled.
     """
-    pairs = stage_table(spark, edges.select("source", "target").distinct(), "pairs")
+    pairs = stage_table(spark, edges.select("source", "target"), "pairs")
     frontier = starts.select(F.col("id").alias("source"), F.col("id").alias("target"))
     seen: list[DataFrame] = []
     for d in range(1, depth + 1):
         step = frontier.select("source", F.col("target").alias("via")).join(pairs.select(F.col("source").alias("via"), "target"), "via").select("source", "target").filter("source <> target").distinct()
         if seen:
             step = step.join(reduce(DataFrame.unionAll, seen).select("source", "target"), ["source", "target"], "left_anti")
-        frontier = stage_table(spark, step.withColumn("depth", F.lit(d)), "frontier")
-        if frontier.isEmpty():
+        frontier = stage_some(spark, step.withColumn("depth", F.lit(d)), "frontier")
+        if frontier is None:
             break
         seen.append(frontier)
         if len(seen) > 12:
@@ -73,13 +75,13 @@ def reachable_from(spark: SparkSession, edges: DataFrame, starts: DataFrame, dep
     return reduce(DataFrame.unionAll, seen) if seen else spark.createDataFrame([], "source string, target string, depth int")
 
 
-def shortest_paths(spark: SparkSession, edges: DataFrame, starts: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
-    """source, target, path (array of nodes, both ends included), one a pair.
+def shortest_paths(spark: SparkSession, edges: DataFrame, starts: DataFrame, depth: int = MAX_DEPTH, target: str | None = None) -> DataFrame:
+    """source, target, path (array of nodes, both ends included), one a pair; with a ``target`` and one start the search ends where it is reached.
 
     Of several shortest paths that one is kept which a queue would find first:
     nodes are visited in the order of discovery, their edges by type, then target.
     """
-    order = stage_table(spark, edges.groupBy("source", "target").agg(F.min("edge_type").alias("edge_type")), "pairs")
+    order = stage_table(spark, edges.select("source", "target", "edge_type"), "pairs")
     frontier = starts.select(F.col("id").alias("source"), F.col("id").alias("target"), F.array("id").alias("path"), F.array().cast("array<string>").alias("rank"))
     seen: list[DataFrame] = []
     for _ in range(depth):
@@ -88,8 +90,12 @@ def shortest_paths(spark: SparkSession, edges: DataFrame, starts: DataFrame, dep
         step = step.withColumn("n", F.row_number().over(W.partitionBy("source", "target").orderBy("rank"))).filter("n = 1").drop("n")
         if seen:
             step = step.join(reduce(DataFrame.unionAll, seen).select("source", "target"), ["source", "target"], "left_anti")
-        frontier = stage_table(spark, step, "paths")
-        if frontier.isEmpty():
+        frontier = stage_some(spark, step, "paths")
+        if frontier is None:
             break
         seen.append(frontier)
+        if target is not None and not frontier.filter(F.col("target") == target).isEmpty():
+            break
+        if len(seen) > 12:
+            seen = [stage_table(spark, reduce(DataFrame.unionAll, seen), "reached")]
     return reduce(DataFrame.unionAll, seen).select("source", "target", "path") if seen else spark.createDataFrame([], "source string, target string, path array<string>")

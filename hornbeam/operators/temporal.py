@@ -91,20 +91,26 @@ def overlap_join(left: DataFrame, right: DataFrame, key: list[str], bucket_secon
     return one.unionByName(two).unionByName(three)
 
 
-def as_of(versions: DataFrame, probes: DataFrame, key: str, at: str = "at", start: str = "valid_from") -> DataFrame:
+def as_of(versions: DataFrame, probes: DataFrame, key: str, at: str = "at", start: str = "valid_from", bucket_seconds: int = 604_800) -> DataFrame:
     """Each probe (key, at, ...) with the latest version of its key that starts at or before it, or nulls.
 
-    Versions and probes of a key are merged in time order by one shuffle and
-    one window, so nothing is compared pair by pair.
+    Versions and probes of a key and a time bucket are merged in time order by
+    one window; a second window over the buckets of a key, one row each, carries
+    the last version of earlier buckets on. So nothing is compared pair by pair,
+    and a key with many rows is split by time.
     """
     cols = [c for c in versions.columns if c != key]
-    t_, probe_, v_, p_, last_ = (f"{c}_{uuid.uuid4().hex[:8]}" for c in "tpvql")
+    t_, probe_, v_, p_, last_, b_, carry_, k_ = (f"{c}_{uuid.uuid4().hex[:8]}" for c in "tpvqlbck")
     v = versions.select(F.col(key), F.col(start).alias(t_), F.lit(0).alias(probe_), F.struct(*cols).alias(v_))
     names = [c for c in probes.columns if c != key]
     p = probes.select(F.col(key), F.col(at).alias(t_), F.lit(1).alias(probe_), F.struct(*names).alias(p_))
-    both = v.unionByName(p, allowMissingColumns=True)
-    w = W.partitionBy(key).orderBy(t_, probe_).rowsBetween(W.unboundedPreceding, W.currentRow)
+    both = v.unionByName(p, allowMissingColumns=True).withColumn(b_, F.floor(F.unix_micros(t_) / (bucket_seconds * 1_000_000)))
+    w = W.partitionBy(key, b_).orderBy(t_, probe_).rowsBetween(W.unboundedPreceding, W.currentRow)
     out = both.withColumn(last_, F.last(v_, ignorenulls=True).over(w)).filter(F.col(probe_) == 1)
+    ends = both.groupBy(F.col(key).alias(k_), b_).agg(F.max_by(v_, F.when(F.col(probe_) == 0, F.col(t_))).alias(v_))
+    before = W.partitionBy(k_).orderBy(b_).rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.select(k_, F.col(b_).alias(f"{b_}e"), F.last(v_, ignorenulls=True).over(before).alias(carry_)).filter(F.col(carry_).isNotNull())
+    out = out.join(ends, F.col(key).eqNullSafe(F.col(k_)) & (F.col(b_) == F.col(f"{b_}e")), "left").withColumn(last_, F.coalesce(last_, carry_))
     return out.select(key, *(F.col(p_)[c].alias(c) for c in names), *(F.col(last_)[c].alias(f"version_{c}" if c in names else c) for c in cols))
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .text import ranked
 
 NORM_TOLERANCE = 1e-4
+#: Chunks of one source that are broadcast.
+MOST_CHUNKS = 10_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -62,8 +64,10 @@ def search(vectors: DataFrame, query: list[float], top_k: int | None = None, met
 def similar(vectors: DataFrame, source, entity_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.0) -> DataFrame:
     """entity, score of every other entity: the best over the chunks of both, at least ``threshold``.
 
-    The source's chunks are a filtered, broadcast side; every vector meets them once.
+    Every vector meets the source's chunks once; they are broadcast if, counted
+    first, they are few.
     """
     mine = vectors.filter(F.col(entity_col) == source).select(F.col(vector_col).alias("q"))
-    rows = vectors.filter(F.col(entity_col) != source).join(F.broadcast(mine), F.size(F.col(vector_col)) == F.size("q"))
+    side = F.broadcast(mine) if mine.limit(MOST_CHUNKS + 1).count() <= MOST_CHUNKS else mine
+    rows = vectors.filter(F.col(entity_col) != source).join(side, F.size(F.col(vector_col)) == F.size("q"))
     return rows.groupBy(F.col(entity_col).alias("entity")).agg(F.max(cosine(F.col(vector_col), F.col("q"))).alias("score")).filter(F.col("score") >= threshold)

@@ -422,7 +422,7 @@ def shortest_path(e, f, x, y, path):
     if isinstance(x, Var):
         return None
     starts = e._rows(f).select(F.col(x.name).alias("id")).distinct() if isinstance(x, Col) else e.spark.createDataFrame([(x.name,)], "id string")
-    found = shortest_paths(e.spark, e.catalog.all_edges(), starts, MAX_DEPTH)
+    found = shortest_paths(e.spark, e.catalog.all_edges(), starts, MAX_DEPTH, y.name if isinstance(x, Atom) and isinstance(y, Atom) else None)
     if isinstance(x, Atom) and x == y:
         return e.unify(f, path, ListTerm((x,)))
     return e._join(Relation.of(found.select("source", "target", "path"), ["atom", "atom", "list:atom"]), (x, y, path), f, Atom("shortest_path"))

@@ -23,7 +23,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.scalars import TermError, as_term, column, compared, literal, number, ordered, plain
 from ..operators.stored import Log
-from ..shared import ship, stage_table
+from ..shared import ship, stage_some, stage_table
 from .catalog import Catalog, Relation
 from .parser import Directive, Query, Rule, as_clause, conjuncts, parse_program, parse_query
 from .terms import Atom, Col, Compound, Float, Int, ListTerm, Obj, Str, Term, Var, args_of, goal_key, rename, replace, show, tagged, variables
@@ -108,6 +108,8 @@ class Engine:
         self.store = tables
         self.directives: dict[str, object] = {}
         self.exhausted: list[str] = []
+        #: How often answer tables were computed, found in this engine, or read from the store.
+        self.metrics = {"computed": 0, "found": 0, "read": 0}
         self._override: dict[tuple[str, int], Relation] = {}
         self._versions: dict[tuple[str, int], int] = {}
         self._facts: dict[tuple[str, int], tuple[int, Relation | None]] = {}
@@ -636,10 +638,12 @@ class Engine:
         call = (key, tuple(sorted((i, tagged(c)) for i, c in stable.items())))
         if call in self._tables and self._tables[call][0] == state:
             self._tables.move_to_end(call)
+            self.metrics["found"] += 1
             return self._tables[call][1]
         name = self.store.name(call, {k: self.rules.get(k, []) for k in self.reaches(key) | scc}) if self.store is not None else None
         if name is not None and (held := self.store.get(name)) is not None:
             self._tables[call] = (state, held)
+            self.metrics["read"] += 1
             return held
         for r in (r for rs in clauses.values() for r in rs):
             if any(_negates(g, scc) for g in r.body):
@@ -648,6 +652,7 @@ class Engine:
             clauses[key] = [_specialised(r, key, stable) for r in clauses[key]]
             clauses[key] = [r for r in clauses[key] if r is not None]
         found = self._semi_naive(scc, clauses)
+        self.metrics["computed"] += 1
         for k, rel in found.items():
             where = call if k == key else (k, ())
             if rel is not None and (k == key or not stable):
@@ -698,8 +703,8 @@ class Engine:
                     rows = reduce(DataFrame.unionAll, parts).distinct()
                     if done[k]:
                         rows = rows.join(reduce(DataFrame.unionAll, done[k]), [f"c{i}" for i in range(k[1])], "left_anti")
-                    rows = stage_table(self.spark, rows, "delta")
-                    if not rows.isEmpty():
+                    rows = stage_some(self.spark, rows, "delta")
+                    if rows is not None:
                         delta[k] = rows
                         done[k].append(rows)
                         if len(done[k]) > 12:

@@ -11,7 +11,8 @@ import zipfile
 from pathlib import Path
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
@@ -79,6 +80,15 @@ def stage_table(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(schema).parquet(uri)
 
 
+def stage_some(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame | None:
+    """As ``stage_table``, but None if there are no rows, which the writing job itself tells."""
+    seen = Observation()
+    schema = df.schema
+    uri = new_folder(spark, tag)
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(uri)
+    return spark.read.schema(schema).parquet(uri) if seen.get["n"] else None
+
+
 _shipped: set[str] = set()
 
 

@@ -36,6 +36,7 @@ def test_the_least_used_tables_go(spark, monkeypatch):
     for x in ("a", "b", "a", "c"):
         e.query(f"? reach({x}, Y).").count()
     assert len(e._tables) == 2 and any("a" in str(k) for k in e._tables)
+    assert e.metrics == {"computed": 3, "found": 1, "read": 0}
 
 
 def test_directives(spark):
@@ -120,3 +121,25 @@ def test_code_is_shipped_through_the_shared_folder(spark, monkeypatch):
     (uri,) = sent
     rows = spark.read.format("binaryFile").load(uri).select("length").collect()
     assert uri.endswith(".zip") and rows[0]["length"] > 10_000
+
+
+def test_as_of_join_over_many_buckets(spark):
+    import random
+
+    r = random.Random(1)
+    at = lambda: r.randrange(0, 40 * 86_400, 3600)
+    versions = [(r.choice(["a", "b", None]), at(), i) for i in range(60)]
+    probes = [(r.choice(["a", "b", "c", None]), at(), i) for i in range(80)]
+    time = lambda df: df.withColumn("t", F.timestamp_seconds("t"))
+    v = time(spark.createDataFrame(versions, "k string, t long, v long")).withColumnRenamed("t", "valid_from")
+    p = time(spark.createDataFrame(probes, "k string, t long, p long")).withColumnRenamed("t", "at")
+    got = {x["p"]: x["valid_from"] and x["valid_from"].timestamp() for x in temporal.as_of(v, p, "k", bucket_seconds=86_400).collect()}
+    for k, t, i in probes:
+        best = max((s for q, s, _ in versions if q == k and s <= t), default=None)
+        assert (None if got[i] is None else int(got[i])) == best
+
+
+def test_fnv1a():
+    from hornbeam.functions.scalars import fnv1a
+
+    assert fnv1a(b"") == 0xCBF29CE484222325 and fnv1a(b"a") == 0xAF63DC4C8601EC8C and fnv1a(b"foobar") == 0x85944171F73967E8
