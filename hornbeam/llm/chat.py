@@ -31,11 +31,10 @@ def events_of_turns(turns: DataFrame) -> DataFrame:
         F.struct(F.lit(1).alias("step"), F.lit("delta").alias("kind"), F.substring(text, F.lit(1), half).alias("text")),
         F.struct(F.lit(2).alias("step"), F.lit("delta").alias("kind"), F.substring(text, half + 1, F.length(text)).alias("text")),
     )
-    role = F.coalesce("role", F.lit(""))
-    copies = turns.groupBy("conv_id", "turn", role.alias("role"), text.alias("text")).agg(F.count("*").cast("int").alias("copies"))
-    copies = copies.select("conv_id", "turn", "role", "text", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
-    rows = copies.select("conv_id", F.struct(F.col("turn").alias("at"), "role", F.xxhash64("text").alias("h"), "copy").alias("message"), "role", F.explode(kinds).alias("e"))
-    return rows.select("conv_id", "message", "role", F.struct("message.at", "e.step").alias("seq"), "e.kind", "e.text")
+    # A row's number tells equal rows apart; its three events are made where the row is read, so they share it.
+    message = F.struct(F.col("turn").alias("at"), F.coalesce("role", F.lit("")).alias("role"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("copy"))
+    rows = turns.select("conv_id", message.alias("message"), text.alias("text")).select("conv_id", "message", F.explode(kinds).alias("e"))
+    return rows.select("conv_id", "message", F.col("message.role").alias("role"), F.struct("message.at", "e.step").alias("seq"), "e.kind", "e.text")
 
 
 def fold(events: DataFrame) -> DataFrame:
