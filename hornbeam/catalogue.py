@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .operators import graph as graphs
 from .operators import lifecycle, mutate, retrieval, temporal, text, vector
 from .plans.catalog import Catalog
 from .plans.engine import Engine

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from ..functions.scalars import TermError, as_term, column, compared, number, ordered, rank
+from ..functions.scalars import TermError, as_term, column, compared, number, ordered
 from .terms import Atom, Col, Compound, Float, Int, ListTerm, Obj, Str, Term, Var, show, variables
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.scalars import TermError, as_term, column, compared, literal, number, ordered, plain
+from ..functions.scalars import TermError, as_term, column, literal, plain
 from ..operators.stored import Log
 from ..shared import ship, stage_some, stage_table
 from .catalog import Catalog, Relation
