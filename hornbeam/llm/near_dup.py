@@ -25,7 +25,9 @@ DRIVER_EDGES = 500_000
 #: Largest number of list members in one block of comparisons.
 LIST_BLOCK = 512
 #: Largest number of sets in one block of verifications, and about how many bytes they have; a larger set is a block of its own.
-VERIFY_BLOCK, VERIFY_BYTES = 1024, 32 << 20
+VERIFY_BLOCK, VERIFY_BYTES = 1024, 16 << 20
+#: Bytes of text that a task turns into sets at a time.
+SLICE = 1 << 20
 #: Up to this number ids (16 bytes each) are broadcast to pick documents; beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 _TOP = U(2**64 - 1)
@@ -87,7 +89,7 @@ def sketches(docs: DataFrame, size: int, k: int) -> DataFrame:
     def work(batches):
         for batch in batches:
             ids = batch.column(0)
-            for i, j, texts in text_slices(batch.column(1)):
+            for i, j, texts in text_slices(batch.column(1), SLICE):
                 sets = shingle_sets(texts, size)
                 prints = [fingerprint(x) for x in sets]
                 yield pa.RecordBatch.from_arrays(
@@ -166,7 +168,7 @@ def _verified(spark: SparkSession, pairs: DataFrame, docs: DataFrame, reps: Data
 
     def sets(batches):
         for batch in batches:
-            for i, j, texts in text_slices(batch.column(1)):
+            for i, j, texts in text_slices(batch.column(1), SLICE):
                 made = shingle_sets(texts, size)
                 prints = [fingerprint(x) for x in made]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array([f[x] for f in prints], pa.int64()) for x in (0, 1)), pa.array([x.tobytes() for x in made], pa.binary())], ["doc_id", "f1", "f2", "s"])
