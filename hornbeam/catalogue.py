@@ -406,7 +406,7 @@ def _graph(spark, sf) -> mutate.Graph:
     props = lambda *kv: F.create_map(*kv).cast("map<string,string>")
     nodes = t("customer").select(_id("customer", "c_custkey").alias("id"), F.array(F.lit("customer")).alias("labels"), props(F.lit("segment"), F.to_json(F.array("c_mktsegment")).substr(F.lit(2), F.length(F.to_json(F.array("c_mktsegment"))) - 2)).alias("properties"), F.lit(1).cast("long").alias("version"))
     nodes = nodes.unionByName(t("orders").select(_id("order", "o_orderkey").alias("id"), F.array(F.lit("order")).alias("labels"), props(F.lit("price"), F.col("o_totalprice").cast("string")).alias("properties"), F.lit(1).cast("long").alias("version")))
-    edges = t("orders").select(F.concat(F.lit("placed:"), F.col("o_orderkey").cast("string")).alias("id"), F.lit("placed").alias("edge_type"), _id("customer", "o_custkey").alias("source"), _id("order", "o_orderkey").alias("target"), props().alias("properties"))
+    edges = t("orders").select(F.concat(F.lit("placed:"), F.col("o_orderkey").cast("string")).alias("id"), F.lit("placed").alias("edge_type"), _id("customer", "o_custkey").alias("source"), _id("order", "o_orderkey").alias("target"), props().alias("properties"), F.lit(1).cast("long").alias("version"))
     return mutate.Graph(nodes, edges, spark.createDataFrame([], mutate.OUTBOX))
 
 

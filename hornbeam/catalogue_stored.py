@@ -120,7 +120,10 @@ def cells_recall(spark, sf):
     return hit.agg((F.avg(F.coalesce("hit", F.lit(0))) >= 0.9).alias("enough"), F.count("*").alias("asked"))
 
 
-@query("prepared_hybrid", _RRF + " SELECT CAST(doc_id AS VARCHAR) AS doc_id, coalesce(lr, 0) AS bm25_rank, coalesce(vr, 0) AS vector_rank FROM f WHERE doc_id NOT IN (SELECT doc_id FROM f ORDER BY round(s, 12) DESC, CAST(doc_id AS VARCHAR) OFFSET 10)")
+_RRF_TEXT = _RRF.replace("DESC, doc_id) AS r", "DESC, CAST(doc_id AS VARCHAR)) AS r").replace("DESC, vec_id) AS r", "DESC, CAST(vec_id AS VARCHAR)) AS r")
+
+
+@query("prepared_hybrid", _RRF_TEXT + " SELECT CAST(doc_id AS VARCHAR) AS doc_id, coalesce(lr, 0) AS bm25_rank, coalesce(vr, 0) AS vector_rank FROM f WHERE doc_id NOT IN (SELECT doc_id FROM f ORDER BY round(s, 12) DESC, CAST(doc_id AS VARCHAR) OFFSET 10)")
 def prepared_hybrid(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("id"), "embedding")
@@ -152,15 +155,10 @@ def nodes_as_of(spark, sf):
 
 
 # -- mutations
-def _stored_graph(spark, sf) -> mutate.Graph:
-    g = _graph(spark, sf)
-    return mutate.Graph(g.nodes, g.edges.withColumn("version", F.lit(1).cast("long")), g.outbox)
-
-
 @query("update_nodes", "SELECT 'customer:' || c_custkey AS id, CASE WHEN c_acctbal < 0 THEN c_nationkey END AS nation, CASE WHEN c_acctbal < 0 THEN 0 ELSE 1 END AS old_keys, CASE WHEN c_acctbal < 0 THEN 2::BIGINT ELSE 1 END AS version FROM customer")
 def update_nodes(spark, sf):
     rows = table(spark, sf, "customer").filter("c_acctbal < 0").select(_id("customer", "c_custkey").alias("id"), F.create_map(F.lit("nation"), F.col("c_nationkey").cast("string")).alias("properties"))
-    g = mutate.update_nodes(_stored_graph(spark, sf), rows)
+    g = mutate.update_nodes(_graph(spark, sf), rows)
     return g.nodes.filter(F.array_contains("labels", "customer")).select("id", F.col("properties")["nation"].cast("int").alias("nation"), F.map_contains_key("properties", "segment").cast("int").alias("old_keys"), "version")
 
 
@@ -170,21 +168,21 @@ def relabel(spark, sf):
     c = table(spark, sf, "customer").select(_id("customer", "c_custkey").alias("id"), "c_acctbal")
     poor = c.filter("c_acctbal < 0").select("id", F.array(F.lit("debtor")).alias("add"), F.array(F.lit("customer")).alias("remove"))
     rich = c.filter("c_acctbal > 9000").select("id", F.array(F.lit("rich"), F.lit("customer")).alias("add"), empty.alias("remove"))
-    g = mutate.relabel(_stored_graph(spark, sf), poor.unionByName(rich))
+    g = mutate.relabel(_graph(spark, sf), poor.unionByName(rich))
     return g.nodes.filter(F.col("id").startswith("customer:")).select("id", F.array_join(F.array_sort("labels"), ",").alias("labels"))
 
 
 @query("patch_edges", "SELECT 'placed:' || o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN '\"done\"' END AS state, CASE WHEN o_orderstatus = 'F' THEN 2::BIGINT ELSE 1 END AS version FROM orders")
 def patch_edges(spark, sf):
     done = table(spark, sf, "orders").filter("o_orderstatus = 'F'").select(F.concat(F.lit("placed:"), F.col("o_orderkey").cast("string")).alias("id"), F.create_map(F.lit("state"), F.lit('"done"')).alias("set"), F.array().cast("array<string>").alias("remove"))
-    return mutate.patch_edges(_stored_graph(spark, sf), done).edges.select("id", F.col("properties")["state"].alias("state"), "version")
+    return mutate.patch_edges(_graph(spark, sf), done).edges.select("id", F.col("properties")["state"].alias("state"), "version")
 
 
 @query("outbox_tail", "SELECT k + 11 AS sequence FROM range(least(50, (SELECT count(*) FROM customer WHERE c_acctbal < 0) - 10)) t(k)")
 def outbox_tail(spark, sf):
     """What follows sequence 10 in the outbox that an update of many nodes leaves, numbered without gaps: the first 50 events."""
     rows = table(spark, sf, "customer").filter("c_acctbal < 0").select(_id("customer", "c_custkey").alias("id"), F.create_map().cast("map<string,string>").alias("properties"))
-    return mutate.events_after(mutate.update_nodes(_stored_graph(spark, sf), rows).outbox, 10, 50).select("sequence")
+    return mutate.events_after(mutate.update_nodes(_graph(spark, sf), rows).outbox, 10, 50).select("sequence")
 
 
 @query("prefix_scan", "SELECT 'placed:' || o_orderkey AS id FROM orders WHERE starts_with(CAST(o_orderkey AS VARCHAR), '12')")
@@ -233,7 +231,7 @@ def outbox_to_index(spark, sf):
 # -- files
 @query("json_round_trip", "SELECT 'node' AS what, 'customer:' || c_custkey AS id, c_mktsegment AS value FROM customer UNION ALL SELECT 'node', 'order:' || o_orderkey, NULL FROM orders UNION ALL SELECT 'edge', 'placed:' || o_orderkey, 'customer:' || o_custkey FROM orders")
 def json_round_trip(spark, sf):
-    folder, g = new_folder(spark, "json"), _stored_graph(spark, sf)
+    folder, g = new_folder(spark, "json"), _graph(spark, sf)
     graph_files.write_graph_json(g.nodes, g.edges, folder)
     nodes, edges = graph_files.read_graph_json(spark, folder)
     segment = F.get(F.from_json(F.concat(F.lit("["), F.col("properties")["segment"], F.lit("]")), "array<string>"), F.lit(0))

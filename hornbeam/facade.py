@@ -140,7 +140,7 @@ class Database:
         return self._one(self.graph.nodes, id, "node")
 
     def do_add_edge(self, edge_type: str, source: str, target: str, id: str | None = None, properties: dict | None = None) -> int:
-        rows = self.spark.createDataFrame([(id or f"{source}:{edge_type}:{target}", edge_type, source, target, self._json(properties or {}))], mutate.EDGES)
+        rows = self.spark.createDataFrame([(id or f"{source}:{edge_type}:{target}", edge_type, source, target, self._json(properties or {}), 1)], mutate.EDGES)
         return self._put(mutate.create_edges(self.graph, rows))
 
     def do_get_edge(self, id: str) -> dict:

@@ -120,7 +120,7 @@ def test_patches_and_events(spark):
     with pytest.raises(ValueError):
         mutate.patch_nodes(g, spark.createDataFrame([("a", {"n": "2"}, ["n"])], "id string, set map<string,string>, remove array<string>"))
     with pytest.raises(ValueError):
-        mutate.create_edges(g, spark.createDataFrame([("e", "t", "a", "zz", {})], mutate.EDGES))
+        mutate.create_edges(g, spark.createDataFrame([("e", "t", "a", "zz", {}, 1)], mutate.EDGES))
 
 
 def test_sources(spark, tmp_path):
