@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_binary, small, stage_table
+from .common import as_binary, small, smallest, stage_table
 from .spans import Span, digest, find_rows, in_code_points, joined
 from .textops import Words, text_slices
 
@@ -326,8 +326,8 @@ def personal_spans(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     each = voted.select(F.explode("found").alias("c"))
     patterns = [(r["kind"], r["votes"], r["n"]) for r in each.groupBy("c.kind", "c.votes").agg(F.count("*").alias("n")).collect()]
     soft = soft_labels(patterns)
-    order = F.xxhash64("doc_id", "c.kind", "c.start", "c.end", "c.votes", "c.features")
-    fit = voted.select("doc_id", F.explode("found").alias("c")).orderBy(order, "doc_id", "c").limit(max_fit).select("c.kind", "c.votes", "c.features").collect()
+    rows = voted.select("doc_id", F.explode("found").alias("c")).select("doc_id", "c.kind", "c.start", "c.end", "c.votes", "c.features")
+    fit = smallest(rows, F.xxhash64(*rows.columns), max_fit, sum(n for *_, n in patterns)).select("kind", "votes", "features").collect()
     weights = None
     if fit:
         x = design([r["kind"] for r in fit], np.array([[int(v) for v in r["votes"].split()] for r in fit]), [r["features"] for r in fit])
