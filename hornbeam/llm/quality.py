@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_binary
+from .common import as_binary, smallest, stage_table
 from .textops import U, Words, inside_one, mix, text_slices, windows
 
 WINDOW = 8
@@ -193,7 +193,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_train: in
     the smallest hash trains. Null ids, qualities and texts don't train.
     """
     sample = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality in (0, 1)")
-    sample = sample.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_train)
+    sample = smallest(stage_table(spark, sample.distinct(), "labels"), F.xxhash64("doc_id"), max_train)
 
     def work(batches):
         for batch in batches:
