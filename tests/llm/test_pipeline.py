@@ -58,3 +58,28 @@ def test_decisions_apply_to_rows_without_an_id(spark, docs):
     assert not [t for t in left(corpus_pipeline.near_dedup(spark, with_id, SF)) if t and t.lower() == prose.lower()]
     clean = corpus_pipeline.decontaminate(spark, rows, SF)
     assert f"{bench} and more" not in left(clean) and "too short" in left(clean) and left(clean).count(None) == 2
+
+
+def test_last_stages_against_brute_force(spark, docs):
+    """Decontamination keeps what holds no item's words in a row; the mix meets the targets of what is there."""
+    import re
+    from collections import Counter
+
+    from hornbeam.llm.mixing import reshared_targets
+
+    words = lambda t: " " + " ".join(re.findall(r"[^\W_]+", (t or "").lower())) + " "
+    items = [words(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    rows = docs.collect()
+    clean = {r["doc_id"] for r in rows if not any(i in words(r["text"]) for i in items)}
+    assert {r["doc_id"] for r in corpus_pipeline.decontaminate(spark, docs, SF).collect()} == clean and 0 < len(clean) < len(rows)
+    got = corpus_pipeline.mix(spark, docs, SF).collect()
+    size = {r["doc_id"]: len(re.findall("[^ \t\n\x0b\x0c\r]+", r["text"] or "")) for r in rows}
+    sources = sorted({r["source"] for r in rows})
+    total, taken = Counter(), Counter()
+    for r in rows:
+        total[r["source"]] += size[r["doc_id"]]
+    for r in got:
+        assert r["size"] == size[r["doc_id"]] and 0 <= r["taken"] <= 3 * r["size"]
+        taken[r["source"]] += r["taken"]
+    want = reshared_targets([total[s] for s in sources], [(5, 2, 1)[k % 3] for k in range(len(sources))])
+    assert [taken[s] for s in sources] == [round(t) for t in want] and len(got) == len(rows)
