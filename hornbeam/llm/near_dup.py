@@ -5,16 +5,18 @@ retained values are the keys of inverted lists: two sets with a Jaccard index
 of J have each value of the union's bottom k in common with probability J, so
 at J = 0.8 and k = 64 the chance that they share no run of three is about 1e-10,
 while texts that only share a passage rarely share a run. Within a list, all
-members are compared with the list's first member; lists whose members then
-are still in different components compare the rest in blocks. Candidates pass
-the union-sketch estimate, then the exact Jaccard index of the full sets.
+members are compared with the list's first member by the union-sketch estimate;
+lists whose members then lie in different families, the components of the near
+pairs, compare the rest in blocks. Neither sends on more than joins families:
+all members of a family are compared by the exact Jaccard index of their full
+sets, many pairs at a time, and a spanning forest of the links is kept.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import as_binary, stage_table
@@ -26,6 +28,8 @@ DRIVER_EDGES = 500_000
 LIST_BLOCK = 512
 #: Largest number of sets in one block of verifications, and about how many bytes they have; a larger set is a block of its own.
 VERIFY_BLOCK, VERIFY_BYTES = 1024, 16 << 20
+#: A value is a column of a matrix product if one in so many pairs of a block share it; columns of a product, and pairs that are listed at a time.
+DENSE, COLUMNS, LISTED = 256, 2048, 1 << 20
 #: Bytes of text that a task turns into sets at a time.
 SLICE = 1 << 20
 #: Up to this number ids (16 bytes each) are broadcast to pick documents; beyond it the join shuffles.
@@ -66,15 +70,82 @@ def run_keys(sketch: np.ndarray, n: int) -> np.ndarray:
     return np.unique(np.concatenate(keys))
 
 
-def union_share(a: np.ndarray, na: int, b: np.ndarray, nb: int) -> float:
-    """The estimate of the Jaccard index from two sketches, of sets of na and nb values.
+def union_common(a: np.ndarray, na: int, b: np.ndarray, nb: int) -> tuple[int, int]:
+    """Of two sketches, of sets of na and nb values, the common values and those of the union that are known.
 
     Up to the smaller of the largest retained values both sketches are complete,
-    so the union's values up to there are known: at least its bottom k.
+    so the union's values up to there are known: at least its bottom k. Their
+    ratio estimates the Jaccard index, and is it where both sets are retained.
     """
     top = min(a[-1] if na > len(a) else _TOP, b[-1] if nb > len(b) else _TOP)
     common = len(np.intersect1d(a, b, assume_unique=True))
-    return common / max(1, np.searchsorted(a, top, "right") + np.searchsorted(b, top, "right") - common)
+    return common, max(1, np.searchsorted(a, top, "right") + np.searchsorted(b, top, "right") - common)
+
+
+def _runs(sets: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Distinct values of several sets, where their runs begin in ``row`` and how long they are, and the sets they are in."""
+    value = np.concatenate(sets)
+    order = np.argsort(value, kind="stable")
+    value, row = value[order], np.repeat(np.arange(len(sets)), [len(x) for x in sets])[order]
+    at = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
+    return value[at], at, np.diff(at, append=len(value)), row
+
+
+def shared(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all xs, in rows, with all ys; no set is empty.
+
+    Values that many pairs share are columns of a product of 0-1 matrices, made
+    in parts; pairs of the others are listed and counted.
+    """
+    out = np.zeros((len(xs), len(ys)), np.int32)
+    ux, sx, mx, rx = _runs(xs)
+    uy, sy, my, ry = (ux, sx, mx, rx) if ys is xs else _runs(ys)
+    at = np.minimum(np.searchsorted(uy, ux), len(uy) - 1)
+    i = np.flatnonzero(uy[at] == ux)
+    j = at[i]
+    sx, mx, sy, my = sx[i], mx[i], sy[j], my[j]
+    pairs = mx * my
+    dense = pairs * DENSE > out.size
+
+    def ones(n: int, start: np.ndarray, m: np.ndarray, row: np.ndarray) -> np.ndarray:
+        x = np.zeros((n, len(m)), np.float32)
+        x[row[np.repeat(start - np.cumsum(m) + m, m) + np.arange(m.sum())], np.repeat(np.arange(len(m)), m)] = 1
+        return x
+
+    many = np.flatnonzero(dense)
+    for lo in range(0, len(many), COLUMNS):
+        c = many[lo : lo + COLUMNS]
+        a = ones(len(xs), sx[c], mx[c], rx)
+        out += (a @ (a if ys is xs else ones(len(ys), sy[c], my[c], ry)).T).astype(np.int32)
+    few = np.flatnonzero(~dense)
+    # A value stands for out.size / DENSE pairs at most, so a part has a bounded number of them.
+    part = np.cumsum(pairs[few]) // LISTED
+    for lo, hi in zip(*(np.searchsorted(part, np.unique(part), x) for x in ("left", "right"))):
+        c = few[lo:hi]
+        p, each = pairs[c], np.repeat(my[c], pairs[c])
+        k = np.arange(p.sum()) - np.repeat(np.cumsum(p) - p, p)
+        cell = rx[np.repeat(sx[c], p) + k // each] * len(ys) + ry[np.repeat(sy[c], p) + k % each]
+        out += np.bincount(cell, minlength=out.size).reshape(out.shape).astype(np.int32)
+    return out
+
+
+def _forest(ok: np.ndarray, rows: np.ndarray, cols: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of n places whose edges are the true cells of ``ok``, a matrix of places ``rows`` and ``cols``."""
+    edge = np.zeros((n, n), bool)
+    edge[np.ix_(rows, cols)] = ok
+    edge |= edge.T
+    left, a, b = np.ones(n, bool), [], []
+    for root in np.flatnonzero(edge.any(1)).tolist():
+        held = [root] if left[root] else []
+        left[root] = False
+        while held:
+            x = held.pop()
+            new = np.flatnonzero(edge[x] & left)
+            left[new] = False
+            a += [x] * len(new)
+            b += new.tolist()
+            held += new.tolist()
+    return np.array(a, np.int64), np.array(b, np.int64)
 
 
 def fingerprint(values: np.ndarray) -> tuple[int, int]:
@@ -111,15 +182,23 @@ def _keys(reps: DataFrame) -> DataFrame:
     return reps.filter("n >= 4").select("c", "n", "sk").mapInArrow(work, "key long, c long")
 
 
-def _estimated(pairs: DataFrame, reps: DataFrame, least: float, jaccard: float) -> DataFrame:
+def _near(common, union, whole, least: float, percent: int):
+    """Whether pairs may be links: by the exact index where both sketches are whole sets, else by the estimate."""
+    return np.where(whole, 100 * common >= percent * union, common >= least * union)
+
+
+def _estimated(pairs: DataFrame, reps: DataFrame, least: float, percent: int) -> DataFrame:
     """Of the pairs (a, b), those whose sizes allow the index and whose estimate is near it."""
     side = lambda x: reps.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("sk").alias(f"s{x}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.least("na", "nb") >= F.greatest("na", "nb") * jaccard - 1e-6)
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.least("na", "nb") >= F.greatest("na", "nb") * (percent / 100) - 1e-6)
 
     def work(batches):
         for batch in batches:
-            rows = zip(*(batch.column(i).to_pylist() for i in range(2, 6)))
-            keep = [union_share(np.frombuffer(x, np.uint64), n, np.frombuffer(y, np.uint64), m) >= least for x, n, y, m in rows]
+            na, nb = (batch.column(i).to_numpy() for i in (3, 5))
+            sides = [[np.frombuffer(x, np.uint64) for x in batch.column(i).to_pylist()] for i in (2, 4)]
+            found = np.array([union_common(x, n, y, m) for x, n, y, m in zip(sides[0], na, sides[1], nb)], np.int64).reshape(-1, 2)
+            whole = np.array([len(x) == n and len(y) == m for x, n, y, m in zip(sides[0], na, sides[1], nb)], bool)
+            keep = _near(found[:, 0], found[:, 1], whole, least, percent)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return joined.select("a", "b", "sa", "na", "sb", "nb").mapInArrow(work, "a long, b long")
@@ -152,16 +231,15 @@ def picked(docs: DataFrame, ids: DataFrame, how: str, most: int = BROADCAST_IDS)
     return docs.join(F.broadcast(right) if small else right, docs["doc_id"] == right["picked_id"], how)
 
 
-def _verified(spark: SparkSession, pairs: DataFrame, docs: DataFrame, reps: DataFrame, again: DataFrame, size: int, percent: int, driver_edges: int, block: int) -> DataFrame:
-    """Of the pairs (a, b) of classes, those with 100 * intersection >= percent * union of the full sets.
+def _verified(spark: SparkSession, families: DataFrame, docs: DataFrame, reps: DataFrame, again: DataFrame, size: int, percent: int, block: int) -> DataFrame:
+    """Pairs (a, b) of classes of one family that join all its members with 100 * intersection >= percent * union of the full sets.
 
-    Pairs are verified by family, the components of the candidate pairs, so that
-    a set travels once to its family and not once a pair; families of more than
-    ``block`` members or VERIFY_BYTES are split into pairs of blocks. The sets are
-    made of the texts of ``reps``; ids in ``again`` have several rows, of which
-    one of each text is taken.
+    ``families`` has (c, component). A set travels once to its family; families
+    of more than ``block`` members or VERIFY_BYTES are split into pairs of blocks.
+    The sets are made of the texts of ``reps``; ids in ``again`` have several
+    rows, of which one of each text is taken.
     """
-    family = components(spark, pairs, driver_edges).join(reps.select("c", "n"), "c")
+    family = families.join(reps.select("c", "n"), "c")
     blocks = F.greatest(F.count("*") / F.lit(float(block)), F.sum("n") * 8 / F.lit(float(VERIFY_BYTES)))
     sizes = family.groupBy("component").agg(F.ceil(blocks).cast("int").alias("nb"))
     place = stage_table(spark, family.join(sizes, "component").select("c", "component", "nb", F.pmod(F.xxhash64("c"), "nb").cast("int").alias("mine")), "places")
@@ -180,31 +258,40 @@ def _verified(spark: SparkSession, pairs: DataFrame, docs: DataFrame, reps: Data
     if several:
         given = given.union(picked(docs, ids.join(again, "doc_id", "left_semi"), "left_semi").select("doc_id", as_binary("text").alias("text")).distinct())
     full = given.mapInArrow(sets, "doc_id long, f1 long, f2 long, s binary").join(where, ["doc_id", "f1", "f2"]).select("c", "s")
-    other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
-    spread = place.withColumn("other", other).select("c", "component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    null = F.lit(None)
-    rows = full.join(spread, "c").select(F.col("component").alias("f"), "i", "j", F.lit(0).alias("kind"), F.col("c").alias("a"), null.cast("long").alias("b"), "s")
-    at = lambda x: place.select(F.col("c").alias(x), F.col("component").alias(f"f{x}"), F.col("mine").alias(f"m{x}"))
-    asked = pairs.join(at("a"), "a").join(at("b"), "b").select(F.col("fa").alias("f"), F.least("ma", "mb").alias("i"), F.greatest("ma", "mb").alias("j"), F.lit(1).alias("kind"), "a", "b", null.cast("binary").alias("s"))
 
     def work(batches):
-        for t in _by_group(batches, ["f", "i", "j"]):
-            kind, a, b = (t.column(x).to_numpy() for x in ("kind", "a", "b"))
-            held = {c: np.frombuffer(x, np.uint64) for c, k, x in zip(a.tolist(), kind, t.column("s").to_pylist()) if k == 0}
-            xs, ys = [], []
-            for p, q in zip(a[kind == 1].tolist(), b[kind == 1].astype(np.int64).tolist()):
-                x, y = held[p], held[q]
-                if len(y) < len(x):
-                    x, y = y, x
-                common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                if 100 * common >= percent * (len(x) + len(y) - common):
-                    xs.append(p)
-                    ys.append(q)
-            if xs:
-                yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], ["a", "b"])
-
-    both = rows.unionByName(asked).repartition("f", "i", "j").sortWithinPartitions("f", "i", "j", "kind")
-    return both.mapInArrow(work, "a long, b long")
+        for t in _by_group(batches, ["component", "i", "j"]):
+            ids, side = (t.column(x).to_numpy() for x in ("c", "side"))
+            x, y = _sides(side)
+            values = [np.frombuffer(v, np.uint64) for v in t.column("s").to_pylist()]
+            n = np.array([len(v) for v in values])
+            if not len(x) or not len(y):
+                continue
+            xs = [values[k] for k in x]
+            common = shared(xs, xs if y is x else [values[k] for k in y]).astype(np.int64)
+            ok = 100 * common >= percent * (n[x][:, None] + n[y] - common)
+            if y is x:
+                np.fill_diagonal(ok, False)
+            a, b = _forest(ok, x, y, len(ids))
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
+
+    rows = full.join(place.select("c", "component", *_block_pairs("nb")), "c")
+    return rows.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").select("component", "i", "j", "side", "c", "s").mapInArrow(work, "a long, b long")
+
+
+def _block_pairs(blocks: str) -> list[Column]:
+    """Columns i, j and side of a member of block ``mine``: a row for each pair of blocks that it is in; side is 0 in a pair of a block with itself."""
+    pair = F.transform(F.sequence(F.lit(0), F.col(blocks) - 1), lambda x: F.struct(F.least("mine", x).alias("i"), F.greatest("mine", x).alias("j"), F.when(F.col("mine") == x, 0).when(F.col("mine") < x, 1).otherwise(2).alias("side")))
+    return [F.inline(pair)]
+
+
+def _sides(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the members of both blocks; one array twice if a block is paired with itself."""
+    if side[0] == 0:
+        every = np.arange(len(side))
+        return every, every
+    return np.flatnonzero(side == 1), np.flatnonzero(side == 2)
 
 
 def components(spark: SparkSession, edges: DataFrame, driver_edges: int = DRIVER_EDGES) -> DataFrame:
@@ -254,45 +341,31 @@ def components(spark: SparkSession, edges: DataFrame, driver_edges: int = DRIVER
     return ends.select(F.col("a").alias("c"), F.col("b").alias("component")).union(ends.select("b", "b").distinct())
 
 
-def _open_pairs(members: DataFrame, least: float, jaccard: float) -> DataFrame:
-    """Pairs (a, b) of members of one list block (key, i, j) that lie in different components and pass the estimate."""
+def _open_pairs(members: DataFrame, least: float, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of one list block (key, i, j) that join those families between which a pair passes the estimate."""
 
     def compare(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         ids, n, label, side = (t.column(x).to_numpy() for x in ("c", "n", "label", "side"))
-        order = np.argsort(n, kind="stable")
-        raw = t.column("sk").to_pylist()
-        ids, n, label, side = ids[order], n[order], label[order], side[order]
-        sk = [np.frombuffer(raw[i], np.uint64) for i in order]
-        size = np.array([len(x) for x in sk])
-        top = np.array([x[-1] if m > len(x) else _TOP for x, m in zip(sk, n)], np.uint64)
-        flat, cut = np.concatenate(sk), np.concatenate(([0], np.cumsum(size)))
-        a, b = [], []
-        for i in range(len(ids) - 1):
-            end = int(np.searchsorted(n, n[i] / jaccard + 1e-6, "right"))
-            j = np.arange(i + 1, end)
-            j = j[(label[j] != label[i]) & ((side[j] != side[i]) | (side[i] == 0))]
-            if not len(j):
-                continue
-            if len(j) == end - i - 1:
-                seg, at = flat[cut[i + 1] : cut[end]], cut[i + 1 : end] - cut[i + 1]
-            else:
-                seg, at = np.concatenate([sk[x] for x in j]), np.concatenate(([0], np.cumsum(size[j])[:-1]))
-            mine = sk[i]
-            place = np.searchsorted(mine, seg)
-            np.minimum(place, len(mine) - 1, out=place)
-            common = np.add.reduceat((mine[place] == seg).astype(np.int32), at)
-            theirs = np.add.reduceat((seg <= top[i]).astype(np.int32), at)
-            own = np.searchsorted(mine, top[j], "right")
-            j = j[common >= least * (theirs + own - common)]
-            a.append(np.minimum(ids[i], ids[j]))
-            b.append(np.maximum(ids[i], ids[j]))
-        return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        x, y = _sides(side)
+        sk = [np.frombuffer(v, np.uint64) for v in t.column("sk").to_pylist()]
+        if not len(x) or not len(y):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        whole = np.array([len(v) == m for v, m in zip(sk, n)])
+        top = np.array([_TOP if w else v[-1] for v, w in zip(sk, whole)], np.uint64)
+        xs = [sk[k] for k in x]
+        common = shared(xs, xs if y is x else [sk[k] for k in y])
+        known = np.stack([np.searchsorted(sk[k], top[y], "right").astype(np.int32) for k in x])
+        known += known.T if y is x else np.stack([np.searchsorted(sk[k], top[x], "right").astype(np.int32) for k in y]).T
+        ok = _near(common, known - common, whole[x][:, None] & whole[y], least, percent)
+        ok &= (np.minimum.outer(n[x], n[y]) >= np.maximum.outer(n[x], n[y]) * (percent / 100) - 1e-6) & (label[x][:, None] != label[y])
+        a, b = _forest(ok, x, y, len(ids))
+        return ids[a], ids[b]
 
     def work(batches):
         for t in _by_group(batches, ["key", "i", "j"]):
             a, b = compare(t)
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     cols = ["key", "i", "j", "side", "c", "n", "label", "sk"]
     return members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select(*cols).mapInArrow(work, "a long, b long")
@@ -315,7 +388,7 @@ def near_duplicates(
     share no run of retained values, at the threshold itself with a probability
     of about 4e-6 and 1e-10, and far less above it.
     """
-    jaccard, least = percent / 100, percent / 100 - slack
+    least = percent / 100 - slack
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     all_ = stage_table(spark, sketches(docs, shingle, k), "sketches")
     full = all_.filter("n > 0 and doc_id is not null")
@@ -334,21 +407,22 @@ def near_duplicates(
     heads = keys.groupBy("key").agg(F.min("c").alias("head"), F.count("*").alias("size")).filter("size > 1")
     lists = stage_table(spark, keys.join(heads, "key"), "lists")
     star = lists.filter("c <> head").select(F.col("head").alias("a"), F.col("c").alias("b")).distinct()
-    verify = lambda pairs: _verified(spark, pairs, docs, reps, again.select("doc_id"), shingle, percent, driver_edges, verify_block)
-    first = stage_table(spark, verify(stage_table(spark, _estimated(star, sketched, least, jaccard), "near")), "links")
-    labels = stage_table(spark, components(spark, first, driver_edges), "labels")
+    near = stage_table(spark, _estimated(star, sketched, least, percent), "near")
+    labels = stage_table(spark, components(spark, near, driver_edges), "labels")
 
-    # Lists whose members are in one component need no more; pairs with the head are done.
+    # Lists whose members are in one family need no more; pairs with the head are done.
     held = lists.filter("size > 2").join(labels, "c", "left").withColumn("label", F.coalesce("component", "c"))
     open_ = held.filter("c <> head").groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("left")).filter("lo <> hi")
     blocks = F.ceil(F.col("left") / F.lit(float(list_block))).cast("int")
     rest = held.filter("c <> head").select("key", "c", "label").join(open_.select("key", blocks.alias("blocks")), "key")
-    mine = F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
-    rest = rest.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("key", "c", "label", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"))
-    rest = rest.join(sketched, "c")
-    second = verify(stage_table(spark, _open_pairs(rest, least, jaccard).distinct(), "open"))
-    final = stage_table(spark, components(spark, stage_table(spark, first.union(second).union(same), "edges"), driver_edges), "components")
+    rest = rest.withColumn("mine", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")).select("key", "c", "label", *_block_pairs("blocks")).join(sketched, "c")
+    near = near.union(stage_table(spark, _open_pairs(rest, least, percent).distinct(), "open"))
+    families = stage_table(spark, components(spark, near, driver_edges), "families")
+    # Near pairs of sets that are retained whole are links; only families with larger sets are left to verify.
+    larger = families.join(sketched.filter(F.col("n") * 8 > F.octet_length("sk")).select("c"), "c", "left_semi").select("component").distinct()
+    whole = near.join(families.join(larger, "component", "left_anti").select(F.col("c").alias("a")), "a", "left_semi").select("a", "b")
+    links = _verified(spark, families.join(larger, "component", "left_semi"), docs, reps, again.select("doc_id"), shingle, percent, verify_block)
+    final = stage_table(spark, components(spark, stage_table(spark, links.union(whole).union(same), "edges"), driver_edges), "components")
     least_of = final.join(reps.select("c", "doc_id"), "c").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = reps.join(final.join(least_of, "component"), "c", "left").select("n", "f1", "f2", F.col("doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
 

@@ -100,3 +100,46 @@ def test_ids_with_several_texts_link_all_their_neighbours(spark):
         assert want[3] == want[2] == want[5] == 1 and len(got) == len(rows)
         assert all(x["component_id"] == want.get(x["doc_id"]) for x in got)
         assert {x["doc_id"]: x["kept"] for x in got} == {i: i is None or want[i] == i for i, _ in rows}
+
+
+def test_pairs_of_alike_texts_are_not_listed(spark, monkeypatch):
+    """A family of texts that are alike, most of them below the threshold, writes rows in proportion to its members."""
+    from hornbeam.llm import near_dup
+
+    r = random.Random(7)
+    base = [f"w{r.randrange(900)}" for _ in range(300)]
+    rows = []
+    for i in range(160):
+        text = list(base)
+        for _ in range(r.randrange(6, 20)):
+            text[r.randrange(len(text))] = f"x{r.randrange(900)}"
+        rows.append((i, " ".join(text)))
+    written = {}
+
+    def counted(s, df, tag):
+        out = stage(s, df, tag)
+        written[tag] = written.get(tag, 0) + out.count()
+        return out
+
+    stage = near_dup.stage_table
+    monkeypatch.setattr(near_dup, "stage_table", counted)
+    got = {x["doc_id"]: x["component_id"] for x in near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(4), list_block=32, verify_block=32).collect()}
+    want = brute(rows)
+    assert got == want and 2 < len(set(want.values())) < 160
+    assert written["open"] + written["edges"] < 8 * len(rows), written
+
+
+def test_intersections_of_many_sets(monkeypatch):
+    import numpy as np
+
+    from hornbeam.llm import near_dup
+
+    g = np.random.default_rng(2)
+    sets = [np.unique(g.integers(0, most, n).astype(np.uint64)) for n, most in zip(g.integers(1, 80, 60), [40, 400, 4000] * 20)]
+    for dense in (1, 60, 10**9):
+        monkeypatch.setattr(near_dup, "DENSE", dense)
+        monkeypatch.setattr(near_dup, "COLUMNS", 7)
+        monkeypatch.setattr(near_dup, "LISTED", 50)
+        for xs, ys in ((sets, sets), (sets[:20], sets[20:]), (sets[:1], sets[1:2])):
+            want = [[len(np.intersect1d(x, y)) for y in ys] for x in xs]
+            assert (near_dup.shared(xs, ys) == want).all()
