@@ -36,6 +36,8 @@ BUCKET_BYTES, LEAST_BUCKETS, MANY_BUCKETS, LARGE_BUCKET_BYTES = 12 << 20, 8, 1 <
 HOT_SHARE = 1 / 8
 #: Distinct keys a task holds before it sends them on.
 HELD = 3_000_000
+#: A context of so many lookups in a batch is searched on its own.
+OFTEN = 12
 _PACKED = "kind int, bucket int, keys binary, counts binary"
 
 
@@ -108,6 +110,15 @@ def parts(values: np.ndarray):
         yield from zip(values[at].tolist(), at.tolist(), np.append(at[1:], len(values)).tolist())
 
 
+def parts_of(values: np.ndarray, least: int):
+    """As ``parts``, only runs of ``least`` values at least."""
+    if len(values):
+        at = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+        end = np.append(at[1:], len(values))
+        long = end - at >= least
+        yield from zip(values[at[long]].tolist(), at[long].tolist(), end[long].tolist())
+
+
 _KINDS = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
 
 
@@ -156,11 +167,29 @@ def gram_hash(ids: list[np.ndarray]) -> np.ndarray:
     return h
 
 
+def gram_order(columns: list[np.ndarray]) -> np.ndarray:
+    """The order of rows by their columns: that of the first, in which runs of equal values are put in order by a last one of 32 bits."""
+    if len(columns) > 2 or len(columns) == 2 and columns[1].max(initial=0) >> U(32):
+        return np.lexsort(columns[::-1])
+    order = np.argsort(columns[0])
+    if len(columns) == 2:
+        value = columns[0][order]
+        new = np.concatenate(([True], value[1:] != value[:-1]))
+        run = np.flatnonzero(~(new & np.append(new[1:], True)))
+        order[run] = order[run][np.argsort((np.cumsum(new)[run].astype(np.uint64) << U(32)) | columns[1][order[run]])]
+    return order
+
+
+def by_bucket(bucket: np.ndarray, bits: int) -> np.ndarray:
+    """The stable order of buckets, of a narrow type if they fit it, which is sorted by radix."""
+    return np.argsort(bucket.astype(np.uint16) if bits <= 16 else bucket, kind="stable")
+
+
 def summed_grams(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Distinct n-grams in order with the sums of their counts."""
     if not len(counts):
         return columns, counts
-    order = np.lexsort(columns[::-1])
+    order = gram_order(columns)
     columns = [c[order] for c in columns]
     new = np.ones(len(order), bool)
     new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
@@ -168,10 +197,16 @@ def summed_grams(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np
     return [c[at] for c in columns], np.add.reduceat(counts[order], at)
 
 
-def gram_buckets(path: str, meta: dict, ids: list[np.ndarray]) -> np.ndarray:
-    """Of each n-gram the bucket of its middle, salted by the first word; of a pair, that of the first word, salted by the second."""
-    core, salt = (ids[:1], ids[1]) if len(ids) == 2 else (ids[1:-1], ids[0])
-    splits = np.minimum.reduce([_splits(path, meta, x) for x in core])
+def gram_core(ids: list[np.ndarray]) -> list[np.ndarray]:
+    """The middle of an n-gram; of a pair, the first word."""
+    return ids[:1] if len(ids) == 2 else ids[1:-1]
+
+
+def gram_buckets(path: str, meta: dict, ids: list[np.ndarray], splits: np.ndarray | None = None) -> np.ndarray:
+    """Of each n-gram the bucket of its middle, salted by the first word; of a pair, that of the first word, salted by the second. splits: the least of the middle's, if known."""
+    core, salt = gram_core(ids), ids[1] if len(ids) == 2 else ids[0]
+    if splits is None:
+        splits = np.minimum.reduce([_splits(path, meta, x) for x in core])
     h = gram_hash(core)
     hot = np.flatnonzero(splits > 1)
     h[hot] = mix(h[hot] + U(1) + gram_hash([salt[hot]]) % splits[hot].astype(np.uint64))
@@ -183,7 +218,7 @@ def gram_rows(path: str, meta: dict, columns: list[np.ndarray], counts: np.ndarr
     if not len(counts):
         return
     bucket = gram_buckets(path, meta, gram_ids(columns, k))
-    order = np.argsort(bucket, kind="stable")
+    order = by_bucket(bucket, meta["bits"])
     rows = []
     for b, lo, hi in parts(bucket[order]):
         i = order[lo:hi]
@@ -252,9 +287,9 @@ def _save_followers(path: str, context: np.ndarray, word: np.ndarray, count: np.
     _save(path, np.concatenate([np.array([len(x) for x in arrays], np.uint64).view(np.uint8), *(np.ascontiguousarray(x).view(np.uint8) for x in arrays)]))
 
 
-@functools.lru_cache(maxsize=4096)
+@functools.lru_cache(maxsize=1 << 14)
 def _followers(path: str) -> tuple[np.ndarray, ...]:
-    raw = np.load(path, mmap_mode="r")
+    raw = np.load(path, mmap_mode="r").view(np.ndarray)
     at, out = 64, []
     for n, kind in zip(raw[:64].view(np.uint64).tolist(), (np.uint64,) * 3 + (np.uint32,) * 4 + (np.uint8,)):
         end = at + n * np.dtype(kind).itemsize
@@ -279,37 +314,50 @@ def _at(held: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, held[at] == keys
 
 
-def _looked_up(path: str, tag: str, bucket: np.ndarray, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+def _looked_up(path: str, tag: str, bits: int, bucket: np.ndarray, context: np.ndarray, word: np.ndarray) -> np.ndarray:
     """Columns total, followers once, twice and more of each context, and the count of the word after it; word is -1 if unknown."""
-    out = np.zeros((5, len(context)), np.int64)
-    order = np.lexsort((context, bucket))
-    for b, lo, hi in parts(bucket[order]):
+    # By bucket, then about by context, in one key; searches need no more.
+    low = context if context.max(initial=0) < 1 << (64 - bits) else context >> U(bits)
+    order = np.argsort((bucket.astype(np.uint64) << U(64 - bits)) | low)
+    context, word = context[order], word[order]
+    sorted_ = np.zeros((5, len(order)), np.int64)
+    for b, first, last in parts(bucket[order]):
         name = f"{path}/{tag}-{b:07d}.npy"
         if not _exists(name):
             continue
-        held, rows = _followers(name), order[lo:hi]
-        at, there = _at(held[0], context[rows])
-        i = rows[there]
-        out[0, i] = out[1, i] = 1
-        out[4, i] = held[3][at[there]] == word[i]
-        at, there = _at(held[1], context[rows])
-        i, at, n = rows[there], at[there], len(held[1])
+        held, keys, asked, out = _followers(name), context[first:last], word[first:last], sorted_[:, first:last]
+        at, there = _at(held[0], keys)
+        out[0] = out[1] = there
+        out[4, there] = held[3][at[there]] == asked[there]
+        i = np.flatnonzero(~there)
+        at, there = _at(held[1], keys[i])
+        i, at, n = i[there], at[there], len(held[1])
         total, one, two = (_numbers(held, at + x * n) for x in range(3))
         start, end = held[4][at].astype(np.int64), held[4][at + 1].astype(np.int64)
-        out[:4, i] = total, one, two, end - start - one - two
-        low, high = start, end - 1
-        while (low < high).any():
-            middle = (low + high) // 2
-            less = held[5][middle] < word[i]
-            low, high = np.where(less & (low < high), middle + 1, low), np.where(less, high, middle)
-        found = held[5][low] == word[i] if len(i) else np.zeros(0, bool)
+        for row, x in enumerate((total, one, two, end - start - one - two)):
+            out[row, i] = x
+        low, high, want = start.copy(), end - 1, asked[i]
+        # A context that is asked often has its words searched at once, the others step by step together.
+        for _, x, y in parts_of(at, OFTEN):
+            lo, hi = int(start[x]), int(end[x])
+            low[x:y] = high[x:y] = lo + np.minimum(np.searchsorted(held[5][lo:hi], want[x:y].astype(np.uint32)), hi - lo - 1)
+        left = np.flatnonzero(low < high)
+        while len(left):
+            x, y = low[left], high[left]
+            middle = (x + y) >> 1
+            less = held[5][middle] < want[left]
+            low[left], high[left] = np.where(less, middle + 1, x), np.where(less, y, middle)
+            left = left[low[left] < high[left]]
+        found = held[5][low] == want if len(i) else np.zeros(0, bool)
         out[4, i[found]] = _numbers(held, 3 * n + low[found])
+    out = np.empty_like(sorted_)
+    out[:, order] = sorted_
     return out
 
 
-@functools.lru_cache(maxsize=4096)
+@functools.lru_cache(maxsize=1 << 14)
 def _mapped(path: str) -> np.ndarray:
-    return np.load(path, mmap_mode="r")
+    return np.load(path, mmap_mode="r").view(np.ndarray)
 
 
 def _ids(folder: str, meta: dict, hashes: np.ndarray) -> np.ndarray:
@@ -334,7 +382,12 @@ def _counts(path: str, meta: dict, ids: np.ndarray) -> np.ndarray:
 
 def _splits(path: str, meta: dict, ids: np.ndarray) -> np.ndarray:
     """Over how many buckets the n-grams around each word are split: the begin mark's over all, those of words unknown or rare are not."""
-    distinct, back = np.unique(ids.astype(np.int64), return_inverse=True)
+    ids = ids.astype(np.int64)
+    if len(ids) and (ids[1:] >= ids[:-1]).all():
+        new = np.concatenate(([True], ids[1:] != ids[:-1]))
+        distinct, back = ids[new], np.cumsum(new) - 1
+    else:
+        distinct, back = np.unique(ids, return_inverse=True)
     out = np.ones(len(distinct), np.int64)
     known = (distinct >= 0) & (distinct < meta["words"])
     out[known] = -(-_counts(path, meta, distinct[known]) // meta["hot"])
@@ -448,7 +501,7 @@ def train(spark: SparkSession, docs: DataFrame, folder: str, order: int = 2) ->
                     yield from pairs(b, ids, counts)
                     continue
                 context = gram_hash(ids[:-1])
-                by_context = np.lexsort((ids[-1], context))
+                by_context = gram_order([context, ids[-1]])
                 _save_followers(f"{path}/u{k}-{b:07d}.npy", context[by_context], ids[-1][by_context], counts[by_context])
                 _save(f"{path}/s{k}-{b:07d}.npy", np.array([(counts == x).sum() for x in (1, 2, 3, 4)]))
                 shorter, counts = summed_grams(gram_columns(ids[1:]), np.ones(len(counts), np.int64))
@@ -506,30 +559,35 @@ def token_ids(path: str, meta: dict, texts: list[bytes]) -> tuple[np.ndarray, np
 
 def score(path: str, meta: dict, texts: list[bytes]) -> tuple[np.ndarray, ...]:
     """n_tokens, n_known, base_score, score of each text."""
-    ids, first = token_ids(path, meta, texts)
-    v, known = meta["words"], ids >= 0
-    word, back = np.unique(ids[known], return_inverse=True)
-    count = np.zeros(len(ids))
-    p = np.full(len(ids), meta["gamma"] / (v + 1))
+    # Of distinct words first: their ids, counts, splits and probabilities.
+    hashes, first, _ = tokens(texts)
+    distinct, back = np.unique(hashes, return_inverse=True)
+    v, id_of = meta["words"], _ids(path, meta, distinct)
+    there = id_of >= 0
+    word = id_of[there]
+    count, split_of, single = np.zeros(len(distinct), np.int64), np.ones(len(distinct), np.int64), np.full(len(distinct), meta["gamma"] / (v + 1))
     if len(word):
-        count[known] = _counts(path, meta, word)[back]
+        count[there] = _counts(path, meta, word)
+        split_of[there] = -(-count[there] // meta["hot"])
         left = _sum_of(path, meta, 15, word)
-        p[known] += ((left - _discount(meta["d1"], left)) / meta["types"])[back]
-    base = np.log10((count + 1) / (meta["tokens"] + (v + 1)))
+        single[there] += (left - _discount(meta["d1"], left)) / meta["types"]
+    ids, splits, p = id_of[back], split_of[back], single[back]
+    known, base = ids >= 0, np.log10((count + 1) / (meta["tokens"] + (v + 1)))[back]
     for k, d in {2: meta["d2"], **meta["upper"]}.items():
         before = grams_before(ids, first, v, k - 1)
         has = np.flatnonzero(np.all([x >= 0 for x in before], axis=0))
         before, last = [x[has] for x in before], ids[has]
-        bucket = gram_buckets(path, meta, [*before, last])
+        around = np.minimum.reduce([x[has] for x in gram_core([*grams_before(splits, first, 1 << meta["bits"], k - 1), splits])])
+        bucket = gram_buckets(path, meta, [*before, last], around)
         if k == 2:
-            split = _splits(path, meta, before[0]) > 1
+            split = around > 1
             found = np.zeros((5, len(has)), np.int64)
             for tag, some in (("p", ~split), ("q", split)):
-                found[:, some] = _looked_up(path, tag, bucket[some], before[0][some].astype(np.uint64), last[some])
+                found[:, some] = _looked_up(path, tag, meta["bits"], bucket[some], before[0][some].astype(np.uint64), last[some])
             context, again = np.unique(before[0][split], return_inverse=True)
             found[:4, split] = np.array([_sum_of(path, meta, kind, context)[again] for kind in (11, 12, 13, 14)])
         else:
-            found = _looked_up(path, f"u{k}", bucket, gram_hash(before), last)
+            found = _looked_up(path, f"u{k}", meta["bits"], bucket, gram_hash(before), last)
         seen = found[0] > 0
         has, (total, one, two, more, c) = has[seen], found[:, seen]
         p[has] = (np.maximum(c - _discount(d, c), 0) + (d[0] * one + d[1] * two + d[2] * more) * p[has]) / total

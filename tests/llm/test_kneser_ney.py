@@ -112,3 +112,25 @@ def test_the_query_looks_at_more_than_one_word(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     want = brute_order(rows, 3)
     assert all(math.isclose(r["score"], want[r["doc_id"]], rel_tol=1e-9) for r in op5_kneser_ney(spark, sf).collect())
+
+
+def test_scoring_asks_for_each_word_once(spark, tmp_path, monkeypatch):
+    rows = [(i, " ".join("abcdefgh"[(i * j * j + j) % 8] for j in range(40))) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "cast(text as binary) as text")
+    meta = kn.train(spark, docs, f"file://{tmp_path}", 3)
+    asked, counts = [], kn._counts
+    monkeypatch.setattr(kn, "_counts", lambda path, meta, ids: asked.extend(ids.tolist()) or counts(path, meta, ids))
+    kn.score(str(tmp_path), meta, [t.encode() for _, t in rows])
+    assert len(asked) == len(set(asked)) == 9
+
+
+def test_order_of_columns():
+    import numpy as np
+
+    g = np.random.default_rng(4)
+    for highs in ((9, 9), (2**60, 9), (1, 2**32), (9, 2**40), (9, 9, 9), (50,)):
+        columns = [g.integers(0, x, 500).astype(np.uint64) for x in highs]
+        order = kn.gram_order(columns)
+        assert sorted(order.tolist()) == list(range(500))
+        assert list(zip(*(c[order].tolist() for c in columns))) == sorted(zip(*(c.tolist() for c in columns)))
+    assert len(kn.gram_order([np.zeros(0, np.uint64)] * 2)) == 0
