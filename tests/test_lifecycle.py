@@ -208,6 +208,24 @@ def test_cells_find_enough_where_few_probes_do_not(spark, tmp_path):
     assert found.count() == 3000 and ann.recall(found, exact) >= 0.9
 
 
+def test_cell_search_of_many_queries_multiplies_blocks(spark, tmp_path, monkeypatch):
+    """No row a pair of query and vector; blocks of queries and slices of cells give what one of each gives, ties by id."""
+    x = np.random.default_rng(4).normal(size=(300, 8))
+    x[100:200] = x[:100]
+    vectors = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, embedding array<double>")
+    queries = vectors.filter("id % 10 = 0").withColumnRenamed("id", "query")
+    rows = lambda df: sorted((r["query"], r["rank"], r["doc_id"]) for r in df.collect())
+    one = ann.CellIndex(spark, str(tmp_path / "one"))
+    one.publish(vectors, cells=4)
+    found = one.search_all(queries, 5, probes=4)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(ann, "CELL_FILE", 20)
+    many = ann.CellIndex(spark, str(tmp_path / "many"))
+    many.publish(vectors, cells=4)
+    assert rows(many.search_all(queries, 5, probes=4)) == rows(found) == rows(ann.search_exact(spark, vectors, queries, 5))
+
+
 def test_versions_and_as_of(spark):
     h, g = spark.createDataFrame([], history.HISTORY), mutate.Graph.empty(spark)
     steps = [
