@@ -196,6 +196,25 @@ def test_cells_find_what_the_exact_search_finds(spark, tmp_path):
         index.search([0.0] * 16)
 
 
+def test_text_index_splits_its_buckets(spark, tmp_path, monkeypatch):
+    """A bucket is written by more tasks the more text there is; a document that comes twice, one without words and none are counted as before."""
+    from hornbeam.operators import text_index
+
+    monkeypatch.setattr(text_index, "TASK_CHARS", 40)
+    rows = [(str(i), "the hash " * (1 + i % 3) + f"w{i}") for i in range(60)] + [("5", "the hash the hash the hash w5"), ("60", ""), ("61", None)]
+    index = TextIndex(spark, str(tmp_path / "ix"), 2)
+    index.put(spark.createDataFrame(rows, "entity string, content string"))
+    assert len(list((tmp_path / "ix" / "postings").rglob("*.parquet"))) > 8
+    want = {}
+    for e, c in rows:
+        for w in (c or "").split():
+            want[e, w] = want.get((e, w), 0) + 1
+    assert {(r["entity"], r["term"]): r["tf"] for r in index.postings.read().collect()} == want
+    assert index.stats()[0] == 63
+    index.postings.compact()
+    assert index.postings.read().count() == len(want) and index.postings.log.last()[1]["slices"] > 1
+
+
 def test_cells_find_enough_where_few_probes_do_not(spark, tmp_path):
     """Vectors without clusters, as at 0.1 GB of the registered query: ten of sixteen cells aren't enough."""
     x = np.random.default_rng(3).normal(size=(6000, 64))
