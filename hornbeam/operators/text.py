@@ -12,9 +12,9 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..shared import ship, stage_table
@@ -196,17 +196,38 @@ def token_windows(text: str, size: int, overlap: int = 0) -> list[Chunk]:
 
 
 CHUNKERS = {"whole": whole_field, "paragraph": paragraphs}
-_CHUNK_TYPE = T.ArrayType(T.StructType([T.StructField("chunk_id", T.StringType()), T.StructField("ordinal", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("content", T.StringType()), T.StructField("fingerprint", T.StringType())]))
+#: Bytes of text, and of chunks, that a worker holds as Python objects at once.
+CHUNK_BYTES = 2 << 20
+
+
+def chunk_slices(batches, f: Callable[[str], list[Chunk]], most: int | None = None):
+    """The chunks of (key, text) batches as batches of about ``most`` bytes, whatever the batches that come in have."""
+    most = most or CHUNK_BYTES
+    names, kinds = ["chunk_id", "ordinal", "start", "end", "content", "fingerprint"], [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+    for batch in batches:
+        keys, texts, held, at, size = batch.column(0), batch.column(1), [], [], 0
+
+        def made():
+            columns = [pa.array([getattr(c, n) for c in held], k) for n, k in zip(names, kinds)]
+            return pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int32())), *columns], ["doc_id", *names])
+
+        for i in range(batch.num_rows):
+            text = texts[i].as_py()
+            for c in f(text) if text is not None else []:
+                held.append(c)
+                at.append(i)
+                size += len(c.content) + 200
+                if size > most:
+                    yield made()
+                    held, at, size = [], [], 0
+        if held:
+            yield made()
 
 
 def chunked(docs: DataFrame, how: str = "paragraph", id_col: str = "doc_id", text_col: str = "text", size: int = 200, overlap: int = 0) -> DataFrame:
     """doc_id, chunk_id, ordinal, start, end, content, fingerprint; an Arrow function, since chunks are cut by a small state machine."""
     ship(docs.sparkSession)
-
-    @F.pandas_udf(_CHUNK_TYPE)
-    def cut(s: pd.Series) -> pd.Series:
-        f = (lambda t: token_windows(t, size, overlap)) if how == "window" else CHUNKERS[how]
-        return s.map(lambda t: [] if t is None else [c.__dict__ for c in f(t)])
-
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.explode(cut(F.col(text_col))).alias("c"))
-    return rows.select("doc_id", "c.chunk_id", "c.ordinal", "c.start", "c.end", "c.content", "c.fingerprint")
+    f = (lambda t: token_windows(t, size, overlap)) if how == "window" else CHUNKERS[how]
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(lambda batches: chunk_slices(batches, f), f"doc_id {kind}, chunk_id string, ordinal int, start int, end int, content string, fingerprint string")

@@ -189,3 +189,17 @@ def test_jobs(spark):
     jobs = spark.createDataFrame([("a", 2, "pending", 0, None, None), ("b", 1, "leased", 0, 5, None), ("c", 3, "retry", 1, None, 99)], "document_id string, created_at long, state string, attempts int, leased_until long, not_before long")
     out = {r["document_id"]: r["state"] for r in lifecycle.claim_jobs(jobs, 10, 5).collect()}
     assert out == {"a": "leased", "b": "leased", "c": "retry"}
+
+
+def test_chunks_come_in_small_batches():
+    import pyarrow as pa
+
+    from hornbeam.operators import text
+
+    texts = [None, "", "a b c " * 500, "one\n\ntwo"] * 50
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array(texts)], ["k", "text"])
+    for f in (text.whole_field, text.paragraphs, lambda t: text.token_windows(t, 5, 1)):
+        got = list(text.chunk_slices([batch], f, 10_000))
+        assert len(got) > 5 and all(sum(map(len, b.column(5).to_pylist())) < 14_000 for b in got)
+        rows = [r for b in got for r in zip(*(c.to_pylist() for c in b.columns))]
+        assert rows == [(i, *c.__dict__.values()) for i, t in enumerate(texts) if t is not None for c in f(t)]
