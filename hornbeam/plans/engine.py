@@ -630,7 +630,7 @@ class Engine:
         scc = self.component(key)
         clauses = {k: [Rule(r.head, r.body) for r in self.rules[k]] for k in scc}
         if scc == {key}:
-            clauses[key] = [_left_linear(r, key, self.rules[key]) for r in clauses[key]]
+            clauses[key] = [_linear(_left_linear(r, key, self.rules[key]), key, self.rules[key], consts) for r in clauses[key]]
             stable = {i: c for i, c in consts.items() if all(_keeps(r, key, i) for r in clauses[key])}
         else:
             stable = {}
@@ -814,6 +814,26 @@ def _left_linear(r: Rule, key: tuple[str, int], rules: list[Rule]) -> Rule:
     return Rule(r.head, (Compound(p.name, (x, ez)), Compound(e.name, (ez, y))))
 
 
+def _linear(r: Rule, key: tuple[str, int], rules: list[Rule], bound: dict[int, Term]) -> Rule:
+    """p(X,Y) :- p(X,Z), p(Z,Y), where the only other clause is p(X,Y) :- e(X,Y), with e for the p that doesn't hold the bound argument.
+
+    So the bound argument is passed on; a free call keeps its rounds of doubling.
+    """
+    if not bound or key[1] != 2 or len(rules) != 2 or len(r.body) != 2:
+        return r
+    base = next((x for x in rules if len(x.body) == 1), None)
+    a, b = r.body
+    if base is None or not all(isinstance(t, Compound) and len(t.args) == 2 and all(isinstance(v, Var) for v in t.args) for t in (r.head, a, b, base.head, base.body[0])):
+        return r
+    e = base.body[0].name
+    if base.body[0].args != base.head.args or a.name != key[0] or b.name != key[0] or e == key[0]:
+        return r
+    (x, y), (ax, az), (bz, by) = r.head.args, a.args, b.args
+    if (ax, az, by) != (x, bz, y) or len({x, y, az}) != 3 or "_" in (x.name, y.name, az.name):
+        return r
+    return Rule(r.head, (a, Compound(e, b.args)) if 0 in bound else (Compound(e, a.args), b))
+
+
 def _matches(pattern: Term, fact: Term, seen: dict[str, Term] | None = None) -> bool:
     seen = {} if seen is None else seen
     if isinstance(pattern, Var):
