@@ -162,6 +162,10 @@ FACTS = "name string, a string, b string, properties map<string,string>"
 Fact = tuple[str, str, str | None, dict[str, str] | None]
 
 
+#: A fact of one or two quoted atoms without escapes, of which no argument is read as labels or JSON; it needs no parser.
+_PLAIN = re.compile(r"'(?!node'|prop_)([^'\\\n]*)'\('([^'\\\n]*)'(?:, '([^'\\\n]*)')?\)")
+
+
 def facts_of_statements(texts: list[str]) -> list[Fact]:
     """(name, a, b, properties) rows of ground facts.
 
@@ -187,6 +191,9 @@ def facts_of_statements(texts: list[str]) -> list[Fact]:
     ident = lambda x: x.name if isinstance(x, Atom) else str(x.value)
     out: list[Fact] = []
     for text in texts:
+        if m := _PLAIN.fullmatch(text):
+            out.append((*m.groups(), None))
+            continue
         t = parse_term(text)
         if not isinstance(t, Compound) or not ground(t) or len(t.args) > 3 or isinstance(t.args[0], (ListTerm, Obj, Compound)):
             raise ValueError(f"not a ground fact of one to three arguments: {text[:200]}")
@@ -244,6 +251,12 @@ def read_facts(spark: SparkSession, path: str | list[str]) -> DataFrame:
                     if carried:
                         yield torn(file)
                     held, file, carried = [], name, ""
+                if not carried and _PLAIN.fullmatch(text):
+                    held.append(text)
+                    if len(held) >= 50_000:
+                        yield _fact_batch(held, file)
+                        held = []
+                    continue
                 carried += text if text.rstrip().endswith(".") else text + ".\n"
                 try:
                     found = list(statements([carried]))

@@ -47,3 +47,20 @@ def test_rules_read_back():
 def test_bad_terms_are_refused(bad):
     with pytest.raises(ParseError):
         parse_term(bad)
+
+
+def test_plain_facts_need_no_parser(monkeypatch):
+    from hornbeam.plans import parser
+    from hornbeam.sources import graph_files
+
+    texts = ["'placed'('c:1', 'o:2')", "'rich'('c:1')", "''('', '')", "'x'('a % b', 'c. d')", "'o'('(', ')')"]
+    odd = ["'x'('a\\'b', 'c')", "'prop_k'('a', 'b')", "placed(a, b)", "'x'('a','b')", "'node'('a', ['l'], {\"k\": 1})"]
+    assert not any(graph_files._PLAIN.fullmatch(t) for t in odd)
+    fast, slow = graph_files.facts_of_statements(texts + odd), []
+    with monkeypatch.context() as m:
+        m.setattr(graph_files, "_PLAIN", __import__("re").compile("(?!)"))
+        slow = graph_files.facts_of_statements(texts + odd)
+    assert fast == slow
+    monkeypatch.setattr(parser, "parse_term", lambda t: 1 / 0)
+    assert graph_files.facts_of_statements(texts)[1] == ("rich", "c:1", None, None)
+
